@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ordinal, simhash
+from . import bpe, ordinal, quality, simhash
 from .common import table
 
 
@@ -18,12 +18,17 @@ def op1_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.classify(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 QUERIES = {
     "op1_ordinal": op1_ordinal,
+    "op5_quality_rules": op5_quality_rules,
     "op7_bpe": op7_bpe,
     "op10_simhash": op10_simhash,
 }
