@@ -5,10 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ordinal, quality, simhash
+from . import bpe, mtree, ordinal, quality, simhash, url_rules
 from .common import table
 
 
+#: Fixed rules of the url filter: (verdict, host/path).
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_by_inner_product(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -30,6 +42,8 @@ QUERIES = {
     "op1_ordinal": op1_ordinal,
     "op5_quality_rules": op5_quality_rules,
     "op7_bpe": op7_bpe,
+    "op8_url_rules": op8_url_rules,
+    "op9_mtree": op9_mtree,
     "op10_simhash": op10_simhash,
 }
 
