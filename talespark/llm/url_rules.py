@@ -46,24 +46,25 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colu
     return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None)
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, support: float = 0.005, confidence: float = 0.8, lift: float = 1.2) -> DataFrame:
+def mine_rules(pages: DataFrame, labels: DataFrame, support: float = 0.005, confidence: float = 0.8, lift: float = 1.2, least_pages: int = 8) -> DataFrame:
     """(rule_id, items, size, confidence, support): token combinations that go with bad labels, by FP-growth over all labelled urls.
 
     A label is bad if it is toxic or of low quality; the worst of a page's labels counts. Rules below the support,
-    confidence or lift go, and so do rules of which a part is a rule itself: their matches are a subset.
+    confidence or lift, or found on fewer than ``least_pages`` pages, go, and so do rules of which a part is a rule itself: their matches are a subset.
     """
     bad = F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad")
     rated = labels.select(F.col("doc_id").cast("long").alias("id"), "quality", "toxic").filter("id is not null").groupBy("id").agg(bad).filter("bad is not null")
     known = pages.select(F.col("page_id").cast("long").alias("id"), url_tokens(F.col("url")).alias("items")).filter("url is not null and size(items) > 0").join(rated, "id")
     baskets = cut(known.select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    least = max(support, least_pages / max(least_pages, baskets.count()))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(baskets)
     found = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift))
     found = cut(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support").withColumn("size", F.size("items")))
     # A part of a rule is found by the tokens of the whole, through the same kind of index that matching uses.
     parts = found.select(F.col("items").alias("part"), F.col("size").alias("part_size"), F.col("items")[0].alias("token"))
     wider = found.select("items", "size", F.explode("items").alias("token")).join(parts, "token").filter("part_size < size").filter(F.size(F.array_except("part", "items")) == 0)
-    least = found.join(wider.select("items").distinct(), "items", "left_anti")
-    return least.withColumn("rule_id", F.xxhash64("items"))
+    kept = found.join(wider.select("items").distinct(), "items", "left_anti")
+    return kept.withColumn("rule_id", F.xxhash64("items"))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
