@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mtree, ordinal, quality, simhash, url_rules
+from . import bpe, mixing, mtree, ordinal, quality, simhash, url_rules
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -41,6 +45,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ordinal": op1_ordinal,
     "op5_quality_rules": op5_quality_rules,
+    "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
     "op8_url_rules": op8_url_rules,
     "op9_mtree": op9_mtree,
