@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, mtree, ordinal, quality, simhash, url_rules
+from . import bpe, licenses, mixing, mtree, ordinal, quality, quotes, simhash, url_rules
 from .common import table
 
 
@@ -30,6 +30,14 @@ def op1_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.classify(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +52,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ordinal": op1_ordinal,
+    "op2_quotes": op2_quotes,
+    "op4_licenses": op4_licenses,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
