@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, mtree, ordinal, quality, quotes, simhash, url_rules
+from . import bpe, licenses, mixing, mtree, ordinal, quality, quotes, repeats, simhash, url_rules
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.format_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ordinal": op1_ordinal,
     "op2_quotes": op2_quotes,
+    "op3_suffix_array": op3_suffix_array,
     "op4_licenses": op4_licenses,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
