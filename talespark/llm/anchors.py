@@ -44,6 +44,12 @@ class Hashes:
             return _scramble((self.sums[end] - self.sums[start]) * self.up[start])
 
 
+    def rolling(self, width: int) -> np.ndarray:
+        """Hashes of all strings of ``width`` bytes."""
+        with np.errstate(over="ignore"):
+            return _scramble((self.sums[width:] - self.sums[:-width]) * self.up[: len(self.sums) - width])
+
+
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     """pick over each ``width`` neighbours from each place on; one shorter by width - 1."""
     have = 1
@@ -54,17 +60,18 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, span: int, gram: int) -> np.ndarray:
-    """Ascending places of the anchors of texts laid end to end in ``data``; ``ends``: where each text ends.
+def anchors(data: np.ndarray, ends: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending places of the anchors of texts laid end to end in ``data``, and their hashes; ``ends``: where each text ends.
 
-    A window of ``span`` bytes within a text has as anchors the places of its least ``gram``-byte hashes, ties included. So equal
-    windows have equal anchors, and every window has one. On ordinary text about 2 in span - gram places are anchors.
+    A window of ``span`` bytes within a text has as anchors the places of its least ``gram``-byte hashes (by their upper 32
+    bits), ties included. So equal windows have equal anchors, and every window has one. On ordinary text about 2 in
+    span - gram places are anchors.
     """
     width, n = span - gram + 1, len(data)
     if n < span:
-        return np.zeros(0, np.int64)
-    at = np.arange(n - gram + 1)
-    keys = Hashes(data, 1).of(at, at + gram)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    whole = Hashes(data, 1).rolling(gram)
+    keys = (whole >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     least = _sliding(keys, width, np.minimum)  # one for each window start
     starts = np.r_[0, ends[:-1]]
     inside = np.zeros(n + 1, np.int32)
@@ -72,5 +79,6 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int, gram: int) -> np.ndar
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - span + 1, -1)
     least[np.cumsum(inside[: len(least)]) == 0] = 0
-    padded = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
-    return np.flatnonzero((_sliding(padded, width, np.maximum) == keys) & (keys != 0))
+    none = np.zeros(width - 1, np.uint32)
+    at = np.flatnonzero(_sliding(np.concatenate((none, least, none)), width, np.maximum) == keys)
+    return at, whole[at]

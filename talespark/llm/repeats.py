@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Hashes, _scramble, anchors
-from .common import cut, slices
+from .common import cut, release, slices
 from .gsaca import common_prefixes, suffix_arrays
 
 #: Bytes hashed at an anchor. Windows of 200 bytes then have a hundred places for their anchor.
@@ -38,6 +38,7 @@ def _base(docs: DataFrame, text_col: str) -> DataFrame:
 def sieve(df: DataFrame, column: str) -> np.ndarray:
     """A bitmap of 2 ** SIEVE_BITS bits in which each value's low bits are set; at most 32 MB reach the driver, whatever the data."""
     words = df.select(F.expr(f"shiftright({column} & {(1 << SIEVE_BITS) - 1}L, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    release(df.sparkSession)
     out = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
@@ -56,10 +57,9 @@ class _Part:
         self.k1, self.k2 = (part.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
         self.data = np.frombuffer(b"".join(raw), np.uint8)
         self.ends = np.cumsum([len(x) for x in raw])
-        self.at = anchors(self.data, self.ends, span, GRAM)
+        self.at, self.h = anchors(self.data, self.ends, span, GRAM)
         self.doc = np.searchsorted(self.ends, self.at, "right")
         self.head, self.tail = (self.ends - [len(x) for x in raw])[self.doc], self.ends[self.doc]
-        self.h = Hashes(self.data, 1).of(self.at, self.at + GRAM)
         with np.errstate(over="ignore"):
             self.own = _scramble(self.k1[self.doc] ^ _scramble(self.k2[self.doc] + (self.at - self.head).astype(np.uint64)))
 
@@ -72,7 +72,7 @@ def _scan(base: DataFrame, span: int, schema: str, make: Callable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            for part in slices(batch, 2, 2 << 20):
+            for part in slices(batch, 2, 1 << 20):
                 cols = make(_Part(part, span))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], names)
 
@@ -209,6 +209,8 @@ def repeated_spans(docs: DataFrame, span: int = 200, text_col: str = "text") ->
     rows = _scan(base, span, "h long, c long, own long, k1 long, k2 long, start long, end long", surroundings)
     whole = rows.groupBy("h", "c").agg(F.min("own").alias("low"), F.max("own").alias("high"))
     marked = cut(rows.join(whole, ["h", "c"]).select("own", "low", F.when(F.col("low") != F.col("high"), True).alias("all"), "k1", "k2", "start", "end"))
+    del rows, whole
+    release(spark)
     covered = marked.filter("all").select("k1", "k2", "start", "end")
     border = spark.sparkContext.broadcast(sieve(marked.filter("all is null or own = low"), "own"))
 
@@ -245,6 +247,8 @@ def repeated_spans(docs: DataFrame, span: int = 200, text_col: str = "text") ->
         met = rows.join(groups.drop("twins"), ["core1", "core2"])
         twins = alike.filter("low <> high")
         met = cut(met.join(twins, ["core1", "core2", "left", "right"], "left"))
+        del alike, groups, twins
+        release(spark)
         size = F.lit(span - width + 1)
         found.append(met.filter("low is not null").select("k1", "k2", (F.col("begin") - F.length("left")).alias("start"), (F.col("begin") + size + F.length("right")).alias("end")))
         if width == 1:
