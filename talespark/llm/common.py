@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +37,47 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the DataFrames made and run within go when their action ends, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage; survives lost executors."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with short_lived_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a DataFrame as Parquet in the shared folder and rereads it; all of it is deleted at the end.
+
+    For large intermediate tables: as cut(), but compressed.
+    """
+    folder = f"{checkpoint_dir(spark)}/scratch-{uuid4()}"
 
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid4()}"
+        with short_lived_shuffles(spark):
+            df.select("*").write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are no longer referred to, rather than at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    try:
+        yield keep
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

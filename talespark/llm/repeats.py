@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Hashes, _scramble, anchors
-from .common import cut, release, slices
+from .common import cut, scratch, short_lived_shuffles, slices
 from .gsaca import common_prefixes, suffix_arrays
 
 #: Bytes hashed at an anchor. Windows of 200 bytes then have a hundred places for their anchor.
@@ -37,8 +37,8 @@ def _base(docs: DataFrame, text_col: str) -> DataFrame:
 
 def sieve(df: DataFrame, column: str) -> np.ndarray:
     """A bitmap of 2 ** SIEVE_BITS bits in which each value's low bits are set; at most 32 MB reach the driver, whatever the data."""
-    words = df.select(F.expr(f"shiftright({column} & {(1 << SIEVE_BITS) - 1}L, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    release(df.sparkSession)
+    with short_lived_shuffles(df.sparkSession):
+        words = df.select(F.expr(f"shiftright({column} & {(1 << SIEVE_BITS) - 1}L, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
@@ -190,6 +190,11 @@ def repeated_spans(docs: DataFrame, span: int = 200, text_col: str = "text") ->
 
     So no task holds more than GROUP strings of a core, and no window is compared with all that share its passage.
     """
+    with scratch(docs.sparkSession) as keep:
+        return _repeated_spans(docs, span, text_col, keep)
+
+
+def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     base = _base(docs, text_col)
     spark = docs.sparkSession
     wide = span - GRAM
@@ -208,9 +213,7 @@ def repeated_spans(docs: DataFrame, span: int = 200, text_col: str = "text") ->
 
     rows = _scan(base, span, "h long, c long, own long, k1 long, k2 long, start long, end long", surroundings)
     whole = rows.groupBy("h", "c").agg(F.min("own").alias("low"), F.max("own").alias("high"))
-    marked = cut(rows.join(whole, ["h", "c"]).select("own", "low", F.when(F.col("low") != F.col("high"), True).alias("all"), "k1", "k2", "start", "end"))
-    del rows, whole
-    release(spark)
+    marked = keep(rows.join(whole, ["h", "c"]).select("own", "low", F.when(F.col("low") != F.col("high"), True).alias("all"), "k1", "k2", "start", "end"))
     covered = marked.filter("all").select("k1", "k2", "start", "end")
     border = spark.sparkContext.broadcast(sieve(marked.filter("all is null or own = low"), "own"))
 
@@ -239,16 +242,14 @@ def repeated_spans(docs: DataFrame, span: int = 200, text_col: str = "text") ->
     found = [covered]
     rows = _scan(base, span, fields, strings).dropDuplicates(["core1", "core2", "own"])
     for k, width in enumerate(WIDTHS):
-        rows = cut(rows)
+        rows = keep(rows)
         # Strings that are alike in full repeat as they are; one of them stays to be met by others.
         alike = rows.groupBy("core1", "core2", "left", "right").agg(F.min("own").alias("low"), F.max("own").alias("high"))
         groups = alike.groupBy("core1", "core2").agg(F.count("*").alias("n"), F.max(F.col("low") != F.col("high")).alias("twins"))
         groups = groups.filter("n > 1 or twins")
         met = rows.join(groups.drop("twins"), ["core1", "core2"])
         twins = alike.filter("low <> high")
-        met = cut(met.join(twins, ["core1", "core2", "left", "right"], "left"))
-        del alike, groups, twins
-        release(spark)
+        met = keep(met.join(twins, ["core1", "core2", "left", "right"], "left"))
         size = F.lit(span - width + 1)
         found.append(met.filter("low is not null").select("k1", "k2", (F.col("begin") - F.length("left")).alias("start"), (F.col("begin") + size + F.length("right")).alias("end")))
         if width == 1:
