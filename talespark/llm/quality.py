@@ -81,6 +81,13 @@ def binomial_tail(n: Column, x: Column, risk: float) -> Column:
     return F.when(x >= n * risk, 1.0).otherwise(F.exp(first) * total)
 
 
+def _with_stratum(rows: DataFrame, table: DataFrame, how: str = "inner", salts: int = 64) -> DataFrame:
+    """``rows`` with their stratum's row of ``table``; a large stratum's rows are dealt over ``salts`` copies of it."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)).cast("int"))
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, ["stratum", "__salt"], how).drop("__salt")
+
+
 def risk_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, steps: int = 24) -> DataFrame:
     """(stratum, n_good, one cutoff per rule): the lowest cutoffs whose false rejection is proven small.
 
@@ -94,7 +101,7 @@ def risk_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.05, delta
     known = _measures(counts.filter(~base_failed())).join(rated, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
     quantiles = [1 - 0.75 ** (k + 1) for k in range(steps)]  # closer to 1 in equal ratios, where few good texts lie above
     proposed = known.filter("half = 0").groupBy("stratum").agg(*(F.percentile_approx(r, quantiles, 10000).alias(f"cuts_{r}") for r in RULES))
-    good = known.filter("half = 1 and quality >= 1").join(proposed, "stratum")
+    good = _with_stratum(known.filter("half = 1 and quality >= 1"), proposed)
     lost = [F.sum((F.col(r) > F.col(f"cuts_{r}")[k]).cast("long")).alias(f"lost_{r}_{k}") for r in RULES for k in range(steps)]
     seen = good.groupBy("stratum").agg(F.count("*").alias("n_good"), *lost).join(proposed, "stratum").crossJoin(proposed.agg(F.count("*").alias("strata")))  # one row of one number
     out = ["stratum", "n_good"]
@@ -115,7 +122,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta:
     """
     counts = cut(text_measures(docs, id_col, text_col, stratum_col))
     cutoffs = cut(risk_cutoffs(counts, labels, risk, delta))
-    met = _measures(counts).join(cutoffs.drop("n_good"), "stratum", "left")
+    met = _with_stratum(_measures(counts), cutoffs.drop("n_good"), "left")
     broken = F.array_compact(F.array(*(F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES)))
     met = met.withColumn("rules_broken", F.array_join(broken, ",")).withColumn("base_failed", base_failed())
     return met.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rules_broken") == "")).alias("kept"), "stratum", "rules_broken")

@@ -43,7 +43,7 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colu
         own, _, rest = rule.partition("/")
         fit = ((host == own) | host.endswith(f".{own}")) & path.startswith(f"/{rest}")
         fits.append(F.when(fit, F.struct(F.lit(len(rule)).alias("size"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
-    return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None)
+    return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<size: int, rule: string, verdict: string>")
 
 
 def mine_rules(pages: DataFrame, labels: DataFrame, support: float = 0.005, confidence: float = 0.8, lift: float = 1.2, least_pages: int = 8) -> DataFrame:
