@@ -212,8 +212,9 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
         return x.h, c, x.own, x.k1[x.doc], x.k2[x.doc], (at - left).astype(np.int64), (at + right).astype(np.int64)
 
     rows = _scan(base, span, "h long, c long, own long, k1 long, k2 long, start long, end long", surroundings)
-    whole = rows.groupBy("h", "c").agg(F.min("own").alias("low"), F.max("own").alias("high"))
-    marked = keep(rows.join(whole, ["h", "c"]).select("own", "low", F.when(F.col("low") != F.col("high"), True).alias("all"), "k1", "k2", "start", "end"))
+    # Written first, so that the join's sides are both plain exchanges, which Spark can split where a key is hot.
+    whole = keep(_two_owners(rows, "h", "c").select("h", "c", "low"))
+    marked = keep(rows.join(whole, ["h", "c"], "left").select("own", "low", F.when(F.col("low").isNotNull(), True).alias("all"), "k1", "k2", "start", "end"))
     covered = marked.filter("all").select("k1", "k2", "start", "end")
     border = spark.sparkContext.broadcast(sieve(marked.filter("all is null or own = low"), "own"))
 
