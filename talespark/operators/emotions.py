@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,3 +134,30 @@ def lexicon_metadata(lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = lexicon.groupBy("label").agg(F.count("*").alias("keywords"))
     shared = lexicon.groupBy(F.lower("keyword").alias("keyword")).agg(F.sort_array(F.collect_set("label")).alias("labels")).filter(F.size("labels") > 1)
     return counts, shared
+
+
+def explain_emotions(lines: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+    """``lines`` with ``matches``: (label, keyword, start, end, negated) of every keyword occurrence in ``text``, in the lexicon's order.
+
+    Offsets need a cursor over each text, so this is an Arrow-batched function; scoring itself stays native.
+    """
+    lexicon = load(TABLE)["lexicon"] if lexicon is None else lexicon
+    longest = lambda ws: sorted(dict.fromkeys(ws), key=lambda w: (-len(w.split()), -len(w)))
+    patterns = [(label, w, re.compile(keyword_pattern(w).replace("(?iU)", "(?i)"))) for label, words in lexicon.items() for w in longest(words)]
+    denied = set(load(TABLE)["negations"])
+
+    @F.pandas_udf("array<struct<label: string, keyword: string, start: int, end: int, negated: boolean>>")
+    def found(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[dict]:
+            tokens = [(m.start(), m.end(), m[0].lower().strip(EDGES)) for m in re.finditer(r"\S+", text or "")]
+            out = []
+            for label, word, pattern in patterns:
+                for m in pattern.finditer(text or ""):
+                    at = next((k for k, (s, e, _) in enumerate(tokens) if s <= m.start() < e), None)
+                    negated = at is not None and any(t in denied for _, _, t in tokens[max(0, at - 3) : at])
+                    out.append({"label": label, "keyword": word, "start": m.start(), "end": m.end(), "negated": negated})
+            return out
+
+        return texts.map(one, na_action=None)
+
+    return lines.withColumn("matches", found("text"))

@@ -51,3 +51,17 @@ def overlay_voices(entries: DataFrame, working: DataFrame) -> DataFrame:
     loose = working.groupBy(F.lower("character").alias("__low")).agg(F.min("voice_id").alias("__loose"))
     met = entries.join(exact, "character", "left").withColumn("__low", F.lower("character")).join(loose, "__low", "left")
     return met.withColumn("voice_id", F.coalesce("__exact", "__loose", "voice_id")).drop("__exact", "__loose", "__low")
+
+
+def default_voice(voices: DataFrame, override: str | None = None) -> DataFrame:
+    """One row (voice_id): the override, else the narrator's voice, else the first by name, else an empty one."""
+    known = voices.filter("voice_id is not null and voice_id <> ''")
+    narrator = F.min(F.when(F.lower("character") == "narrator", F.col("voice_id")))
+    first = F.min(F.struct("character", "voice_id"))["voice_id"]
+    return known.agg(F.coalesce(F.lit(override), narrator, first, F.lit("")).alias("voice_id"))
+
+
+def voice_descriptions(entries: DataFrame, described: DataFrame) -> DataFrame:
+    """``entries`` with the description of their voice, by (voice_id, description)."""
+    first = described.groupBy("voice_id").agg(F.min("description").alias("description"))
+    return entries.join(first, "voice_id", "left").withColumn("description", F.coalesce("description", F.lit("Custom voice assignment")))

@@ -377,3 +377,113 @@ def cursor_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.cursor_cuts(_t(spark, sf_dir, "documents"), "doc_id")
 
 
+
+
+# Smaller operators ----------------------------------------------------------------------------------------------------
+
+
+@query("session_resume", f"WITH {KEY_SQL}, top AS (SELECT * FROM files ORDER BY last_modified DESC, key DESC LIMIT 3) SELECT key FROM top WHERE last_modified >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 14400 MINUTE AND NOT ends_with(key, '.gz') ORDER BY last_modified DESC, key DESC LIMIT 1")
+def session_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.resumable_session(object_rows(spark, sf_dir), "2024-01-30 00:00:00", minutes=14400).select("key")
+
+
+@query("log_parse", f"WITH {LOG_SQL} SELECT event_id, regexp_extract(line, '^\\[([A-Z]+)\\]', 1) AS level, 'app' AS source, regexp_extract(line, '\\] (.*)$', 1) AS message FROM log")
+def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = log_rows(spark, sf_dir).withColumn("value", F.concat(F.lit("[2024-01-01 00:00:00 UTC] "), F.col("line")))
+    return logs.parse_log(rows).select("event_id", "level", "source", "message")
+
+
+@query("committed_index", "WITH s AS (SELECT user_id AS project_id, event_id % 100 AS committed_index FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, NULL FROM events UNION ALL SELECT user_id, event_id % 90 FROM events WHERE event_type = 'click') SELECT project_id, coalesce(max(committed_index), -1) AS committed_index FROM s GROUP BY project_id")
+def committed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events")
+    state = rows.selectExpr("user_id AS project_id", "CASE WHEN event_type = 'view' THEN event_id % 100 END AS committed_index")
+    return projects.committed_index(state, rows.filter("event_type = 'click'").selectExpr("user_id AS project_id", "event_id % 90 AS committed_index"))
+
+
+@query("upsert_state", "SELECT event_id AS idx, user_id AS project_id, CASE WHEN event_id % 4 = 0 THEN 'DONE' ELSE event_type END AS status FROM events")
+def upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = _t(spark, sf_dir, "events").selectExpr("user_id AS project_id", "event_id AS idx", "event_type AS status")
+    return projects.upsert_state(state, state.filter("idx % 4 = 0").withColumn("status", F.lit("DONE"))).select("idx", "project_id", "status")
+
+
+@query("overlay_voices", f"WITH {VOICES_SQL} SELECT conv_id, turn, coalesce(v.voice_id, l.voice_id, 'own') AS voice_id FROM (SELECT *, CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN 'BOB' ELSE 'Zoe' END AS character FROM conversations) c LEFT JOIN voices v ON v.character = c.character LEFT JOIN voices l ON lower(l.character) = lower(c.character)")
+def overlay_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN 'BOB' ELSE 'Zoe' END").alias("character"), F.lit("own").alias("voice_id"))
+    return projects.overlay_voices(rows, spark.createDataFrame(VOICES, "character string, voice_id string")).select("conv_id", "turn", "voice_id")
+
+
+@query("missing_voices", f"WITH {SCRIPT_SQL}, {VOICES_SQL} SELECT story_id, line_no, character FROM parsed WHERE character NOT IN (SELECT character FROM voices)")
+def missing_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scripts.without_voices(scripts.parse_script(script(spark, sf_dir)), spark.createDataFrame(VOICES, "character string, voice_id string")).select("story_id", "line_no", "character")
+
+
+@query("spoken_lines", f"WITH {LINES_SQL} SELECT story_id, 'line_' || (line_no + 1) AS id, text FROM lines WHERE type <> 'narration'")
+def spoken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scripts.spoken(scripts.with_ids(split.split_lines(prose(spark, sf_dir))), False).select("story_id", "id", "text")
+
+
+GROUPS = "map('leads', map('Mara Lind', named_struct('voice_id', cast(null AS string), 'gender', 'F'), 'customer', named_struct('voice_id', 'v7', 'gender', 'M')), 'rest', map('mara  lind', named_struct('voice_id', 'v8', 'gender', 'F')))"
+
+
+@query("catalog_flatten", "SELECT 'mara lind' AS name_norm, 'Mara Lind' AS display, 'v8' AS voice_id, 'F' AS gender UNION ALL SELECT 'customer', 'customer', 'v7', 'M'")
+def catalog_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.flatten_catalog(spark.sql(f"SELECT {GROUPS} AS groups")).drop("ord")
+
+
+@query("display_names", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Mara Lind' ELSE upper(role[1]) || role[2:] END AS display FROM conversations")
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("CASE WHEN turn % 2 = 0 THEN 'MARA, Lind!' ELSE role END").alias("character"))
+    return catalog.display_names(rows, catalog.flatten_catalog(spark.sql(f"SELECT {GROUPS} AS groups"))).select("conv_id", "turn", "display")
+
+
+@query("cast_genders", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'F' END AS catalog_gender FROM customer")
+def cast_genders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.expr("CASE WHEN c_custkey % 2 = 0 THEN '(Mara) LIND' ELSE c_name END").alias("name"))
+    return catalog.genders(rows, catalog.flatten_catalog(spark.sql(f"SELECT {GROUPS} AS groups"))).select("c_custkey", "catalog_gender")
+
+
+@query("cast_names", "SELECT c_custkey, 'Customer ' || c_custkey AS name FROM customer")
+def cast_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").select("c_custkey", T.cast_name(F.expr("'  Customer   ' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN ' - Female ' WHEN 1 THEN ', man' ELSE '' END")).alias("name"))
+
+
+@query("name_variants", r"SELECT DISTINCT r_name, r_name || ' Q. Vale,' || lower(r_name) || ' q vale,' || lower(regexp_extract(r_name, '^\S+')) || ',vale,' || array_to_string(list_transform(string_split(lower(r_name) || ' q vale', ' '), lambda t: t[1]), '') || ',' || array_to_string(list_transform(string_split(lower(r_name) || ' q vale', ' '), lambda t: t[1]), '.') || '.' AS variants FROM region")
+def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "region").select("r_name", F.array_join(catalog.name_variants(F.concat("r_name", F.lit(" Q. Vale"))), ",").alias("variants"))
+
+
+@query("direct_names", r"SELECT doc_id, CASE WHEN contains(n, ' the ') THEN 'The' WHEN contains(n, ' und ') THEN 'und' END AS name FROM (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(substr(text, 1, 300)), '[()\[\].,''\"!?-]+', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS n FROM documents)".replace('\\"', '"'))
+def direct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", catalog.first_name_in(F.substring("text", 1, 300), ["The", "und"]).alias("name"))
+
+
+@query("chunk_tasks", f"""WITH {VOICES_SQL}, l AS (SELECT conv_id * 1000 + turn AS project_id, generate_subscripts(ls, 1) - 1 AS line_no, trim(unnest(ls)) AS line, role FROM (SELECT conv_id, turn, role, string_split('[' || role || '] ' || text, chr(10)) AS ls FROM conversations)),
+k AS (SELECT *, CASE WHEN line_no = 0 THEN role ELSE NULL END AS who FROM l WHERE line <> ''),
+w AS (SELECT project_id, line_no, line, who, unnest(range(0, CAST(ceil(length(line) / 200.0) AS BIGINT))) AS part FROM k)
+SELECT project_id, CAST(line_no AS BIGINT) AS line_no, part, substr(line, CAST(part * 200 + 1 AS BIGINT), 200) AS text, coalesce(voice_id, 'none') AS voice_id FROM w LEFT JOIN voices ON character = who""")
+def chunk_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").select(F.expr("conv_id * 1000 + turn").alias("project_id"), F.expr("'[' || role || '] ' || text").alias("text"))
+    out = chunking.chunk_tasks(rows, spark.createDataFrame(VOICES, "character string, voice_id string"), default_voice="none")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("line_no", "part")})
+
+
+@query("lexicon_shared", "SELECT 'anxious' AS keyword, 'fearful,tense' AS labels UNION ALL SELECT 'soft', 'calm,quiet'")
+def lexicon_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("tense", 0, "Anxious"), ("fearful", 0, "anxious"), ("calm", 0, "soft"), ("quiet", 0, "soft"), ("quiet", 1, "low")]
+    return emotions.lexicon_metadata(spark.createDataFrame(rows, "label string, idx int, keyword string"))[1].withColumn("labels", F.array_join("labels", ","))
+
+
+@query("file_names", "SELECT p_partkey, replace(p_brand, '#', '') || '_' || replace(p_type, ' ', '_') AS file FROM part")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", T.file_name(F.expr("'?' || p_brand || ' -  ' || p_type || ':'")).alias("file"))
+
+
+@query("emotion_matches")
+def emotion_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = emotions.explain_emotions(cue_text(spark, sf_dir)).select("line_id", F.explode("matches").alias("m"))
+    return found.select("line_id", "m.*")
+
+
+@query("word_counts", r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS words, substr(text, 1, 80) AS preview FROM documents")
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"), T.preview(F.col("text"), 80).alias("preview"))
