@@ -85,7 +85,7 @@ def _hits(source: Column, keyword: str) -> Column:
         return ~F.arrays_overlap(bare, denied)
 
     places = F.when(F.size(pieces) > 1, F.sequence(F.lit(0), F.size(pieces) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, free))
+    return F.when(source.rlike(keyword_pattern(keyword)), F.size(F.filter(places, free))).otherwise(0)
 
 
 def keyword_scores(source: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
@@ -126,7 +126,8 @@ def tag_emotions(lines: DataFrame, lexicon: dict[str, list[str]] | None = None)
     first = F.coalesce(rule_labels(F.col("__source")), context_labels(n))
     rows = rows.withColumn("__first", first)
     found = F.when(F.col("__first").isNotNull(), F.col("__first")).otherwise(keyword_labels(F.col("__source"), lexicon))
-    return rows.withColumn("emotions", finish_labels(found, fallback_labels(n))).drop("__source", "__first", *(f"__{k}" for k in n))
+    rows = rows.withColumn("__found", found)  # a column of its own: what follows reads it many times
+    return rows.withColumn("emotions", finish_labels(F.col("__found"), fallback_labels(n))).drop("__source", "__first", "__found", *(f"__{k}" for k in n))
 
 
 def lexicon_metadata(lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
