@@ -34,7 +34,7 @@ class Hashes:
     """64-bit hashes of any substrings of one byte array, in constant time each."""
 
     def __init__(self, data: np.ndarray, seed: int):
-        size = 1 << max(12, int(len(data)).bit_length())
+        size = 1 << max(20, int(len(data)).bit_length())  # mostly one size, so one pair of tables for each seed
         self.up, down = _powers(0x5851F42D4C957F2D + 2 * seed, size)
         with np.errstate(over="ignore"):
             self.sums = np.r_[np.uint64(0), np.add.accumulate(_table(seed)[data] * down[: len(data)])]

@@ -23,7 +23,7 @@ LETTER, NUMBER, OTHER, SHORT, LONG, GLUE, LAST, SPACE, RESET = range(9)
 # States: what the character just read belongs to. ONE and TWO: so many more characters of a contraction follow.
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, GLUED, ONE, TWO = range(8)
 #: Pieces in each of the two generations of a worker's merge cache.
-CACHE = 1 << 18
+CACHE = 1 << 17
 #: No token.
 NONE = np.int64(1 << 40)
 
@@ -264,6 +264,10 @@ class Coder:
         for found in cut:
             yield np.frombuffer(b"".join(map(get, found)), "<u4")
 
+    def forget(self) -> None:
+        """Empty the cache: workers outlive their tasks, and what they hold counts in later steps."""
+        self.young, self.old = {}, {}
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
@@ -295,6 +299,7 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, fields: str, ma
                 texts = [t.decode("utf-8", "replace") for t in part.column(1).to_pylist()]
                 cols = zip(*(make(coder, ids) for ids in coder.encode(texts)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols)], ["doc_id", *names])
+        coder.forget()
 
     return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id long, {fields}")
 

@@ -267,7 +267,10 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
         spans = spans.unionByName(more)
     copies = base.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("end")).filter((F.col("n") > 1) & (F.col("end") >= span))
     spans = spans.unionByName(copies.select("k1", "k2", F.lit(0).cast("long").alias("start"), "end"))
-    return cut(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    out = cut(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    for sent in (shared, border, again):  # all that read them is written
+        sent.unpersist()
+    return out
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
