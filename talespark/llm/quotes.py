@@ -30,8 +30,9 @@ def unquoted(text: Column) -> Column:
 
 def quoted(text: Column, level: int) -> Column:
     """Quoted passages whose lines have ``level`` marks (the deepest level: or more), without the marks."""
-    marks = rf"{_MARK}{{{level}{',' if level == DEEPEST else ''}}}(?![ \t]*>)"
-    found = F.regexp_extract_all(text, F.lit(rf"(?m)((?:^{marks}[^\n]*(?:\n|\z))+)"), F.lit(1))
+    # Possessive groups: Java matches them in a loop, others by recursion, a stack frame for each line or mark.
+    marks = rf"{_MARK}{{{level}{',' if level == DEEPEST else ''}}}+(?![ \t]*>)"
+    found = F.regexp_extract_all(text, F.lit(rf"(?m)((?:^{marks}[^\n]*(?:\n|\z))++)"), F.lit(1))
     return F.transform(found, lambda p: F.regexp_replace(p, rf"(?m)^{marks}", ""))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talespark.llm import nearcopies
+from talespark.llm import nearcopies, quotes
 
 
 def shingles(text):
@@ -48,3 +48,11 @@ def test_near_copies_edges(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "c"), (3, "c"), (3, "c")], "doc_id long, text string")
     assert sorted(map(tuple, nearcopies.near_copies(docs).collect()), key=str) == sorted([(None, None), (None, 3), (3, 3), (3, 3)], key=str)
     assert nearcopies.near_copies(docs.limit(0)).count() == 0 and nearcopies.one_per_group(docs).count() == 4
+
+
+def test_quotation_of_100000_lines(spark):
+    lines = [f"line {k}" for k in range(100_000)]
+    rows = [(1, 0, "u", "\n".join(lines)), (1, 1, "a", "\n".join("> " + x for x in lines) + "\nseen"), (1, 2, "u", ">" * 100_000 + " deep\n> seen\nyes")]
+    got = {r.turn: r for r in quotes.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].text, got[1].n_quotes, got[1].parent_turn, got[1].n_linked) == ("seen", 1, 0, 100_001)
+    assert (got[2].text, got[2].n_quotes, got[2].parent_turn) == ("yes", 2, 1)
