@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,48 +55,65 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]], least: float):
         self.least = least
         self.known = []
+        self.holders: dict[tuple[str, str], list[int]] = {}
         for name, text in templates:
             words = normal_words(text)
             grams = Counter(zip(words, words[1:]))
             self.known.append((name, grams, grams.total() * least / (2 - least), grams.total() * (2 - least) / least))
-        self.grams = {g for _, grams, _, _ in self.known for g in grams}
-        self.longest = max((high for *_, high in self.known), default=0)
+            for g in grams:
+                self.holders.setdefault(g, []).append(len(self.known) - 1)
 
     def scan(self, text: str) -> list[tuple[float, int, str, int]]:
-        """(dice, bigrams of the template, licence, first line) of each run of lines that reaches the threshold.
+        """(dice, bigrams of the template, licence, first line) of passages that reach the threshold.
 
-        Runs begin and end with lines that share a bigram with a template, counting the one that joins a line to the
-        next, so a notice is found whole, wherever its lines break.
+        A passage is a run of words, wherever lines begin and end. With each template, those that begin and end with a
+        bigram of it are compared: a passage with another bigram at an end is less like it than without. Of the
+        passages of one template, the best is given, of equal ones the first.
         """
-        lines = [normal_words(x) for x in text.split("\n")]
-        lines_at = [(k, ws) for k, ws in enumerate(lines) if ws]
+        words, line_of = [], []
+        for k, line in enumerate(text.split("\n")):
+            found = normal_words(line)
+            words += found
+            line_of += [k] * len(found)
+        places: dict[int, list[int]] = {}
+        for at, gram in enumerate(zip(words, words[1:])):
+            for t in self.holders.get(gram, ()):
+                places.setdefault(t, []).append(at)
         out = []
-        for i, (at, words) in enumerate(lines_at):
-            ahead = words + (lines_at[i + 1][1][:1] if i + 1 < len(lines_at) else [])
-            if self.grams.isdisjoint(zip(ahead, ahead[1:])):
+        for t, at in places.items():
+            if (best := self._best(t, at, words)) is not None:
+                name, known, _, _ = self.known[t]
+                out.append((best[0], known.total(), name, line_of[best[1]]))
+        return out
+
+    def _best(self, t: int, at: list[int], words: list[str]) -> tuple[float, int] | None:
+        """The highest score of a passage with template ``t`` and its first word; ``at`` are the places of the template's bigrams."""
+        _, known, low, high = self.known[t]
+        size, best = known.total(), None
+        for i in range(len(at)):
+            # c shared bigrams need c >= least * (n + m) / 2 and n >= c, so c >= low: too few places within reach end here.
+            far = i + max(0, ceil(low - 1e-9) - 1)
+            if far >= len(at) or at[far] - at[i] + 1 > high + 1e-9:
                 continue
-            run: list[str] = []
-            for j in range(i, len(lines_at)):
-                more = lines_at[j][1]
-                ends = not self.grams.isdisjoint(zip((run[-1:] + more), (run[-1:] + more)[1:]))
-                run = run + more if j > i else list(more)
-                if len(run) - 1 > self.longest:
+            seen: dict[tuple[str, str], int] = {}
+            both = 0
+            for j in range(i, len(at)):
+                length = at[j] - at[i] + 1
+                if length > high + 1e-9:
                     break
-                if not ends:
-                    continue
-                grams = None
-                for name, known, low, high in self.known:
-                    if low <= len(run) - 1 <= high:
-                        grams = grams if grams is not None else Counter(zip(run, run[1:]))
-                        if (score := dice(grams, known)) >= self.least:
-                            out.append((score, known.total(), name, at))
-        return out
+                gram = (words[at[j]], words[at[j] + 1])
+                seen[gram] = seen.get(gram, 0) + 1
+                both += seen[gram] <= known[gram]
+                score = 2 * both / (length + size)
+                if score >= self.least and (best is None or score > best[0]):
+                    best = (score, at[i])
+        return best
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, dice, line, licenses) of every row: the best licence, its score and first line, and all found.
 
-    Every line of the whole text is looked at. Ties go to the longer template, then the licence's name, then the earlier
+    Passages of the whole text are looked at, whole lines or not. Ties go to the longer template, then the licence's name, then the earlier
     line. Texts without a licence, null or empty ones have nulls and an empty list. Repeated rows are scanned alike; null
     ids stay null; other columns are not read; an empty table gives no rows.
     """

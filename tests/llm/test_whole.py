@@ -1,12 +1,13 @@
 """Operators do the whole job: cases that a shorter form of each would lose."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talespark.llm import nearcopies, quotes
+from talespark.llm import licenses, nearcopies, quotes
 
 
 def shingles(text):
@@ -56,3 +57,33 @@ def test_quotation_of_100000_lines(spark):
     got = {r.turn: r for r in quotes.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert (got[1].text, got[1].n_quotes, got[1].parent_turn, got[1].n_linked) == ("seen", 1, 0, 100_001)
     assert (got[2].text, got[2].n_quotes, got[2].parent_turn) == ("yes", 2, 1)
+
+
+def test_licenses_within_lines(spark):
+    texts = [
+        "Copyright 2020 Acme Inc. Released under the MIT License.", "Copyright (c) 2021 Ann Lee. All rights reserved.",
+        "One sentence of six words before. This work is licensed under the GNU General Public License, version 3. And more after it.",
+        "one\n\ntwo released under the\nMIT License three", "all rights are reserved by nobody",
+    ]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.license, r.dice, r.line, r.licenses) for r in sorted(got)] == [("MIT", 1.0, 0, "MIT"), ("all-rights-reserved", 1.0, 0, "all-rights-reserved"), ("GPL-3.0", 1.0, 0, "GPL-3.0"), ("MIT", 1.0, 2, "MIT"), (None, None, None, "")]
+
+
+def test_licenses_against_every_passage():
+    draw = random.Random(5)
+    templates = [("a", "x y z x y w"), ("b", "y z"), ("c", "p q r s t u v p q")]
+    scanner = licenses.Scanner(templates, 0.8)
+    for _ in range(300):
+        words = [draw.choice("xyzwpqrstuv") for _ in range(12)]
+        for name, text in templates:
+            if draw.random() < 0.5:
+                at = draw.randrange(len(words))
+                words[at:at] = [w for w in text.split() if draw.random() < 0.95]
+        text = "".join(w + draw.choice([" ", " ", "\n"]) for w in words)
+        want = {}
+        for name, known in templates:
+            grams = Counter(zip(known.split(), known.split()[1:]))
+            scores = [licenses.dice(Counter(zip(words[i:j], words[i + 1 : j])), grams) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+            if max(scores) >= 0.8:
+                want[name] = max(scores)
+        assert {name: score for score, _, name, _ in scanner.scan(text)} == want
