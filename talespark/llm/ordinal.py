@@ -116,10 +116,14 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = 18, bound: int = 12000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fit on at most ``bound`` labelled documents, those with the least hash of their id; only their feature hashes reach the driver."""
+    """Fit on at most ``bound`` labelled documents, those with the least hash of their id; only their feature hashes reach the driver.
+
+    Of rows that repeat a chosen id, the text with the least hash stands for the id, so a hot id is one example as any other.
+    """
     chosen = graded(labels).orderBy(F.xxhash64("__id"), "__id").limit(bound)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "__id").select("grade", "text")  # at most ``bound`` rows of two numbers
+    met = texts.join(F.broadcast(chosen), "__id")  # at most ``bound`` rows of two numbers
+    sample = met.groupBy("__id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, bound: int = 12000
                 found = [features(t, bits).astype(np.int32).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["grade", "found"])
 
-    got = sample.mapInArrow(run, "grade int, found binary").orderBy("grade", "found").limit(bound).collect()
+    got = sample.mapInArrow(run, "grade int, found binary").orderBy("grade", "found").collect()
     return fit_ordinal([np.frombuffer(r.found, np.int32).astype(np.int64) for r in got], np.array([r.grade for r in got], np.int64), bits)
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talespark.llm import licenses, nearcopies, quotes
+from talespark.llm import licenses, nearcopies, ordinal, quotes
 
 
 def shingles(text):
@@ -87,3 +87,13 @@ def test_licenses_against_every_passage():
             if max(scores) >= 0.8:
                 want[name] = max(scores)
         assert {name: score for score, _, name, _ in scanner.scan(text)} == want
+
+
+def test_ordinal_hot_id_is_one_example(spark):
+    draw = random.Random(3)
+    texts = [(k, f"{'insult ### insult' if k % 2 else 'fine calm words'} " + " ".join(draw.choices("abcdefgh", k=5))) for k in range(120)]
+    labels = spark.createDataFrame([(k, 1 - k % 2, k % 2) for k, _ in texts], "doc_id long, quality int, toxic int")
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    hot = plain.union(spark.createDataFrame([(1, f"insult {k}") for k in range(500)], "doc_id long, text string"))
+    kept = {r.doc_id: r.kept for r in ordinal.classify(plain, ordinal.train(hot, labels, bound=120)).collect()}
+    assert all(kept[k] == (k % 2 == 0) for k in kept if k != 1)
