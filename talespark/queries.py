@@ -68,8 +68,12 @@ CUE = f"({' '.join(f'WHEN {k} THEN {chr(39)}{p}{chr(39)}' for k, p in enumerate(
 CUE_TEXT = f"trim({CUE} || ' ' || regexp_replace(substr(text, 1, 60), '[^a-zA-Z ]', ''{{}}))"
 
 
+#: The same of the whole text: the SQL still stops at 60 characters.
+WHOLE_CUE_TEXT = CUE_TEXT.replace("substr(text, 1, 60)", "text")
+
+
 def cue_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), F.expr(CUE_TEXT.format("")).alias("text"))
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), F.expr(WHOLE_CUE_TEXT.format("")).alias("text"))
 
 
 CUE_SQL = "cues AS (SELECT doc_id AS line_id, " + CUE_TEXT.format(", 'g'") + " AS text FROM documents)"
