@@ -33,11 +33,13 @@ PROSE_SQL = f"stories AS (SELECT {STORY_ID} AS story_id, {PROSE} AS text FROM co
 
 LINE = """CASE turn % 5 WHEN 0 THEN '[' || role || '] (soft)(calm): ' || one WHEN 1 THEN role || ': *door* ' || one WHEN 2 THEN 'Bob said: ' || one WHEN 3 THEN '"' || one || '" Ann replied' ELSE '# ' || one END"""
 ONE = "split_part(text, chr(10), 1)"
+#: The same with the other lines: the SQL still stops at the first.
+WHOLE = "replace(text, chr(10), ' ')"
 
 
 def script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A script per conversation, a line per message, its form chosen by the turn."""
-    rows = _t(spark, sf_dir, "conversations").selectExpr("conv_id AS story_id", "turn AS line_no", "turn", "role", f"{ONE} AS one")
+    """A script per conversation, a line per message with all its text, its form chosen by the turn."""
+    rows = _t(spark, sf_dir, "conversations").selectExpr("conv_id AS story_id", "turn AS line_no", "turn", "role", f"{WHOLE} AS one")
     return rows.select("story_id", "line_no", F.expr(LINE).alias("line"))
 
 

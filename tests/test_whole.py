@@ -25,3 +25,15 @@ def test_emotion_queries_read_whole_texts(spark, tmp_path):
     felt = run("emotion_keywords")
     assert sum(felt[13 * 3][x] for x in table["lexicon"]) > 0 and all(felt[13 * 5][x] == 0 for x in table["lexicon"])
     assert {r.line_id for r in core.QUERIES["emotion_matches"](spark, at).collect()} >= {13 * 3}
+
+
+def test_scripts_hold_every_line_of_a_message(spark, tmp_path):
+    rows = [(1, 0, "user", "first\nsecond *crash* third"), (1, 1, "Zoe", "a\n\nb"), (1, 2, "user", "go\nnow"), (1, 3, "user", "in\nout"), (1, 4, "user", "hidden\nnote"), (1, 5, "user", "\nlate")]
+    at = folder(spark, tmp_path / "t", conversations=(rows, "conv_id long, turn long, role string, text string"))
+    run = lambda name: core.QUERIES[name](spark, at).collect()
+    got = {r.line_no: r for r in run("script_parse")}
+    assert {k: " ".join(r.text.split()) for k, r in got.items()} == {0: "first second third", 1: "a b", 2: "go now", 3: "in out", 5: "late"}
+    assert {r.line_no for r in run("script_strict")} == {0, 5} and {r.total_lines for r in run("line_totals")} == {6}
+    assert {(r.character, r.uses) for r in run("character_usage")} == {("user", 2), ("Zoe", 1), ("Bob said", 1), ("Ann", 1)}
+    assert [" ".join(r.text.split()) for r in run("voice_sequence") if r.line_no == 0 and r.type == "speech"] == ["first second third"]
+    assert [r.line_no for r in run("missing_voices")] and "second" in run("formatted_script")[0].script
