@@ -460,7 +460,7 @@ def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("direct_names", r"SELECT doc_id, CASE WHEN contains(n, ' the ') THEN 'The' WHEN contains(n, ' und ') THEN 'und' END AS name FROM (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(substr(text, 1, 300)), '[()\[\].,''\"!?-]+', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS n FROM documents)".replace('\\"', '"'))
 def direct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", catalog.first_name_in(F.substring("text", 1, 300), ["The", "und"]).alias("name"))
+    return _t(spark, sf_dir, "documents").select("doc_id", catalog.first_name_in(F.col("text"), ["The", "und"]).alias("name"))
 
 
 @query("chunk_tasks", f"""WITH {VOICES_SQL}, l AS (SELECT conv_id * 1000 + turn AS project_id, generate_subscripts(ls, 1) - 1 AS line_no, trim(unnest(ls)) AS line, role FROM (SELECT conv_id, turn, role, string_split('[' || role || '] ' || text, chr(10)) AS ls FROM conversations)),

@@ -37,3 +37,9 @@ def test_scripts_hold_every_line_of_a_message(spark, tmp_path):
     assert {(r.character, r.uses) for r in run("character_usage")} == {("user", 2), ("Zoe", 1), ("Bob said", 1), ("Ann", 1)}
     assert [" ".join(r.text.split()) for r in run("voice_sequence") if r.line_no == 0 and r.type == "speech"] == ["first second third"]
     assert [r.line_no for r in run("missing_voices")] and "second" in run("formatted_script")[0].script
+
+
+def test_direct_names_search_whole_texts(spark, tmp_path):
+    rows = [(1, "word " * 300 + "the end"), (2, "wort " * 300 + "und mehr"), (3, "other " * 100), (4, None)]
+    at = folder(spark, tmp_path / "t", documents=(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.name for r in core.QUERIES["direct_names"](spark, at).collect()} == {1: "The", 2: "und", 3: None, 4: None}
