@@ -43,3 +43,21 @@ def test_direct_names_search_whole_texts(spark, tmp_path):
     rows = [(1, "word " * 300 + "the end"), (2, "wort " * 300 + "und mehr"), (3, "other " * 100), (4, None)]
     at = folder(spark, tmp_path / "t", documents=(rows, "doc_id long, text string"))
     assert {r.doc_id: r.name for r in core.QUERIES["direct_names"](spark, at).collect()} == {1: "The", 2: "und", 3: None, 4: None}
+
+
+def test_name_map_knows_every_customer(spark, tmp_path):
+    known = [(k, f"Customer#{k:04d}") for k in range(60)] + [(100, "Ann Lee"), (101, "Bo Leeds"), (102, "Marianne Hill")]
+    users = ["Supplier#0055", "Lee", "Hill#Zed", "arian", "Nobody", "Ann#Lee"]
+    at = folder(spark, tmp_path / "t", customer=(known, "c_custkey long, c_name string"), supplier=([(u,) for u in users], "s_name string"))
+    entries = {n.lower().replace("#", " ") for _, n in known}
+    want = {}
+    for u in users:
+        norm = u.lower().replace("#", " ")
+        scored = []
+        for part, v in [(0, norm)] + [(1, t) for t in norm.split()]:
+            for e in (e for e in entries if v in e):
+                tokens = e.split()
+                scored.append((part * 10 + (0 if e == v else 1 if v in tokens else 2 if any(t.startswith(v) for t in tokens) else 3), -len(e), e))
+        if scored:
+            want[u] = min(scored)[2]
+    assert {r.name: r.canonical for r in core.QUERIES["name_map"](spark, at).collect()} == want and want["Supplier#0055"] == "customer 0055" and want["Lee"] == "ann lee"
