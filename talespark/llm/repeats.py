@@ -93,41 +93,46 @@ def _slices_of(x: _Part, span: int, width: int) -> dict[str, np.ndarray]:
 
 
 def _two_owners(df: DataFrame, *keys: str) -> DataFrame:
-    """Keys held by two owners or more: a partial aggregation, whatever a key's share of the rows."""
+    """Keys held by two owners or more, with the least and the greatest: a partial aggregation, whatever a key's share of the rows."""
     return df.groupBy(*keys).agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high")
 
 
 def _sorted_spans(width: int, span: int) -> Callable:
-    """Intervals of the windows that repeat within groups of strings around one core; rows come sorted by core.
+    """Which windows repeat within groups of strings around one core; rows (core1, core2, left, right, copies) come sorted by core.
 
-    A string is what lies left of the core, the core as one symbol, and what lies right of it. A window that starts d
-    bytes left of the core repeats if the suffix that starts there agrees with a neighbour in the suffix array for
-    ``width`` symbols: the d bytes, the core, and the width - 1 - d bytes that complete the window.
+    A string is what lies left of the core, the core as one symbol, and what lies right of it; one that occurs at two
+    places or more stands in its group twice. A window that starts d bytes left of the core repeats if the suffix that
+    starts there agrees with a neighbour in the suffix array for ``width`` symbols: the d bytes, the core, and the
+    width - 1 - d bytes that complete the window. Each string with such windows is given with its least and greatest d.
     """
-    core = span - width + 1
 
     def solve(groups: list, out: list) -> None:
-        rows = [r for g in groups for r in g]
-        parts, sizes = [], []
-        for g in groups:
-            symbols: list[int] = []
-            for left, right, *_ in g:
-                symbols += [b + 2 for b in left] + [258] + [b + 2 for b in right] + [1]
-            parts.append(np.array([*symbols, 0], np.int64))
-            sizes.append(len(symbols) + 1)
-        text, sizes = np.concatenate(parts), np.array(sizes)
+        rows = [r for g in groups for r in g for _ in range(r[4])]
+        lefts, rights = (np.array([len(r[k]) for r in rows]) for k in (2, 3))
+        counts = np.array([sum(r[4] for r in g) for g in groups])
+        raw = b"".join(x for g in groups for r in g for x in (r[2] + b"\0" + r[3] + b"\0",) * r[4])
+        # Each string: left, core, right, separator; each group ends with one more symbol, the least.
+        text = np.frombuffer(raw, np.uint8).astype(np.int64) + 2
+        stops = np.cumsum(lefts + rights + 2)
+        text[stops - 1] = 1
+        text[stops - 2 - rights] = 258
+        text = np.insert(text, stops[np.cumsum(counts) - 1], 0)
+        nth = np.repeat(np.arange(len(groups)), counts)
+        sizes = np.bincount(nth, lefts + rights + 2).astype(np.int64) + 1
         order = suffix_arrays(text, sizes)
         agree = common_prefixes(text, order, 2, width)
         longest = np.zeros(len(text), np.int64)
         longest[order] = np.maximum(agree, np.r_[0, agree[:-1]])
         center = np.flatnonzero(text == 258)
         back = center[:, None] - np.arange(width)
-        mine = np.arange(width) <= np.array([len(r[0]) for r in rows])[:, None]
-        hit = mine & (longest[np.maximum(back, 0)] >= width)
-        for r, found in zip(rows, hit):
-            d = np.flatnonzero(found)
-            if len(d):
-                out.append((r[2], r[3], r[4] - int(d[-1]), r[4] - int(d[0]) + span))
+        hit = (np.arange(width) <= lefts[:, None]) & (longest[np.maximum(back, 0)] >= width)
+        some = hit.any(1)
+        first, last = hit.argmax(1), width - 1 - hit[:, ::-1].argmax(1)
+        before = None
+        for k in np.flatnonzero(some).tolist():
+            if rows[k] is not before:  # the second copy says the same
+                out.append((*rows[k][:4], int(first[k]), int(last[k])))
+                before = rows[k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list] = {}
@@ -136,25 +141,27 @@ def _sorted_spans(width: int, span: int) -> Callable:
         key, group = None, []
 
         def close() -> None:
-            if len(group) > 1:
-                kind = (len(group) * 2 * width).bit_length()  # groups of about one size go in step
+            if group:
+                here = sum((len(r[2]) + len(r[3]) + 2) * r[4] for r in group)
+                kind = here.bit_length()  # groups of about one size go in step
                 waiting.setdefault(kind, []).append(list(group))
-                symbols[kind] = symbols.get(kind, 0) + sum(len(r[0]) + len(r[1]) + 2 for r in group)
+                symbols[kind] = symbols.get(kind, 0) + here
                 if symbols[kind] > 400_000:
                     solve(waiting.pop(kind), out)
                     symbols[kind] = 0
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [[]] * 4
+            cols = list(zip(*out)) or [[]] * 6
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["k1", "k2", "start", "end"])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["core1", "core2", "left", "right", "first", "last"])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if row[:2] != key:
                     close()
                     key, group = row[:2], []
-                group.append(row[2:])
+                group.append(row)
             yield flush()
         close()
         for groups in waiting.values():
@@ -179,14 +186,16 @@ def repeated_spans(docs: DataFrame, span: int = 200, text_col: str = "text") ->
     """(k1, k2, spans): for each content with repeated windows, intervals (start, end) whose union is all they cover.
 
     A window is ``span`` bytes within one text; it repeats if it also starts anywhere else. Contents are named by _keys;
-    copies of a text are one content that repeats whole. Four kinds of places are told apart, each by partial aggregation:
+    copies of a text are one content that repeats whole. All other windows are decided by suffix sorting; hashes only
+    bring together what is sorted, by partial aggregations:
 
-    1. Anchors whose hash no other place has: no window that holds them repeats. A sieve passes on the others.
-    2. Anchors whose whole surroundings, all windows that can hold them, occur elsewhere: all of these repeat.
-    3. The rest, at the borders of what repeats, is cut into slices of 20 window starts around a core of 181 bytes.
-       Slices whose core is unique go, again by a sieve and then exactly.
-    4. Strings around a core are suffix-sorted, groups of up to GROUP of them; larger groups are cut into narrower
-       slices (20, 5, 1 starts) first; at one start the core is the window, and counting decides.
+    1. Anchors whose hash no other place has go: no window that holds them repeats. A sieve passes on the others.
+    2. Of anchors with the same surroundings, all windows that can hold them, two go on for all.
+    3. These, and the anchors at the borders of what repeats, are cut into slices of 20 window starts around a core of
+       181 bytes. Slices whose core is unique go, again by a sieve and then exactly.
+    4. Strings around a core are suffix-sorted, each distinct one at most twice, in groups of up to GROUP; larger groups
+       are cut into narrower slices (20, 5, 1 starts) first. What the order says of a string holds for all its places.
+    5. Places with the surroundings of 2 repeat whole if the order has said so of the one that went on for them.
 
     So no task holds more than GROUP strings of a core, and no window is compared with all that share its passage.
     """
@@ -194,6 +203,26 @@ def repeated_spans(docs: DataFrame, span: int = 200, text_col: str = "text") ->
         return _repeated_spans(docs, span, text_col, keep)
 
 
+def _decided(rows: DataFrame, span: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(k1, k2, start, end): intervals of repeated windows, of rows (core1, core2, left, right, k1, k2, begin, own)."""
+    core, string = ["core1", "core2"], ["core1", "core2", "left", "right"]
+    found = None
+    for k, width in enumerate(WIDTHS):
+        rows = keep(rows)
+        # Aggregates are written before they are joined: then both sides of a join are plain exchanges, which Spark can split where a key is hot.
+        alike = keep(rows.groupBy(*string).agg(F.when(F.min("own") == F.max("own"), 1).otherwise(2).alias("copies")))
+        groups = keep(alike.groupBy(*core).agg(F.sum("copies").alias("n")).filter("n > 1"))
+        asked = alike.join(groups.filter(F.col("n") <= GROUP).drop("n"), core, "left_semi").select(*string, "copies")
+        hits = keep(asked.repartition(*core).sortWithinPartitions(*core).mapInArrow(_sorted_spans(width, span), "core1 long, core2 long, left binary, right binary, first int, last int"))
+        here = rows.join(hits, string).select("k1", "k2", (F.col("begin") - F.col("last")).alias("start"), (F.col("begin") - F.col("first") + span).alias("end"))
+        found = here if found is None else found.unionByName(here)
+        large = groups.filter(F.col("n") > GROUP)
+        if width == 1 or large.isEmpty():
+            break
+        rows = _narrower(rows.join(large.drop("n"), core, "left_semi"), width, WIDTHS[k + 1], span)
+    return found
+
+
 def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     base = _base(docs, text_col)
     spark = docs.sparkSession
@@ -212,11 +241,9 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
         return x.h, c, x.own, x.k1[x.doc], x.k2[x.doc], (at - left).astype(np.int64), (at + right).astype(np.int64)
 
     rows = _scan(base, span, "h long, c long, own long, k1 long, k2 long, start long, end long", surroundings)
-    # Written first, so that the join's sides are both plain exchanges, which Spark can split where a key is hot.
-    whole = keep(_two_owners(rows, "h", "c").select("h", "c", "low"))
-    marked = keep(rows.join(whole, ["h", "c"], "left").select("own", "low", F.when(F.col("low").isNotNull(), True).alias("all"), "k1", "k2", "start", "end"))
-    covered = marked.filter("all").select("k1", "k2", "start", "end")
-    border = spark.sparkContext.broadcast(sieve(marked.filter("all is null or own = low"), "own"))
+    whole = keep(_two_owners(rows, "h", "c").select("h", "c", "low", "high"))
+    marked = keep(rows.join(whole, ["h", "c"], "left"))
+    border = spark.sparkContext.broadcast(sieve(marked.filter("low is null or own = low or own = high"), "own"))
 
     def cores(x: _Part) -> tuple:
         x.keep(_passes(shared.value, x.h))
@@ -240,39 +267,32 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
         return core1, Hashes(x.data, 4).of(begin, end), left, right, x.k1[x.doc[row]], x.k2[x.doc[row]], begin - x.head[row], own
 
     fields = "core1 long, core2 long, left binary, right binary, k1 long, k2 long, begin long, own long"
-    found = [covered]
-    rows = _scan(base, span, fields, strings).dropDuplicates(["core1", "core2", "own"])
-    for k, width in enumerate(WIDTHS):
-        rows = keep(rows)
-        # Strings that are alike in full repeat as they are; one of them stays to be met by others.
-        alike = rows.groupBy("core1", "core2", "left", "right").agg(F.min("own").alias("low"), F.max("own").alias("high"))
-        groups = alike.groupBy("core1", "core2").agg(F.count("*").alias("n"), F.max(F.col("low") != F.col("high")).alias("twins"))
-        groups = groups.filter("n > 1 or twins")
-        met = rows.join(groups.drop("twins"), ["core1", "core2"])
-        twins = alike.filter("low <> high")
-        met = keep(met.join(twins, ["core1", "core2", "left", "right"], "left"))
-        size = F.lit(span - width + 1)
-        found.append(met.filter("low is not null").select("k1", "k2", (F.col("begin") - F.length("left")).alias("start"), (F.col("begin") + size + F.length("right")).alias("end")))
-        if width == 1:
-            break
-        left = met.filter("n > 1 and (low is null or own = low)").drop("low", "high")
-        small = left.filter(F.col("n") <= GROUP).select("core1", "core2", "left", "right", "k1", "k2", "begin")
-        found.append(small.repartition("core1", "core2").sortWithinPartitions("core1", "core2").mapInArrow(_sorted_spans(width, span), "k1 long, k2 long, start long, end long"))
-        rows = left.filter(F.col("n") > GROUP)
-        if rows.isEmpty():
-            break
-        rows = _narrower(rows.drop("n"), width, WIDTHS[k + 1], span)
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.unionByName(more)
+    decided = keep(_runs(_decided(_scan(base, span, fields, strings).dropDuplicates(["core1", "core2", "own"]), span, keep)))
+    # Of each kind of surroundings, the place that went on for all: they repeat if the order has found all its windows.
+    first = marked.filter("own = low").select("h", "c", "k1", "k2", "start", "end").dropDuplicates(["h", "c"])
+    sure = keep(first.join(decided, ["k1", "k2"]).filter(F.exists("spans", lambda s: (s["start"] <= F.col("start")) & (s["end"] >= F.col("end")))).select("h", "c"))
+    covered = marked.filter("low is not null").join(sure, ["h", "c"], "left_semi").select("k1", "k2", "start", "end")
+    spans = decided.select("k1", "k2", F.explode("spans").alias("s")).select("k1", "k2", "s.start", "s.end").unionByName(covered)
     copies = base.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("end")).filter((F.col("n") > 1) & (F.col("end") >= span))
-    spans = spans.unionByName(copies.select("k1", "k2", F.lit(0).cast("long").alias("start"), "end"))
-    out = cut(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    out = cut(_runs(spans.unionByName(copies.select("k1", "k2", F.lit(0).cast("long").alias("start"), "end"))))
     for sent in (shared, border, again):  # all that read them is written
         sent.unpersist()
     return out
 
 
+def _runs(spans: DataFrame) -> DataFrame:
+    """(k1, k2, spans): the maximal runs of each content's intervals, in order; a content has at most as many as it has bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            runs = [[{"start": a, "end": b} for a, b in merged(x)] for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, kind)], ["k1", "k2", "spans"])
+
+    held = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return held.mapInArrow(run, "k1 long, k2 long, spans array<struct<start: long, end: long>>")
+
+
 def merged(spans: list) -> list[tuple[int, int]]:
     """Maximal runs of the union, in order."""
     out: list[list[int]] = []
@@ -305,16 +325,22 @@ def _aligned(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _touched(docs: DataFrame, spans: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with __k1 and __k2, parted in rows that may have spans and rows that have none, by a bitmap.
+def _touched(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (row, text) with k1 and k2, parted in those that may have spans and those that have none, by a bitmap.
 
     The bitmap has 131072 words at most, so broadcasting it is safe at any size; texts without spans are never shuffled.
     """
-    words = spans.groupBy(F.expr("shiftright(k1 & 8388607L, 6)").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k1 & 63 as int))")).alias("__bits"))
-    k1, k2 = _keys(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    met = docs.withColumns({"__k1": k1, "__k2": k2}).withColumn("__word", F.expr("shiftright(__k1 & 8388607L, 6)")).join(F.broadcast(words), "__word", "left")
-    maybe = F.coalesce(F.expr("shiftright(__bits, cast(__k1 & 63 as int)) & 1L"), F.lit(0).cast("long")) == 1
-    return met.filter(maybe).drop("__word", "__bits"), met.filter(~maybe).drop("__word", "__bits")
+    words = spans.groupBy(F.expr("shiftright(k1 & 8388607L, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k1 & 63 as int))")).alias("bits"))
+    k1, k2 = _keys(F.col("text"))
+    met = rows.withColumns({"k1": k1, "k2": k2}).withColumn("word", F.expr("shiftright(k1 & 8388607L, 6)")).join(F.broadcast(words), "word", "left")
+    maybe = F.coalesce(F.expr("shiftright(bits, cast(k1 & 63 as int)) & 1L"), F.lit(0).cast("long")) == 1
+    return met.filter(maybe).drop("word", "bits"), met.filter(~maybe).drop("word", "bits")
+
+
+def _rows(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text): all columns of ``docs`` as one, whatever their names, and the text that is looked at."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(whole.alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
 def digest_repeats(docs: DataFrame, span: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,9 +350,9 @@ def digest_repeats(docs: DataFrame, span: int = 200, id_col: str = "doc_id", tex
     more loses all. Null texts are empty; shorter texts lose nothing; null ids stay null; an empty table gives no rows;
     other columns are not read.
     """
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    known = docs.select(F.col(id_col).cast("long").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = repeated_spans(known, span, "text")
-    touched, rest = _touched(known, spans, "text")
+    touched, rest = _touched(known, spans)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,20 +364,22 @@ def digest_repeats(docs: DataFrame, span: int = 200, id_col: str = "doc_id", tex
                     out.append((len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_without(text, runs)).hexdigest()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*out))], names)
 
-    met = touched.join(spans, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
+    met = touched.join(spans, ["k1", "k2"], "left").select("row", F.col("text").cast("binary").alias("text"), "spans")
     done = met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
-    return done.unionByName(rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")))
+    return done.unionByName(rest.select(F.col("row").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")))
 
 
 def strip_repeats(docs: DataFrame, span: int = 200, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with repeated spans cut out of ``text_col``, other columns as they are (``length_col``, if there, counted anew).
+    """``docs`` with repeated spans cut out of ``text_col``, other columns as they are (``length_col``, if there, counted anew
+    where a text has changed).
 
     Spans are drawn in to whole characters, so what is left is text. Rows stay, even those that lose all. Null texts
-    stay null.
+    stay null, empty and shorter ones as they are; of equal texts of ``span`` bytes or more every row loses all. Columns
+    may have any names. An empty table gives no rows.
     """
     spans = repeated_spans(docs, span, text_col)
-    touched, rest = _touched(docs, spans, text_col)
+    touched, rest = _touched(_rows(docs, text_col), spans)
 
     @F.pandas_udf("string")
     def strip(text, found):  # noqa: ANN001, ANN202
@@ -359,11 +387,16 @@ def strip_repeats(docs: DataFrame, span: int = 200, text_col: str = "text", leng
             raw = t.encode()
             return _without(raw, _aligned(raw, merged(f))).decode()
 
-        return text.combine(found, lambda t, f: one(t, [dict(x) if isinstance(x, dict) else {"start": x["start"], "end": x["end"]} for x in f]) if t is not None and f is not None else t)
+        return text.combine(found, lambda t, f: one(t, f) if f is not None else t)
+
+    met = touched.join(spans, ["k1", "k2"], "left").withColumn("left", F.when(F.col("spans").isNotNull(), strip(F.col("text"), F.col("spans"))))
+
+    def column(c: str) -> Column:
+        own = F.col("row").getField(c)
+        if c == text_col:
+            return F.when(F.col("left").isNull() | own.isNull(), own.cast("string")).otherwise(F.col("left")).cast(docs.schema[c].dataType).alias(c)
+        if c == length_col:
+            return F.when(F.col("left").isNull(), own).otherwise(F.length("left").cast(docs.schema[c].dataType)).alias(c)
+        return own.alias(c)
 
-    met = touched.join(spans, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").drop("k1", "k2")
-    met = met.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(strip(F.col(text_col), F.col("spans"))))
-    if length_col in docs.columns:
-        met = met.withColumn(length_col, F.when(F.col("spans").isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return met.select(*columns).unionByName(rest.select(*columns))
+    return met.select(*map(column, docs.columns)).unionByName(rest.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))

@@ -150,6 +150,35 @@ def test_repeats(spark, docs, empty, monkeypatch, group):
     assert repeats.digest_repeats(empty).count() == 0
 
 
+def test_the_order_decides_all_but_whole_copies(docs, monkeypatch):
+    """Without suffix sorting nothing goes but texts that repeat whole."""
+
+    def nothing(batches):
+        for _ in batches:
+            yield from ()
+
+    monkeypatch.setattr(repeats, "_sorted_spans", lambda width, span: nothing)
+    got, copies = by_id(repeats.digest_repeats(docs)), Counter(TEXTS)
+    for k, t in enumerate(TEXTS):
+        size = len((t or "").encode())
+        assert got[k].n_removed == (size if copies[t] > 1 and size >= 200 else 0)
+
+
+CLASHES = "k1 k2 spans text_ left word bits row end weight room epoch __full __source __key __word __k1 tokens h c own low high digest component_id gone __gone tail kept".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    """The texts with every column name that an operator uses within."""
+    return docs.select("doc_id", "text", "source", "lang", *(F.lit(k).alias(c) for k, c in enumerate(CLASHES)))
+
+
+def test_strip_repeats_with_clashing_names(docs, clashing):
+    want, got = by_id(repeats.strip_repeats(docs)), by_id(repeats.strip_repeats(clashing))
+    assert all(got[k].text == want[k].text and all(got[k][c] == j for j, c in enumerate(CLASHES)) for k in got) and len(got) == len(TEXTS)
+    assert repeats.strip_repeats(clashing).columns == clashing.columns and repeats.strip_repeats(clashing.limit(0)).count() == 0
+
+
 def test_strip_repeats_keeps_text(docs):
     got = by_id(repeats.strip_repeats(docs))
     assert got[0].text is None and got[5].text == "" and got[4].text == "Two words" and got[7].text == TEXTS[7]
