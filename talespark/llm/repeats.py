@@ -171,6 +171,45 @@ def _sorted_spans(width: int, span: int) -> Callable:
     return run
 
 
+def _sorted_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``low`` of the surroundings that repeat; rows (h, l2, l1, r1, r2, low) come sorted by h, the hash of what lies in the middle.
+
+    Surroundings are strings of five symbols, their pieces, and stand twice in the group of their h, for the two places
+    they have at least. They repeat if the suffix that is all of them agrees with a neighbour in all five.
+    """
+    held: np.ndarray | None = None
+
+    def solve(rows: np.ndarray) -> pa.RecordBatch:
+        n = len(rows)
+        named = np.unique(rows[:, :5], return_inverse=True)[1].reshape(n, 5)[:, [1, 2, 0, 3, 4]] + 2
+        strings = np.repeat(np.c_[named, np.ones(n, np.int64)], 2, axis=0)
+        # Groups of one h, in parts of GROUP at most; each ends with one more symbol, the least.
+        heads = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if n else np.zeros(0, np.int64)
+        place = np.arange(n) - np.repeat(heads, np.diff(np.r_[heads, n]))
+        stops = np.flatnonzero(np.r_[(place[1:] % GROUP) == 0, True]) + 1 if n else np.zeros(0, np.int64)
+        text = np.insert(strings.ravel(), stops * 12, 0)
+        order = suffix_arrays(text, np.diff(np.r_[0, stops]) * 12 + 1)
+        agree = common_prefixes(text, order, 2, 5)
+        longest = np.zeros(len(text), np.int64)
+        longest[order] = np.maximum(agree, np.r_[0, agree[:-1]])
+        first = np.arange(n) * 12 + np.searchsorted(stops, np.arange(n), "right")
+        return pa.RecordBatch.from_arrays([pa.array(rows[longest[first] >= 5, 5])], ["low"])
+
+    for batch in batches:
+        for at in range(0, len(batch), 1 << 15):
+            part = batch.slice(at, 1 << 15)
+            rows = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in range(6)], 1)
+            rows = rows if held is None else np.concatenate((held, rows))
+            # The last h may go on; one that has filled a part need not be held whole.
+            cut_at = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left")) if len(rows) else 0
+            cut_at += (len(rows) - cut_at) // GROUP * GROUP
+            held = rows[cut_at:]
+            if cut_at:
+                yield solve(rows[:cut_at])
+    if held is not None and len(held):
+        yield solve(held)
+
+
 def _narrower(rows: DataFrame, width: int, part: int, span: int) -> DataFrame:
     """The slices of ``width`` window starts cut into slices of ``part`` starts, each with its own, longer core."""
     q = F.explode(F.sequence(F.lit(0), F.lit(width // part - 1))).alias("q")
@@ -190,12 +229,13 @@ def repeated_spans(docs: DataFrame, span: int = 200, text_col: str = "text") ->
     bring together what is sorted, by partial aggregations:
 
     1. Anchors whose hash no other place has go: no window that holds them repeats. A sieve passes on the others.
-    2. Of anchors with the same surroundings, all windows that can hold them, two go on for all.
-    3. These, and the anchors at the borders of what repeats, are cut into slices of 20 window starts around a core of
-       181 bytes. Slices whose core is unique go, again by a sieve and then exactly.
-    4. Strings around a core are suffix-sorted, each distinct one at most twice, in groups of up to GROUP; larger groups
-       are cut into narrower slices (20, 5, 1 starts) first. What the order says of a string holds for all its places.
-    5. Places with the surroundings of 2 repeat whole if the order has said so of the one that went on for them.
+    2. Surroundings of an anchor, all windows that can hold it, are strings of five symbols. They are suffix-sorted in
+       groups around the anchor; surroundings that repeat repeat with all their windows, at all their places.
+    3. One place of these, and the anchors at the borders of what repeats, are cut into slices of 20 window starts around
+       a core of 181 bytes. Slices whose core is unique go, again by a sieve and then exactly.
+    4. Strings around a core are suffix-sorted byte by byte, each distinct one once or, if it has more places, twice, in
+       groups of up to GROUP; larger groups are cut into narrower slices (20, 5, 1 starts) first. What the order says of
+       a string holds for all its places.
 
     So no task holds more than GROUP strings of a core, and no window is compared with all that share its passage.
     """
@@ -235,15 +275,18 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
 
     def surroundings(x: _Part) -> tuple:
         x.keep(_passes(shared.value, x.h))
-        left, right = np.minimum(x.at - x.head, wide), np.minimum(x.tail - x.at, span)
-        c = _scramble(Hashes(x.data, 2).of(x.at - left, x.at + right) ^ (left * 1000 + right).astype(np.uint64))
-        at = x.at - x.head
-        return x.h, c, x.own, x.k1[x.doc], x.k2[x.doc], (at - left).astype(np.int64), (at + right).astype(np.int64)
-
-    rows = _scan(base, span, "h long, c long, own long, k1 long, k2 long, start long, end long", surroundings)
-    whole = keep(_two_owners(rows, "h", "c").select("h", "c", "low", "high"))
-    marked = keep(rows.join(whole, ["h", "c"], "left"))
-    border = spark.sparkContext.broadcast(sieve(marked.filter("low is null or own = low or own = high"), "own"))
+        start, end, after = np.maximum(x.at - wide, x.head), np.minimum(x.at + span, x.tail), x.at + GRAM
+        middle, beyond = np.maximum(x.at - wide // 2, start), np.minimum(after + wide // 2, end)
+        of = Hashes(x.data, 2).of
+        return x.h, of(start, middle), of(middle, x.at), of(after, beyond), of(beyond, end), x.own, x.k1[x.doc], x.k2[x.doc], start - x.head, end - x.head
+
+    pieces = ["h", "l2", "l1", "r1", "r2"]
+    rows = _scan(base, span, "h long, l2 long, l1 long, r1 long, r2 long, own long, k1 long, k2 long, start long, end long", surroundings)
+    whole = keep(_two_owners(rows, *pieces).drop("high"))
+    sure = keep(whole.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_surroundings, "low long"))
+    marked = keep(rows.join(whole, pieces, "left").select("own", "low", "k1", "k2", "start", "end"))
+    covered = marked.join(sure, "low", "left_semi").select("k1", "k2", "start", "end")
+    border = spark.sparkContext.broadcast(sieve(marked.filter("low is null or own = low"), "own"))
 
     def cores(x: _Part) -> tuple:
         x.keep(_passes(shared.value, x.h))
@@ -267,12 +310,8 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
         return core1, Hashes(x.data, 4).of(begin, end), left, right, x.k1[x.doc[row]], x.k2[x.doc[row]], begin - x.head[row], own
 
     fields = "core1 long, core2 long, left binary, right binary, k1 long, k2 long, begin long, own long"
-    decided = keep(_runs(_decided(_scan(base, span, fields, strings).dropDuplicates(["core1", "core2", "own"]), span, keep)))
-    # Of each kind of surroundings, the place that went on for all: they repeat if the order has found all its windows.
-    first = marked.filter("own = low").select("h", "c", "k1", "k2", "start", "end").dropDuplicates(["h", "c"])
-    sure = keep(first.join(decided, ["k1", "k2"]).filter(F.exists("spans", lambda s: (s["start"] <= F.col("start")) & (s["end"] >= F.col("end")))).select("h", "c"))
-    covered = marked.filter("low is not null").join(sure, ["h", "c"], "left_semi").select("k1", "k2", "start", "end")
-    spans = decided.select("k1", "k2", F.explode("spans").alias("s")).select("k1", "k2", "s.start", "s.end").unionByName(covered)
+    decided = _decided(_scan(base, span, fields, strings).dropDuplicates(["core1", "core2", "own"]), span, keep)
+    spans = covered.unionByName(decided)
     copies = base.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("end")).filter((F.col("n") > 1) & (F.col("end") >= span))
     out = cut(_runs(spans.unionByName(copies.select("k1", "k2", F.lit(0).cast("long").alias("start"), "end"))))
     for sent in (shared, border, again):  # all that read them is written
