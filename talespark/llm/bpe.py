@@ -129,19 +129,20 @@ def token_starts(symbols: np.ndarray, width: int = 256) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def pieces(texts: list[str]) -> Iterator[list[bytes]]:
-    """The pre-tokens of each text, as UTF-8 slices."""
+def pieces(texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The pre-tokens of each text, as UTF-8 slices, and the byte offset at which each begins in its text."""
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     resets = np.cumsum([len(t) + 1 for t in texts]) - 1
     starts = np.flatnonzero(token_starts(_symbols(points, resets)))
     size = (1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)).cumsum()
-    cuts = np.r_[0, size][starts].tolist()
+    places = np.r_[0, size][starts]
+    cuts = places.tolist()
     blob = joined.encode("utf-8", "surrogatepass")
     found = [blob[a:b] for a, b in zip(cuts, [*cuts[1:], len(blob)])]
     at = 0
     for end in np.searchsorted(starts, resets).tolist():
-        yield found[at:end]
+        yield found[at:end], places[at:end] - places[at]
         at = end + 1
 
 
@@ -231,7 +232,13 @@ class Coder:
 
     def __init__(self, blob: bytes):
         self.ranks = {b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
-        self.bytes_of = {v: k for k, v in self.ranks.items()}
+        top = max(self.ranks.values(), default=-1) + 1
+        by_id = [b""] * top
+        for token, rank in self.ranks.items():
+            by_id[rank] = token
+        self.sizes = np.array([len(t) for t in by_id], np.int64)  # of each id's bytes
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
         self.pairs = Pairs(self.ranks)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -256,25 +263,38 @@ class Coder:
             for p, ids in zip(group, merge_all(group, self.pairs)):
                 young[p] = ids.astype("<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, as unsigned 32-bit integers."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of each text, as unsigned 32-bit integers, and the byte offset at which each token begins.
+
+        A slice's offset comes from the scan; within a slice each token begins where the one before it ends.
+        """
         cut = list(pieces(texts))
-        self._learn({p for found in cut for p in found})
+        self._learn({p for found, _ in cut for p in found})
         get = self.young.__getitem__
-        for found in cut:
-            yield np.frombuffer(b"".join(map(get, found)), "<u4")
+        for found, places in cut:
+            packed = list(map(get, found))
+            ids = np.frombuffer(b"".join(packed), "<u4")
+            counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+            ends = np.cumsum(self.sizes[ids])
+            begins = ends - self.sizes[ids]
+            heads = np.cumsum(counts) - counts
+            yield ids, begins - np.repeat(begins[heads] - places, counts)
 
     def forget(self) -> None:
         """Empty the cache: workers outlive their tasks, and what they hold counts in later steps."""
         self.young, self.old = {}, {}
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-
-    def offsets(self, ids: np.ndarray) -> np.ndarray:
-        """Byte offset of each id's start in the decoded text."""
-        sizes = np.fromiter((len(self.bytes_of[i]) for i in ids.tolist()), np.int64, len(ids))
-        return np.cumsum(sizes) - sizes
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The text's bytes: each token's are put at its offset, a block of tokens at a time."""
+        if not len(ids):
+            return b""
+        out = np.zeros(int(offsets[-1] + self.sizes[ids[-1]]), np.uint8)
+        for at in range(0, len(ids), 1 << 16):
+            some, start = ids[at : at + (1 << 16)], offsets[at : at + (1 << 16)]
+            size = self.sizes[some]
+            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            out[np.repeat(start, size) + nth] = self.bytes[np.repeat(self.places[some], size) + nth]
+        return out.tobytes()
 
 
 @lru_cache(2)
@@ -287,7 +307,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _run(docs: DataFrame, path: str, id_col: str, text_col: str, fields: str, make) -> DataFrame:
-    """One pass over the texts; ``make`` turns (coder, ids) into the values of the columns after the id."""
+    """One pass over the texts; ``make`` turns (coder, ids, offsets) into the values of the columns after the id."""
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size does not follow the data
     names = [x.split()[0] for x in fields.split(", ")]
@@ -297,7 +317,7 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, fields: str, ma
         for batch in batches:
             for part in slices(batch, 1, 2 << 20):
                 texts = [t.decode("utf-8", "replace") for t in part.column(1).to_pylist()]
-                cols = zip(*(make(coder, ids) for ids in coder.encode(texts)))
+                cols = zip(*(make(coder, *got) for got in coder.encode(texts)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols)], ["doc_id", *names])
         coder.forget()
 
@@ -310,30 +330,36 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ``path`` is a rank file on the driver. Special tokens are ordinary text. Null texts are empty; empty ones have empty
     lists. Rows are kept as they come, repeated or not; a null id stays null. Other columns are not read.
     """
-    return _run(docs, path, id_col, text_col, "ids array<long>, offsets array<long>", lambda coder, ids: (ids.astype(np.int64), coder.offsets(ids)))
+    return _run(docs, path, id_col, text_col, "ids array<long>, offsets array<long>", lambda coder, ids, offsets: (ids.astype(np.int64), offsets))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, bytes) of rows (doc_id, ids)."""
+    """(doc_id, bytes) of rows (doc_id, ids, offsets), as encode() gives them: each token's bytes are put at its offset.
+
+    Null or empty ids give no bytes; an id that the vocabulary lacks is an error. Repeated rows and null ids of documents
+    each get a row; other columns are not read; an empty table gives no rows.
+    """
     with open(path, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
+            for part in slices(batch, 1, 4 << 20):
+                rows = zip(part.column(1).to_pylist(), part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([coder.decode(np.array(x or [], np.int64), np.array(at or [], np.int64)) for x, at in rows], pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<long>")).mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<long>"), F.col("offsets").cast("array<long>")).mapInArrow(run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each whole text: encoded, then decoded from the ids alone.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each whole text: encoded, then decoded from ids and offsets alone.
 
     Same rules as encode(); the ids are digested as little-endian unsigned 32-bit integers, so long texts never leave
     the task that reads them.
     """
 
-    def make(coder: Coder, ids: np.ndarray) -> tuple:
-        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+    def make(coder: Coder, ids: np.ndarray, offsets: np.ndarray) -> tuple:
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(coder.decode(ids, offsets)).hexdigest()
 
     return _run(docs, path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)

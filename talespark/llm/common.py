@@ -8,7 +8,8 @@ from contextlib import contextmanager
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that separate words everywhere in this subpackage.
 SEPARATORS = " \t\n\x0b\x0c\r"
@@ -23,16 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session, set from ``spark.checkpoint.dir``.
 
-    Only a single-machine session without that setting (tests) gets a temporary folder; any other
-    session without it falls back to a folder in the warehouse, which is shared by definition.
+    Only a single-machine session without that setting (tests) gets a temporary folder; on a cluster
+    the setting is needed, as no other folder is known to be shared.
     """
     sc = spark.sparkContext
     if found := sc.getCheckpointDir():
         return found
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        path = tempfile.mkdtemp(prefix="checkpoint-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="checkpoint-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
@@ -76,8 +78,22 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
+    """Delete a folder of the shared file system, now or when the session's JVM ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if at_exit:
+        system.deleteOnExit(place)
+    else:
+        system.delete(place, True)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for each row, however often ``use`` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if not large:
         both = both.filter("v < u")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written before it is joined: then both sides of the join are plain exchanges, and Spark can split a star's centre.
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     met = both.join(least, "u")
     if large:
         out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

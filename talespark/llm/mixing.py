@@ -19,7 +19,7 @@ BROADCAST_SOURCES = 10_000
 
 @dataclass
 class Mixture:
-    """exponent: power of the token shares; plan: a row per source, see plan_mixture; sources: their number."""
+    """exponent: power of the token shares; plan: a row per source, see plan_mixture; sources: their number, those without tokens included."""
 
     exponent: float
     plan: DataFrame
@@ -101,10 +101,10 @@ def plan_mixture(rows: DataFrame, entropy_share: float = 0.95, epochs: float = 4
     """
     totals = cut(rows.groupBy("__source").agg(F.sum("tokens").alias("tokens")))
     some = totals.filter("tokens > 0")
-    total, count = some.agg(F.sum("tokens"), F.count("*")).first()
+    total, count, sources = totals.agg(F.sum("tokens"), F.count_if(F.col("tokens") > 0), F.count("*")).first()
     if not count:
         plan = totals.select("__source", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("__full"), F.lit(0.0).alias("room"))
-        return Mixture(1.0, plan.withColumns({"end": F.lit(None).cast("long"), "end_part": F.lit(None).cast("long")}), 0)
+        return Mixture(1.0, plan.withColumns({"end": F.lit(None).cast("long"), "end_part": F.lit(None).cast("long")}), sources)
     total = float(total)
     budget = float(budget or total)
     a = temperature_exponent(some, total, entropy_share * math.log(count), epochs, budget)
@@ -114,14 +114,14 @@ def plan_mixture(rows: DataFrame, entropy_share: float = 0.95, epochs: float = 4
     plan = totals.withColumn("weight", F.when(F.col("tokens") > 0, weight).otherwise(F.lit(0.0)))
     plan = plan.withColumn("__full", F.when(F.col("tokens") > 0, F.floor(due / F.col("tokens") + 1e-9)).otherwise(F.lit(1)).cast("long"))  # a source without tokens is passed once
     plan = cut(plan.withColumn("room", F.greatest(F.lit(0.0), due - F.col("__full") * F.col("tokens"))).drop("tokens"))
-    hint = F.broadcast if count <= BROADCAST_SOURCES else (lambda x: x)
+    hint = F.broadcast if sources <= BROADCAST_SOURCES else (lambda x: x)  # the plan has a row for every source
     met = rows.join(hint(plan), "__source").withColumns(_spots(seed))
     blocks = met.groupBy("__source", "room", "__block_place").agg(F.sum("tokens").alias("tokens"))
     ends = cut(_ends(blocks, "__block_place", "room").select("__source", F.col("end.at").alias("end"), F.col("end.left").alias("left")))
     parts = met.join(hint(ends), "__source").filter(F.col("__block_place") == F.col("end")).groupBy("__source", "left", "__part_place").agg(F.sum("tokens").alias("tokens"))
     last = _ends(parts, "__part_place", "left").select("__source", F.col("end.at").alias("end_part"))
     plan = cut(plan.join(ends.drop("left"), "__source", "left").join(last, "__source", "left"))
-    return Mixture(a, plan, count)
+    return Mixture(a, plan, sources)
 
 
 def _draws(rows: DataFrame, mixture: Mixture, seed: int) -> DataFrame:
@@ -148,8 +148,12 @@ def mix_sources(docs: DataFrame, entropy_share: float = 0.95, epochs: float = 4.
 
 
 def mixed_documents(docs: DataFrame, entropy_share: float = 0.95, epochs: float = 4.0, budget: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs``, each row as often as mix_sources() draws it; its columns only. Texts are not shuffled."""
+    """``docs``, each row as often as mix_sources() draws it; its columns only, whatever their names.
+
+    Texts are not shuffled unless there are more than BROADCAST_SOURCES sources. Nulls, empty texts, repeated rows and empty tables are treated as there.
+    """
     rows = cut(measured(docs, id_col, text_col, source_col))
     mixture = plan_mixture(rows, entropy_share, epochs, budget, seed)
-    named = docs.select("*", F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), _key(docs, id_col, text_col).alias("__key"))
-    return _draws(named, mixture, seed).select(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    named = docs.select(whole.alias("__row"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), _key(docs, id_col, text_col).alias("__key"))
+    return _draws(named, mixture, seed).select("__row.*")

@@ -9,9 +9,10 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, slices
 
 #: Characters taken off both ends of a word before it is hashed; their kind is a feature of its own.
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -115,23 +116,29 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("__id"), grade.alias("grade")).filter("__id is not null and grade is not null").groupBy("__id").agg(F.min("grade").alias("grade"))
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = 18, bound: int = 12000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fit on at most ``bound`` labelled documents, those with the least hash of their id; only their feature hashes reach the driver.
+def train(docs: DataFrame, labels: DataFrame, bits: int = 18, bound: int = 12000, most_features: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+    """Fit on at most ``bound`` labelled documents, those with the least hash of their id, as far as they hold
+    ``most_features`` feature hashes together; only these hashes (64 MB at most) reach the driver.
 
-    Of rows that repeat a chosen id, the text with the least hash stands for the id, so a hot id is one example as any other.
+    Of rows that repeat a chosen id, the text with the least hash stands for the id, so a hot id is one example as any
+    other. Ids or ratings that are null are no examples; null and empty texts are examples without features. Without
+    examples, or with one grade only, the model has thresholds alone (fit_ordinal). Other columns are not read.
     """
-    chosen = graded(labels).orderBy(F.xxhash64("__id"), "__id").limit(bound)
+    chosen = graded(labels).withColumn("__place", F.xxhash64("__id")).orderBy("__place", "__id").limit(bound)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-    met = texts.join(F.broadcast(chosen), "__id")  # at most ``bound`` rows of two numbers
-    sample = met.groupBy("__id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("grade", "text")
+    met = texts.join(F.broadcast(chosen), "__id")  # at most ``bound`` rows of three numbers
+    sample = met.groupBy("__place", "__id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("__place", "__id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                found = [features(t, bits).astype(np.int32).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["grade", "found"])
-
-    got = sample.mapInArrow(run, "grade int, found binary").orderBy("grade", "found").collect()
+            for part in slices(batch, 3):
+                found = [features(t, bits).astype(np.int32) for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["place", "id", "grade", "n", "found"])
+
+    seen = cut(sample.mapInArrow(run, "place long, id long, grade int, n long, found binary"))
+    so_far = F.sum("n").over(W.orderBy("place", "id"))  # over ``bound`` rows at most
+    fits = seen.select("place", "id", "n").withColumn("so_far", so_far).filter(F.col("so_far") <= most_features).select("place", "id")
+    got = seen.join(F.broadcast(fits), ["place", "id"]).orderBy("place", "id").select("grade", "found").collect()
     return fit_ordinal([np.frombuffer(r.found, np.int32).astype(np.int64) for r in got], np.array([r.grade for r in got], np.int64), bits)
 
 
@@ -156,7 +163,10 @@ def classify(docs: DataFrame, model: OrdinalModel, least: int = 2, tail: float =
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, least: int = 2, tail: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that classify() keeps, with all their columns, in one pass without a shuffle."""
+    """The rows of ``docs`` that classify() keeps, with all their columns, in one pass without a shuffle.
+
+    Nulls, empty texts, repeated rows and empty tables are treated as there; columns may have any names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     bits, at = model.bits, docs.columns.index(text_col)
 

@@ -16,8 +16,8 @@ RULES = ("symbol_share", "dup_line_share", "repeat_share", "word_length")
 def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Counts over each whole text: (doc_id, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words).
 
-    Everything happens within a row, without a shuffle. Three-word windows are compared by 64-bit hashes, which are
-    sorted with their places, so a text of n words costs n log n; a text without repeated windows skips the sort.
+    Everything happens within a row, without a shuffle. Three-word windows are sorted by their hash, then their words,
+    with their places, so a text of n words costs n log n; a text in which all hashes differ skips the sort.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("text"))
@@ -33,10 +33,12 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     word = lambda i: F.get(F.col("words"), i)
     windows = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)))).otherwise(F.array().cast("array<long>"))
-    counted = counted.withColumn("windows", windows).drop("words")
+    counted = counted.withColumn("windows", windows)
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
-    counted = counted.withColumn("placed", F.when(twice, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("windows")
-    same = lambda x, k: F.coalesce(F.get(F.col("placed"), k)["h"] == x["h"], F.lit(False))
+    # Hashes only find texts that may have repeated windows; there, the words themselves are compared.
+    window = lambda h, i: F.struct(h.alias("h"), F.concat_ws(" ", word(i), word(i + 1), word(i + 2)).alias("w"), i.alias("i"))
+    counted = counted.withColumn("placed", F.when(twice, F.sort_array(F.transform("windows", window)))).drop("windows", "words")
+    same = lambda x, k: F.coalesce((F.get(F.col("placed"), k)["h"] == x["h"]) & (F.get(F.col("placed"), k)["w"] == x["w"]), F.lit(False))
     found = F.transform(F.filter("placed", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])
     counted = counted.withColumn("found", F.sort_array(found)).drop("placed")
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -95,10 +97,14 @@ def risk_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.05, delta
     the other half, the holdout, a cutoff is valid if the exact binomial test rejects "more than risk / rules of the good
     texts are lost" at level delta / (rules * steps * strata), Bonferroni's correction for every test made. So with
     probability 1 - delta, no stratum loses more than ``risk`` of its good texts to all rules together. A rule without a
-    valid cutoff in a stratum has a null there and rejects nothing; neither does a stratum without labels.
+    valid cutoff in a stratum has a null there and rejects nothing; neither does a stratum without labels. Rows that
+    repeat an id are one vote, that of the least counts: the bound needs votes that do not depend on each other.
     """
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("quality")).filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = _measures(counts.filter(~base_failed())).join(rated, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    counted = counts.join(rated, "doc_id")
+    votes = [c for c in counted.columns if c not in ("doc_id", "quality")]
+    once = counted.groupBy("doc_id", "quality").agg(F.min(F.struct(*votes)).alias("v")).select("doc_id", "quality", "v.*")
+    known = _measures(once.filter(~base_failed())).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
     quantiles = [1 - 0.75 ** (k + 1) for k in range(steps)]  # closer to 1 in equal ratios, where few good texts lie above
     proposed = known.filter("half = 0").groupBy("stratum").agg(*(F.percentile_approx(r, quantiles, 10000).alias(f"cuts_{r}") for r in RULES))
     good = _with_stratum(known.filter("half = 1 and quality >= 1"), proposed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,22 @@ def _links(radius: int) -> Callable:
     return run
 
 
+def parts_for(count: int, radius: int = 4, most: int = 256) -> int:
+    """Segments for ``count`` fingerprints: the most, up to three, whose tables fetch about ``most`` rows a fingerprint by chance.
+
+    Fewer segments are wider: they need larger balls, so more probes, but meet far fewer strangers.
+    """
+    for parts in (3, 2):
+        small, more = divmod(radius, parts)
+        met = 0.0
+        for k, (_, width) in enumerate(_segments(parts)):
+            ball = small if k <= more else small - 1
+            met += count * sum(comb(width, n) for n in range(ball + 1)) / 2.0**width
+        if met <= most:
+            return parts
+    return 2
+
+
 def link_fingerprints(fps: DataFrame, radius: int = 4, parts: int = 3, bucket: int = 4096) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of column ``fp`` that join all within ``radius`` of each other.
 
@@ -174,30 +191,34 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, parts: int = 3, bucket: i
     return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links(radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, parts: int = 3, seed: int = 42) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, parts: int | None = None, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id): near-duplicate groups of whole texts.
 
     Texts are lower-cased in A-Z, cut into words, and hashed as ``shingle``-word runs, repeats included (fewer words:
     the whole sequence; none: fingerprint zero). Equal fingerprints are one node, so copies cost one row; different
-    ones are linked at ``radius`` or fewer differing bits. component_id is the least id reachable.
+    ones are linked at ``radius`` or fewer differing bits. component_id is the least id reachable. ``parts`` (by default
+    parts_for() the number of distinct fingerprints) sets the cost, never the result.
 
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and repeated ids each get a
     row; a null id gets a row and names no component unless all its group's ids are null, which leaves it null. Other
     columns are not read. An empty table gives no rows.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    links = connected_components(link_fingerprints(nodes, radius, parts)).withColumnRenamed("node", "fp")
-    linked = nodes.join(links, "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    roots = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = linked.join(roots, "label").select("fp", "component_id")
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+    links = cut(connected_components(link_fingerprints(nodes, radius, parts or parts_for(nodes.count(), radius))).withColumnRenamed("node", "fp"))
+    # Only linked fingerprints take part in this join, and its sides are written before, so that a large component can be split.
+    linked = cut(nodes.join(links, "fp"))
+    roots = cut(linked.groupBy("label").agg(F.min("rep").alias("root")))
+    named = cut(linked.join(roots, "label").select("fp", "root"))
+    found = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "rep").alias("component_id")))
     return prints.join(found, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id names their near-duplicate group; the others go. All columns stay.
 
-    Rows that repeat the kept id stay as they are, and so do rows whose id is null.
+    Rows that repeat the kept id stay as they are, and so do rows whose id is null. Null and empty texts are one group. An
+    empty table gives no rows. Columns may have any names.
     """
     groups = simhash_components(docs, id_col, text_col, **options)
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()

@@ -109,11 +109,41 @@ def test_quotes(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("path", F.lit(3))
     got = {(r.conv_id, r.turn, r.text): r for r in quotes.format_conversations(df).collect()}
     assert len(got) == len(rows)
-    assert got[1, 1, "Fine thanks.\nAnd you?"].parent_turn == 0 and got[1, 2, "Good."].path == [0, 1, 2] and got[1, 3, "nice"].path == [0, 3]
+    assert got[1, 1, "Fine thanks.\nAnd you?"].parent_turn == 0 and (got[1, 2, "Good."].root_turn, got[1, 2, "Good."].depth, got[1, 2, "Good."].place) == (0, 2, 2)
+    assert (got[1, 3, "nice"].root_turn, got[1, 3, "nice"].depth, got[1, 3, "nice"].place) == (0, 1, 3) == (got[1, 3, "dup"].root_turn, got[1, 3, "dup"].depth, got[1, 3, "dup"].place)
     assert got[1, 4, "a > b"].parent_turn is None and got[2, 1, "yes"].n_quotes == 1 and got[2, 1, "yes"].parent_turn is None
     assert quotes.format_conversations(df.limit(0)).count() == 0
 
 
+def test_quotes_have_no_deepest_level_and_no_longest_lead(spark):
+    rows = [(1, 0, "u", "root"), (1, 1, "a", "> " * 12 + "root\n" + "Bob " * 200 + "wrote:\n> root\nok")]
+    r = quotes.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).filter("turn = 1").first()
+    assert (r.text, r.n_quotes, r.n_linked, r.parent_turn) == ("ok", 2, 1, 0)
+    levels = spark.createDataFrame([(">" * 12 + " a\n> b\n>> c",)], "text string").select(quotes.quoted(F.col("text")).alias("q")).first().q
+    assert [tuple(x) for x in levels] == [(12, " a"), (1, " b"), (2, " c")]
+
+
+def test_threads_against_a_plain_walk(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "TURNS", 4)
+    draw = random.Random(9)
+    parents = {(c, t): draw.choice([0, draw.randrange(t), t - 1]) for c in (1, 2) for t in range(1, 60) if draw.random() < 0.8}
+    want = {}
+    for c in (1, 2):
+        below = {}
+        for (d, t), p in sorted(parents.items()):
+            if d == c:
+                below.setdefault(p, []).append(t)
+        for root in sorted({p for (d, _), p in parents.items() if d == c} - {t for d, t in parents if d == c}):
+            ahead, place = [(root, 0)], 0
+            while ahead:
+                t, depth = ahead.pop()
+                want[c, t] = (root, depth, place)
+                place += 1
+                ahead += [(x, depth + 1) for x in reversed(below.get(t, []))]
+    got = quotes.threads(spark.createDataFrame([(*k, p) for k, p in parents.items()], "conv long, turn long, parent long"))
+    assert {(r.conv, r.turn): (r.root, r.depth, r.place) for r in got.collect()} == want
+
+
 def test_quotes_use_the_latest_source_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(quotes, "TURNS", 4)
     rows = [(1, t, "same" if t % 6 == 0 else f"other {t}") for t in range(20)] + [(1, 20, "> same"), (1, 3, "> same")]
@@ -158,6 +188,7 @@ def test_the_order_decides_all_but_whole_copies(docs, monkeypatch):
             yield from ()
 
     monkeypatch.setattr(repeats, "_sorted_spans", lambda width, span: nothing)
+    monkeypatch.setattr(repeats, "_sorted_surroundings", nothing)
     got, copies = by_id(repeats.digest_repeats(docs)), Counter(TEXTS)
     for k, t in enumerate(TEXTS):
         size = len((t or "").encode())
@@ -288,9 +319,11 @@ def test_bpe_equals_tiktoken():
     enc, coder = reference(), bpe.Coder(open(RANKS, "rb").read())
     alphabet = "abst'''  \n\t \u3000é9٣!#dmrevl漢😀\x1c\x85\u200b<|endoftext|>"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 70))) for _ in range(4000)] + ["a" * 3000, " " * 999, "x" * 129, "'ll've", "\n\n", "a's 's ''s", LONG]
-    for t, ids in zip(texts, coder.encode(texts)):
+    for t, (ids, offsets) in zip(texts, coder.encode(texts)):
         assert ids.tolist() == enc.encode_ordinary(t), t
-        assert coder.decode(ids) == t.encode()
+        assert coder.decode(ids, offsets) == t.encode()
+        sizes = [len(enc.decode_single_token_bytes(i)) for i in ids.tolist()]
+        assert offsets.tolist() == (np.cumsum([0, *sizes])[:-1]).tolist()
 
 
 def test_bpe_scan_is_the_sequential_automaton():
@@ -342,26 +375,41 @@ def test_mtree(spark):
     rows = [(int(i), [float(x) for x in g.normal(size=8)] if i % 3 else [0.5] * 8) for i in range(700)]
     rows += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 8), (1003, [float("inf")]), (1004, []), (1005, [2.0]), (None, [1.0] * 8), rows[40]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
-    got = {}
-    for r in mtree.top_by_inner_product(df, shard=90, block=11).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    known = {i: np.pad(np.floor(64 * np.array(v, float)).astype(int), (0, 8 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    for q in (i for i in known if i % 20 == 0):
-        best = sorted(((-int(v @ known[q]), i) for i, v in known.items() if i != q))[:20]
-        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert set(got) == {i for i in known if i % 20 == 0}
-    assert mtree.top_by_inner_product(df.filter("vec_id = 40")).count() == 0 and mtree.top_by_inner_product(df.limit(0)).count() == 0
+    known = [(i, np.pad(np.floor(64 * np.array(v, float)).astype(int), (0, 8 - len(v)))) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = Counter()
+    for at, (q, x) in enumerate(known):
+        if q % 20 == 0:
+            best = sorted((-int(v @ x), i) for k, (i, v) in enumerate(known) if k != at)[:20]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    for shard in (90, 5000):
+        assert Counter(map(tuple, mtree.top_by_inner_product(df, shard=shard, block=11).collect())) == want
+    assert sorted(mtree.top_by_inner_product(df.filter("vec_id = 40")).select("vec_id").collect()) == [(40,), (40,)]  # each row finds the other
+    assert mtree.top_by_inner_product(df.filter("vec_id = 60")).count() == 0 and mtree.top_by_inner_product(df.limit(0)).count() == 0
+
+
+def test_mtree_of_huge_components(spark):
+    g = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in g.normal(size=3) * 10.0 ** int(g.integers(0, 12))]) for i in range(60)] + [(100, [1e300, -1e300, 1.0])]
+    known = [(i, [max(-(1 << 63), min((1 << 63) - 1, math.floor(64 * x))) for x in v]) for i, v in rows]
+    clamp = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    want = set()
+    for q, x in known:
+        if q % 20 == 0:
+            best = sorted((-clamp(sum(a * b for a, b in zip(x, v))), i) for i, v in known if i != q)[:20]
+            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in mtree.top_by_inner_product(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()} == want
 
 
 def test_mtree_prunes_what_is_far():
     g = np.random.default_rng(4)
     centers = g.integers(-4000, 4000, (40, 6))
     v = (centers[:, None] + g.integers(-20, 20, (40, 200, 6))).reshape(-1, 6)
-    tree = mtree.MTree(v, np.arange(len(v)), page=64)
+    tree = mtree.MTree(v, np.arange(len(v)), np.arange(len(v)), page=64)
     for i in range(0, len(v), 400):
         want = sorted(((-int(x), j) for j, x in enumerate(v @ v[i]) if j != i))[:5]
-        assert tree.search(v[i], i, 5) == [(-s, j) for s, j in want]
-    assert tree.distances < len(v) * 20 / 2
+        assert tree.search(v[i], i, 5) == [(-s, j, j) for s, j in want]
+        assert tree.search(v[i], i, 5, -want[2][0]) == [(-s, j, j) for s, j in want if s <= want[2][0]]
+    assert tree.distances < 2 * len(v) * 20 / 2
 
 
 # 10
