@@ -10,6 +10,8 @@ from .common import cut
 
 #: The item that marks a transaction with a bad label.
 BAD = "label bad"
+#: Up to this many rules the index over them is broadcast.
+BROADCAST_RULES = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,14 +72,19 @@ def mine_rules(pages: DataFrame, labels: DataFrame, support: float = 0.005, conf
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct ``url`` of ``urls`` that hold all items of a rule.
 
-    Inverted index: each rule is posted once, under the item that the fewest rules share; a url looks up its items and
-    verifies what it meets. The url table is never crossed with the rules.
+    Inverted index: each rule is posted once, under the one of its items that the fewest urls have; a url looks up its
+    items and verifies what it meets. The url table is never crossed with the rules. Up to BROADCAST_RULES rules the index
+    is broadcast and urls stay where they are; beyond, both sides are shuffled by item.
     """
-    posted = rules.select("rule_id", "items", F.explode("items").alias("token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("n"))
-    index = posted.join(shared, "token").groupBy("rule_id").agg(F.min(F.struct("n", "token"))["token"].alias("token"), F.first("items").alias("needs"))
+    rules = cut(rules.select("rule_id", "items"))
+    small = F.broadcast if rules.count() <= BROADCAST_RULES else (lambda x: x)
     asked = urls.select("url").filter("url is not null").distinct().withColumn("items", url_tokens(F.col("url")))
-    met = asked.select("url", "items", F.explode("items").alias("token")).join(index, "token")
+    posted = rules.select("rule_id", "items", F.explode("items").alias("token"))
+    looked = asked.select(F.explode("items").alias("token")).join(small(posted.select("token").distinct()), "token", "left_semi")
+    common = cut(looked.groupBy("token").agg(F.count("*").alias("n")))  # a row for each item of a rule at most
+    rare = F.min_by(F.col("token"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("token"))).alias("token")
+    index = cut(posted.join(common, "token", "left").groupBy("rule_id").agg(rare, F.first("items").alias("needs")).drop("rule_id"))
+    met = asked.select("url", "items", F.explode("items").alias("token")).join(small(index), "token")
     return met.filter(F.size(F.array_except("needs", "items")) == 0).select("url").distinct()
 
 

@@ -63,3 +63,21 @@ def counts(text):
         if seen[t] > 1:
             covered |= {k, k + 1, k + 2}
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def shingles(text, n=5):
+    """Distinct runs of n words, A-Z lower-cased; fewer words are one run, none are none."""
+    words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def groups(sets, least):
+    """id -> least id reachable over pairs of sets whose Jaccard similarity is ``least`` or more; empty sets are alike."""
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in (b for b in sets if b < a):
+            either = len(sets[a] | sets[b])
+            if root[a] != root[b] and (len(sets[a] & sets[b]) / either if either else 1) >= least:
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    return root
