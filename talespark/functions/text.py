@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters that the reading side treats as one plain quote, apostrophe or dash (fixed values).
@@ -11,6 +13,22 @@ SINGLE_QUOTES = "‘’‚‛′"
 DASHES = "–—"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for each row, however often ``use`` reads it.
+
+    An expression that a lambda reads more than once is otherwise computed as often, for each element.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def rows_of(df: DataFrame, array: Column, number: str, *keep: str) -> DataFrame:
+    """``keep`` columns, the 0-based ``number`` and ``x`` of each element of ``array``.
+
+    An outer explosion: with an inner one the optimiser also filters by the array's size, which computes it twice. Elements are not null.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(number, "x")).filter("x is not null")
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
@@ -97,3 +115,30 @@ def parse_time(c: Column) -> Column:
     """A timestamp in any of the four written forms; the earliest representable one if none fits."""
     forms = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH-mm-ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd_HH-mm-ss")
     return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in forms), F.lit("0001-01-01 00:00:00").cast("timestamp"))
+
+
+def show_time(c: Column) -> Column:
+    """A timestamp as in ``Mar 05, 2024, 04:07 PM``."""
+    return F.date_format(c, "MMM dd, yyyy, hh:mm a")
+
+
+def text_digest(c: Column) -> Column:
+    """SHA-1 of the stripped text: equal digests mean that a text has not changed. Null for blank texts."""
+    text = strip(F.coalesce(c.cast("string"), F.lit("")))
+    return F.when(text != "", F.sha1(text))
+
+
+def first_given(*values: Column) -> Column:
+    """The first value that is neither null nor empty, or null."""
+    return F.coalesce(*(F.nullif(v, F.lit("")) for v in values))
+
+
+def canonical(c: Column) -> Column:
+    """First letter upper, the rest lower case: how a name is shown that no catalog knows."""
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substr(c, F.lit(2))))
+
+
+def response_text(output: Column) -> Column:
+    """The texts of a model's answer, array<struct<content: array<struct<text: struct<value: string>>>>>, empty ones left out, by line."""
+    values = F.flatten(F.transform(F.coalesce(output, F.array().cast("array<struct<content:array<struct<text:struct<value:string>>>>>")), lambda o: F.coalesce(F.transform(o["content"], lambda p: p["text"]["value"]), F.array().cast("array<string>"))))
+    return F.array_join(F.filter(values, lambda v: v.isNotNull() & (v != "")), "\n")

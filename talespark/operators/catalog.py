@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talespark.functions.text import candidate_key, display_name, normalize_name
+from talespark.functions.text import candidate_key, display_name, normalize_name, strip
 
 
 def flatten_catalog(groups: DataFrame, column: str = "groups") -> DataFrame:
@@ -15,7 +15,7 @@ def flatten_catalog(groups: DataFrame, column: str = "groups") -> DataFrame:
     Of names that are one after normalisation the first is kept; what it lacks is taken from later ones.
     """
     entries = groups.select(F.posexplode(F.map_entries(column)).alias("g", "group")).select("g", F.posexplode(F.map_entries("group.value")).alias("k", "entry"))
-    rows = entries.select(normalize_name(F.col("entry.key")).alias("name_norm"), F.col("entry.key").alias("display"), F.col("entry.value.voice_id").alias("voice_id"), F.col("entry.value.gender").alias("gender"), (F.col("g").cast("long") * 1_000_000 + F.col("k")).alias("ord"))
+    rows = entries.select(normalize_name(F.col("entry.key")).alias("name_norm"), F.col("entry.key").alias("display"), F.col("entry.value.voice_id").alias("voice_id"), F.col("entry.value.gender").alias("gender"), F.struct("g", "k").alias("ord"))
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("ord", c)))[c].alias(c)
     return rows.filter("name_norm <> ''").groupBy("name_norm").agg(F.min(F.struct("ord", "display"))["display"].alias("display"), first("voice_id"), first("gender"), F.min("ord").alias("ord"))
 
@@ -42,7 +42,7 @@ def map_names(users: DataFrame, catalog: DataFrame, user_col: str = "name") -> D
 
     The whole name goes before its tokens; equal before a token's equality, a token's beginning, containment; then the
     longer entry, then the alphabet. Equalities and beginnings meet by hashed keys (each token's beginnings are posted);
-    containment alone compares names, and only for names that nothing else has matched.
+    containment is looked up only for names that nothing better has matched, by an index of three-letter runs.
     """
     norm = users.select(F.col(user_col).alias("name"), normalize_name(F.col(user_col)).alias("norm")).filter("norm <> ''").distinct()
     whole = norm.select("name", F.lit(0).alias("part"), F.col("norm").alias("variant"))
@@ -57,13 +57,55 @@ def map_names(users: DataFrame, catalog: DataFrame, user_col: str = "name") -> D
     best = F.min(F.struct((F.col("part") * 10 + F.col("kind")).alias("score"), (-F.length("name_norm")).alias("less"), "name_norm"))
     # An entry is judged by its best variant of the whole name, by tokens only without one; the least score does that.
     near = asked.join(keys, "variant").groupBy("name").agg(best.alias("best"))
-    inside = whole.join(entries, F.contains("name_norm", "variant")).withColumn("kind", F.lit(3)).groupBy("name").agg(best.alias("best"))
+    unmatched = whole.join(near.filter("best.score < 10").select("name"), "name", "left_anti")
+    inside = _containing(unmatched, entries).withColumn("kind", F.lit(3)).groupBy("name").agg(best.alias("best"))
     rest = tokens.join(near.select("name").unionByName(inside.select("name")).distinct(), "name", "left_anti")
-    deep = rest.join(entries, F.contains("name_norm", "variant")).withColumn("kind", F.lit(3)).groupBy("name").agg(best.alias("best"))
+    deep = _containing(rest, entries).withColumn("kind", F.lit(3)).groupBy("name").agg(best.alias("best"))
     every = near.unionByName(inside).unionByName(deep)
     return every.groupBy("name").agg(F.min("best")["name_norm"].alias("canonical"))
 
 
+def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """Distinct runs of each of ``sizes`` characters."""
+    runs = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*map(runs, sizes)))
+
+
+def _containing(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """``asked`` (name, part, variant) with each entry that contains the variant: found by the variant's rarest run of three characters, or itself if it is shorter."""
+    posted = entries.select("name_norm", F.explode(_grams(F.col("name_norm"), (1, 2, 3))).alias("gram"))
+    uses = posted.groupBy("gram").agg(F.count("*").alias("uses"))
+    own = F.when(F.length("variant") >= 3, _grams(F.col("variant"), (3,))).otherwise(F.array("variant"))
+    looked = asked.select("name", "part", "variant", F.explode(own).alias("gram")).join(uses, "gram", "left")
+    rare = looked.groupBy("name", "part", "variant").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram"))["gram"].alias("gram"))
+    return rare.join(posted, "gram").filter(F.contains("name_norm", "variant")).drop("gram")
+
+
+def guess_genders(names: DataFrame, catalog: DataFrame, name_col: str = "name") -> DataFrame:
+    """``names`` with ``guessed``: M, F or U of the catalog entry of exactly this name, else of one that differs in case; else null.
+
+    catalog: (display, gender, ord). An entry that is met but has no such letter leaves the guess null.
+    """
+    letter = F.upper(F.trim("gender"))
+    known = catalog.select("display", F.when(letter.isin("M", "F", "U"), letter).alias("letter"), "ord")
+    exact = known.groupBy(F.col("display").alias("__exact")).agg(F.min(F.struct("ord", "letter"))["letter"].alias("__a"), F.lit(True).alias("__met"))
+    loose = known.groupBy(F.lower("display").alias("__loose")).agg(F.min(F.struct("ord", "letter"))["letter"].alias("__b"))
+    met = names.withColumns({"__exact": F.col(name_col), "__loose": F.lower(name_col)}).join(exact, "__exact", "left").join(loose, "__loose", "left")
+    return met.withColumn("guessed", F.when(F.col("__met"), F.col("__a")).otherwise(F.col("__b"))).drop("__exact", "__loose", "__a", "__b", "__met")
+
+
+def known_names(catalog: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(name): every name of the catalog (display) and of saved mappings (character), once."""
+    return catalog.select(F.col("display").alias("name")).unionByName(mappings.select(F.col("character").alias("name"))).filter("name is not null and name <> ''").distinct()
+
+
+def enabled_cast(cast: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of a cast that have a name and are not switched off, with the trimmed name and whether ``known`` (name) has it, ignoring case."""
+    rows = cast.withColumn("name", strip(F.coalesce(F.col("name").cast("string"), F.lit("")))).filter(F.col("name") != "").filter(F.coalesce(F.col("enabled"), F.lit(True)))
+    hits = known.select(F.lower("name").alias("__low")).distinct().withColumn("__hit", F.lit(True))
+    return rows.withColumn("__low", F.lower("name")).join(hits, "__low", "left").withColumn("exists_in_config", F.coalesce("__hit", F.lit(False))).drop("__low", "__hit")
+
+
 def name_variants(name: Column) -> Column:
     """Spellings by which a cast member may be called: as given, normalised, first and last token, initials, dotted initials."""
     norm = normalize_name(name)

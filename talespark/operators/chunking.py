@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talespark.functions.text import strip
+from talespark.functions.text import bind, rows_of, strip
 
 
 def fixed_windows(text: Column, size: int) -> Column:
@@ -40,45 +40,56 @@ def chunk_text(docs: DataFrame, id_col: str = "project_id", text_col: str = "tex
         gap = F.when(a["open"] != "", 2).otherwise(0)
         whole = (F.length(p) <= most) & (F.length(a["open"]) + F.length(p) + gap <= most)
         sentences = F.filter(F.transform(F.split(p, r"(?<=[.!?])(?U)\s+"), strip), lambda s: s != "")
-        by_sentence = F.aggregate(sentences, a, sentence)
-        spaced = F.when((by_sentence["open"] != "") & (F.length(by_sentence["open"]) + 2 <= most), F.concat(by_sentence["open"], F.lit("\n\n"))).otherwise(by_sentence["open"])
-        return F.when(whole, pack(a["done"], F.when(a["open"] != "", F.concat(a["open"], F.lit("\n\n"), p)).otherwise(p))).otherwise(pack(by_sentence["done"], spaced))
+        spaced = lambda b: F.when((b["open"] != "") & (F.length(b["open"]) + 2 <= most), F.concat(b["open"], F.lit("\n\n"))).otherwise(b["open"])
+        by_sentence = bind(F.aggregate(sentences, a, sentence), lambda b: pack(b["done"], spaced(b)))
+        return F.when(whole, pack(a["done"], F.when(a["open"] != "", F.concat(a["open"], F.lit("\n\n"), p)).otherwise(p))).otherwise(by_sentence)
 
     last = lambda a: F.when(strip(a["open"]) != "", F.concat(a["done"], F.array(strip(a["open"])))).otherwise(a["done"])
-    found = docs.select(F.col(id_col).alias("project_id"), F.aggregate(pieces, start, paragraph, last).alias("chunks"))
-    rows = found.select("project_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("idx", "text"))
+    numbered = bind(F.aggregate(pieces, start, paragraph, last), lambda chunks: F.transform(chunks, lambda c: F.struct(F.size(chunks).alias("n"), c.alias("text"))))
+    rows = rows_of(docs.withColumn("__id", F.col(id_col)), numbered, "idx", "__id").select(F.col("__id").alias("project_id"), "idx", "x.*")
     number = F.expr("lpad(cast(idx + 1 as string), greatest(3, length(cast(n as string))), '0')")
     return rows.select("project_id", "idx", F.concat(F.col("project_id").cast("string"), F.lit("_chunk"), number).alias("id"), "text")
 
 
-def cursor_cuts(docs: DataFrame, id_col: str = "project_id", text_col: str = "text", limit: int = 200) -> DataFrame:
-    """(project_id, idx, text): pieces of at most ``limit`` characters, cut after the last full stop of a window if it lies in its last two fifths.
-
-    A text that fits is one piece, even if empty. The cursor is data-dependent, so it is a loop over slices in an Arrow batch.
+def smart_pieces(text: str, limit: int) -> list[str]:
+    """Pieces of at most ``limit`` characters, cut after the last full stop of a window if it lies in its last two fifths."""
+    out, at, n, least = [], 0, len(text), int(limit * 0.6)
+    if n <= limit:
+        return [text]
+    while n - at > limit:
+        dot = text.rfind(".", at, at + limit) - at
+        step = dot + 1 if dot >= least else limit
+        piece = text[at : at + step].strip()
+        if not piece:
+            step, piece = limit, text[at : at + limit]
+        out.append(piece)
+        at += step
+    if at < n:
+        out.append(text[at:])
+    return out
+
+
+def smart_cuts(text: Column, limit: int) -> Column:
+    """smart_pieces() of the stripped text; a text that fits is one piece, even if empty.
+
+    The cursor depends on the data, so this is a loop over slices in an Arrow batch.
     """
-    least = int(limit * 0.6)
 
     @F.pandas_udf("array<string>")
     def cuts(texts: pd.Series) -> pd.Series:
-        def one(text: str) -> list[str]:
-            out, at, n = [], 0, len(text)
-            if n <= limit:
-                return [text]
-            while n - at > limit:
-                dot = text.rfind(".", at, at + limit) - at
-                step = dot + 1 if dot >= least else limit
-                piece = text[at : at + step].strip()
-                if not piece:
-                    step, piece = limit, text[at : at + limit]
-                out.append(piece)
-                at += step
-            if at < n:
-                out.append(text[at:])
-            return out
-
-        return texts.map(lambda t: one((t or "").strip()))
-
-    return docs.select(F.col(id_col).alias("project_id"), F.posexplode(cuts(F.coalesce(F.col(text_col), F.lit("")))).alias("idx", "text"))
+        return texts.map(lambda t: smart_pieces((t or "").strip(), limit))
+
+    return cuts(F.coalesce(text, F.lit("")))
+
+
+def cursor_cuts(docs: DataFrame, id_col: str = "project_id", text_col: str = "text", limit: int = 200) -> DataFrame:
+    """(project_id, idx, text): the smart_cuts() of each text."""
+    return docs.select(F.col(id_col).alias("project_id"), F.posexplode(smart_cuts(F.col(text_col), limit)).alias("idx", "text"))
+
+
+def piece_metrics(pieces: DataFrame) -> DataFrame:
+    """(project_id, pieces, avg_chars) of chunks or cuts; the mean is null for none."""
+    return pieces.groupBy("project_id").agg(F.count("*").alias("pieces"), F.avg(F.length("text")).alias("avg_chars"))
 
 
 def chunk_tasks(docs: DataFrame, voices: DataFrame, size: int = 200, id_col: str = "project_id", text_col: str = "text", default_voice: str = "") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talespark.data import load
+from talespark.functions.text import bind
 
 TABLE = "emotion_rules"
 EDGES = r""".,!?;:"'()[]{}"""
@@ -32,18 +33,21 @@ def _pair(a: str, b: str) -> Column:
 
 def rule_labels(source: Column) -> Column:
     """The pair of the first rule that matches the lower-cased source, or null."""
-    low = F.lower(source)
-    found = None
-    for pattern, a, b in load(TABLE)["rules"]:
-        hit = low.rlike(pattern)
-        found = F.when(hit, _pair(a, b)) if found is None else found.when(hit, _pair(a, b))
-    return found
+
+    def first(low: Column) -> Column:
+        found = None
+        for pattern, a, b in load(TABLE)["rules"]:
+            hit = low.rlike(pattern)
+            found = F.when(hit, _pair(a, b)) if found is None else found.when(hit, _pair(a, b))
+        return found
+
+    return bind(F.lower(source), first)
 
 
 def cue_counts(source: Column) -> dict[str, Column]:
     """For each signal, how many of its distinct cues the source contains."""
-    low = F.lower(F.coalesce(source, F.lit("")))
-    return {signal: F.size(F.filter(F.array(*map(F.lit, cues)), lambda c: F.contains(low, c))) for signal, cues in load(TABLE)["cues"].items()}
+    count = lambda cues: bind(F.lower(F.coalesce(source, F.lit(""))), lambda low: sum((F.contains(low, F.lit(c)).cast("int") for c in cues), F.lit(0)))
+    return {signal: count(cues) for signal, cues in load(TABLE)["cues"].items()}
 
 
 def context_labels(n: dict[str, Column]) -> Column:
@@ -68,36 +72,48 @@ def keyword_pattern(keyword: str) -> str:
     return f"(?iU){chr(92) + 'b' if keyword[:1].isalnum() else ''}{body}{chr(92) + 'b' if keyword[-1:].isalnum() else ''}"
 
 
-def _hits(source: Column, keyword: str) -> Column:
+def _marked_tokens(source: Column) -> Column:
+    """The text's tokens, each with whether it denies what follows."""
+    denied = load(TABLE)["negations"]
+    bare = lambda t: F.regexp_replace(F.lower(t), r"""\A[.,!?;:"'()\[\]{}]+|[.,!?;:"'()\[\]{}]+\z""", "")
+    return F.transform(F.regexp_extract_all(source, F.lit(r"(?U)(\S+)"), F.lit(1)), lambda t: F.struct(t.alias("t"), bare(t).isin(denied).alias("no")))
+
+
+def _hits(tokens: Column, keyword: str) -> Column:
     """Occurrences of a keyword without a negation among the three tokens before its own.
 
-    Everything up to the token in which an occurrence starts is one regular expression's look at the text: the text is
-    cut at the occurrences, and each piece's last complete tokens are those before the next occurrence.
+    An occurrence of a phrase of m words begins in the first of m neighbouring tokens. Only tokens that hold the phrase's
+    first word are looked at.
     """
-    pieces = F.split(source, keyword_pattern(keyword))
-    denied = F.array(*map(F.lit, load(TABLE)["negations"]))
+    words, pattern = keyword.split(" "), F.lit(keyword_pattern(keyword))
 
-    def free(i: Column) -> Column:
-        ahead = F.array_join(F.slice(pieces, F.lit(1), i + 1), keyword)
-        tokens = F.regexp_extract_all(F.regexp_replace(ahead, r"(?U)\S+\z", ""), F.lit(r"(?U)(\S+)"), F.lit(1))
-        last = F.slice(F.reverse(tokens), 1, 3)
-        bare = F.transform(last, lambda t: F.regexp_replace(F.lower(t), r"""\A[.,!?;:"'()\[\]{}]+|[.,!?;:"'()\[\]{}]+\z""", ""))
-        return ~F.arrays_overlap(bare, denied)
+    def count(x: Column, i: Column) -> Column:
+        text = x["t"] if len(words) == 1 else F.array_join(F.transform(F.slice(tokens, i + 1, len(words)), lambda y: y["t"]), " ")
+        no = lambda k: F.coalesce(F.get(tokens, i - k)["no"], F.lit(False))
+        return F.when(F.contains(F.lower(x["t"]), F.lit(words[0].lower())) & ~(no(1) | no(2) | no(3)), F.regexp_count(text, pattern)).otherwise(0)
 
-    places = F.when(F.size(pieces) > 1, F.sequence(F.lit(0), F.size(pieces) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.when(source.rlike(keyword_pattern(keyword)), F.size(F.filter(places, free))).otherwise(0)
+    return F.aggregate(F.transform(tokens, count), F.lit(0), lambda a, n: a + n)
 
 
 def keyword_scores(source: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
-    """(score, label) of each label of the lexicon, in its order: 1 for each occurrence of a word, 2 for a phrase."""
+    """(score, label) of each label of the lexicon, in its order: 1 for each occurrence of a word, 2 for a phrase.
+
+    The text is cut into tokens once, and only if it holds a keyword at all; a keyword's tokens are looked at only if it occurs.
+    """
     lexicon = load(TABLE)["lexicon"] if lexicon is None else lexicon
-    rows = []
-    for k, (label, words) in enumerate(lexicon.items()):
-        total = F.lit(0)
-        for word in dict.fromkeys(words):
-            total = total + _hits(source, word) * (2 if len(word.split()) > 1 else 1)
-        rows.append(F.struct((-total).alias("less"), F.lit(k).alias("k"), F.lit(label).alias("label")))
-    return F.array(*rows)
+    any_of = lambda words: "|".join(f"(?:{keyword_pattern(w)})" for w in words) or r"(?!)"
+
+    def scored(tokens: Column | None) -> Column:
+        rows = []
+        for k, (label, words) in enumerate(lexicon.items()):
+            total = F.lit(0)
+            for word in dict.fromkeys(words) if tokens is not None else ():
+                weight = 2 if len(word.split()) > 1 else 1
+                total = total + F.when(source.rlike(keyword_pattern(word)), _hits(tokens, word) * weight).otherwise(0)
+            rows.append(F.struct((-total).alias("less"), F.lit(k).alias("k"), F.lit(label).alias("label")))
+        return F.array(*rows)
+
+    return F.when(source.rlike(any_of([w for ws in lexicon.values() for w in ws])), bind(_marked_tokens(source), scored)).otherwise(scored(None))
 
 
 def keyword_labels(source: Column, lexicon: dict[str, list[str]] | None = None, top: int = 2) -> Column:
@@ -121,7 +137,7 @@ def tag_emotions(lines: DataFrame, lexicon: dict[str, list[str]] | None = None)
     Keywords are only scored where neither a rule nor the context decides.
     """
     rows = with_context(lines).withColumn("__source", emotion_source(F.col("text"), F.col("attribution"), F.col("before"), F.col("after"))).drop("before", "after")
-    rows = rows.withColumns({f"__{k}": c for k, c in cue_counts(F.col("__source")).items()})
+    rows = rows.withColumns({f"__{k}": c for k, c in cue_counts(F.col("__source")).items()})  # columns of their own: read many times
     n = {k: F.col(f"__{k}") for k in load(TABLE)["cues"]}
     first = F.coalesce(rule_labels(F.col("__source")), context_labels(n))
     rows = rows.withColumn("__first", first)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,3 +53,42 @@ def python_dict_fields(raw: DataFrame, schema: str, column: str = "message") ->
     for odd, plain in ((r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false")):
         text = F.regexp_replace(text, odd, plain)
     return raw.withColumn("fields", F.from_json(text, schema, {"allowSingleQuotes": "true"}))
+
+
+def log_line(ts: Column, level: Column, message: Column, source: Column | None = None) -> Column:
+    """A human-readable line: ``[time UTC] [LEVEL][source] message``; no mark of a source where it is null or empty."""
+    mark = F.lit("") if source is None else F.when(F.coalesce(source, F.lit("")) != "", F.concat(F.lit("["), source, F.lit("]"))).otherwise("")
+    return F.concat(F.lit("["), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC] ["), F.upper(F.coalesce(level, F.lit(""))), F.lit("]"), mark, F.lit(" "), message)
+
+
+def error_rows(kind: Column, message: Column, trace: Column) -> Column:
+    """The lines an exception leaves: its kind and message at level ERROR, then its trace, line by line, as array<struct<level, message>>."""
+    row = lambda level, text: F.struct(level.alias("level"), text.alias("message"))
+    traced = F.transform(F.filter(F.split(F.coalesce(trace, F.lit("")), "\n"), lambda t: t != ""), lambda t: row(F.lit(None).cast("string"), t))
+    return F.concat(F.array(row(F.lit("ERROR"), F.concat_ws(": ", kind, message))), traced)
+
+
+def structured_line(fields: dict[str, Column]) -> Column:
+    """A structured line, ``[JSON] {...}``, of the given fields; nulls are written."""
+    return F.concat(F.lit("[JSON] "), F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())), {"ignoreNullFields": "false"}))
+
+
+def named_like(files: DataFrame, date: str = "", part: str = "") -> DataFrame:
+    """``files`` whose key contains ``date`` as it is and ``part`` in any case; empty ones are no condition."""
+    kept = files.filter(F.contains("key", F.lit(date))) if date else files
+    return kept.filter(F.contains(F.lower("key"), F.lit(part.lower()))) if part else kept
+
+
+def log_page(files: DataFrame, number: int, size: int = 10) -> DataFrame:
+    """Page ``number`` (from 0) of the keys in reverse lexical order over all."""
+    return files.orderBy(F.desc("key")).offset(number * size).limit(size)
+
+
+def recent(files: DataFrame, k: int = 20, suffix: str = ".json") -> DataFrame:
+    """The ``k`` newest keys with ``suffix``, over all keys."""
+    return page(files, 0, k, suffix)
+
+
+def history(entries: DataFrame, column: str = "last_updated") -> DataFrame:
+    """``entries`` newest first by their written time, those whose time does not parse last; with ``updated``, the parsed time."""
+    return entries.withColumn("updated", F.try_to_timestamp(column, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))).orderBy(F.desc_nulls_last("updated"), "project_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talespark.functions.text import clamp01, nearest_level
+from talespark.functions.text import clamp01, first_given, nearest_level
 
 #: Voice settings where none are given.
 DEFAULTS = {"stability": 0.5, "similarity_boost": 0.75, "style": 0.0}
@@ -65,3 +65,27 @@ def voice_descriptions(entries: DataFrame, described: DataFrame) -> DataFrame:
     """``entries`` with the description of their voice, by (voice_id, description)."""
     first = described.groupBy("voice_id").agg(F.min("description").alias("description"))
     return entries.join(first, "voice_id", "left").withColumn("description", F.coalesce("description", F.lit("Custom voice assignment")))
+
+
+def voice_assignments(maps: list[DataFrame], catalog: DataFrame) -> DataFrame:
+    """(character, voice_id) of the first of ``maps`` that has rows, else of the catalog's entries (display, voice_id) that have a voice.
+
+    All of it is one plan: each source's rows carry its place, and the least place present stays.
+    """
+    own = [m.select("character", "voice_id", F.lit(k).alias("place")) for k, m in enumerate(maps)]
+    fallback = catalog.filter("voice_id is not null and voice_id <> ''").select(F.col("display").alias("character"), "voice_id", F.lit(len(maps)).alias("place"))
+    every = fallback
+    for m in own:
+        every = every.unionByName(m)
+    first = every.agg(F.min("place").alias("place"))  # one row
+    return every.join(F.broadcast(first), "place").select("character", "voice_id")
+
+
+def project_names(rows: DataFrame, columns: list[str], default: str = "global") -> DataFrame:
+    """``rows`` with ``project``: the first of ``columns`` that is neither null nor empty, else the default."""
+    return rows.withColumn("project", F.coalesce(first_given(*map(F.col, columns)), F.lit(default)))
+
+
+def project_settings(projects: DataFrame, saved: DataFrame) -> DataFrame:
+    """``projects`` (project_id) with voice_settings() of what is saved for them, defaults where nothing is."""
+    return voice_settings(projects.join(saved.select("project_id", *DEFAULTS), "project_id", "left"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talespark.functions.text import format_line, strip
+from talespark.operators.chunking import smart_cuts
 
 #: The header of a script line, its emotions and its sound effects.
 HEADER = r"\A\[([^\]]+)\]\s*(\([^)]+\))*\s*:"
@@ -93,6 +94,23 @@ def unsupported(used: DataFrame, known: DataFrame, column: str) -> DataFrame:
     return used.groupBy(column).agg(F.sum("uses").alias("uses")).join(known.select(column).distinct(), column, "left_anti")
 
 
+def effect_usage(parsed: DataFrame) -> DataFrame:
+    """(story_id, effect, uses): always empty, as effects are taken out of lines and not kept."""
+    return parsed.select("story_id", F.lit(None).cast("string").alias("effect"), F.lit(0).cast("long").alias("uses")).filter(F.lit(False))
+
+
+def teaser_stats(stories: DataFrame, most: int = 5, seconds: int = 3) -> DataFrame:
+    """(story_id, lines, fits, seconds): lines of a text that are neither blank nor begin with a comment mark, whether they are few enough, and how long they may take to say."""
+    kept = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: (strip(x) != "") & ~x.startswith("#"))
+    return stories.select("story_id", F.size(kept).alias("lines")).select("story_id", "lines", (F.col("lines") <= most).alias("fits"), (F.col("lines") * seconds).alias("seconds"))
+
+
+def usage_order(used: DataFrame) -> DataFrame:
+    """Usage rows, most used first, then by name."""
+    names = [c for c in used.columns if c != "uses"]
+    return used.orderBy(F.desc("uses"), *names)
+
+
 def line_totals(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """(story_id, total_lines, parsed_lines): blanks and comments count in the total."""
     return lines.groupBy("story_id").agg(F.count("*").alias("total_lines"), F.count_if(is_content(F.col(line_col)) & parse_flexible(F.col(line_col)).isNotNull()).alias("parsed_lines"))
@@ -116,12 +134,20 @@ def without_voices(parsed: DataFrame, voices: DataFrame) -> DataFrame:
     return parsed.join(voices.select("character"), "character", "left_anti")
 
 
-def speech_sequence(voiced: DataFrame) -> DataFrame:
-    """(story_id, line_no, part, type, character, voice_id, text, duration): each line's speech, then a pause, the last line's too."""
+def speech_sequence(voiced: DataFrame, limit: int = 800) -> DataFrame:
+    """(story_id, line_no, part, type, character, voice_id, text, duration): each line's speech, then a pause, the last line's too.
+
+    A speech of more than ``limit`` characters is cut by smart_cuts() into several, with one pause after the last. Only
+    such lines leave the JVM.
+    """
     null = F.lit(None).cast("string")
-    speech = F.struct(F.lit("speech").alias("type"), F.col("character"), F.col("voice_id"), F.col("text"), F.lit(None).cast("int").alias("duration"))
+    speech = lambda text: F.struct(F.lit("speech").alias("type"), F.col("character"), F.col("voice_id"), text.alias("text"), F.lit(None).cast("int").alias("duration"))
     pause = F.struct(F.lit("pause").alias("type"), null.alias("character"), null.alias("voice_id"), null.alias("text"), F.lit(PAUSE_MS).alias("duration"))
-    return voiced.select("story_id", "line_no", F.posexplode(F.array(speech, pause)).alias("part", "x")).select("story_id", "line_no", "part", "x.*")
+    long = F.length("text") > limit
+    short = voiced.filter(~F.coalesce(long, F.lit(False))).select("story_id", "line_no", "character", "voice_id", F.array("text").alias("pieces"))
+    cut = voiced.filter(long).select("story_id", "line_no", "character", "voice_id", smart_cuts(F.col("text"), limit).alias("pieces"))
+    entries = F.concat(F.transform("pieces", speech), F.array(pause))
+    return short.unionByName(cut).select("story_id", "line_no", F.posexplode(entries).alias("part", "x")).select("story_id", "line_no", "part", "x.*")
 
 
 def with_ids(lines: DataFrame) -> DataFrame:

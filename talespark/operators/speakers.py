@@ -11,21 +11,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from talespark.functions.text import normalize_name
 
 #: Stems of speech verbs with their forms, pronouns and cues.
 VERB_FORMS = (
-    "say says said ask asks asked reply replies replied whisper whispers whispered shout shouts shouted yell yells yelled "
-    "mutter mutters muttered sigh sighs sighed cry cries cried exclaim exclaims exclaimed whimper whimpers whimpered "
-    "murmur murmurs murmured growl growls growled laugh laughs laughed sob sobs sobbed note notes noted add adds added "
-    "remark remarks remarked curse curses cursed command commands commanded insist insists insisted warn warns warned "
-    "tease teases teased coo coos cooed breathe breathes breathed hiss hisses hissed snap snaps snapped state states stated "
-    "respond responds responded answer answers answered call calls called promise promises promised plead pleads pleaded "
-    "beg begs begged"
-).split()
+    "say", "says", "said", "ask", "asks", "asked", "reply", "replies", "replied", "whisper", "whispers", "whispered",
+    "shout", "shouts", "shouted", "yell", "yells", "yelled", "mutter", "mutters", "muttered", "sigh", "sighs", "sighed",
+    "cry", "cries", "cried", "exclaim", "exclaims", "exclaimed", "whimper", "whimpers", "whimpered", "murmur", "murmurs",
+    "murmured", "growl", "growls", "growled", "laugh", "laughs", "laughed", "sob", "sobs", "sobbed", "note", "notes",
+    "noted", "add", "adds", "added", "remark", "remarks", "remarked", "curse", "curses", "cursed", "command", "commands",
+    "commanded", "insist", "insists", "insisted", "warn", "warns", "warned", "tease", "teases", "teased", "coo", "coos",
+    "cooed", "breathe", "breathes", "breathed", "hiss", "hisses", "hissed", "snap", "snaps", "snapped", "state",
+    "states", "stated", "respond", "responds", "responded", "answer", "answers", "answered", "call", "calls", "called",
+    "promise", "promises", "promised", "plead", "pleads", "pleaded", "beg", "begs", "begged",
+)
 VERBS = f"(?:{'|'.join(VERB_FORMS)})"
 FEMALE_WORDS = ("she", "her", "hers", "herself", "girl", "woman", "wife")
 FEMALE_NOUNS = ("kitten", "princess", "queen", "mistress", "lover", "pet", "baby girl", "little one", "brat")
@@ -306,32 +311,33 @@ class Fold:
         return (found if found in ("Ambiguous", "Narrator") else self.cast.display.get(normal(found), shown(found))), candidates
 
 
-FIELDS = "story_id long, line_no int, character string, candidates array<string>"
-
-
-def _story(lines: pd.DataFrame, members: pd.DataFrame, options: dict) -> pd.DataFrame:
-    cast = Cast([(n, g) for n, g in zip(members.sort_values("ord")["name"], members.sort_values("ord")["gender"])] if len(members) else [], options.get("catalog", []))
+def _story(lines: pa.Table, members: pa.Table, options: dict) -> pa.Table:
+    """``lines`` of one story in order, with what the fold says of each."""
+    cast = Cast([(m["name"], m["gender"]) for m in sorted(members.to_pylist(), key=lambda m: m["ord"])], options["catalog"])
     fold = Fold(cast, options["mode"], options["auto_assign"], options["initials"])
-    rows = lines.sort_values("line_no").astype(object).where(lambda x: x.notna(), None).to_dict("records")
+    lines = lines.sort_by([("line_no", "ascending")])
+    rows = lines.select(["text", "type", "raw", "attribution"]).to_pylist()
     out = [fold.step(row, after) for row, after in zip(rows, [*rows[1:], None])]
-    return pd.DataFrame({"story_id": [r["story_id"] for r in rows], "line_no": [r["line_no"] for r in rows], "character": [o[0] for o in out], "candidates": [o[1] for o in out]})
+    return lines.append_column("character", pa.array([o[0] for o in out], pa.string())).append_column("candidates", pa.array([o[1] for o in out], pa.list_(pa.string())))
 
 
 def detect_speakers(lines: DataFrame, cast: DataFrame, mode: str = "generic", auto_assign: bool = True, initials: bool = True, catalog: list[tuple[str, str]] | None = None) -> DataFrame:
     """``lines`` with character and candidates. cast: (story_id, ord, name, gender); catalog: (name, gender) known to all stories.
 
     mode "generic" lets any known name speak, "strict" only members of the cast by their names, "aggressive" also by their
-    variants. A story is one ordered fold, so it is one group; stories are the unit of parallelism.
+    variants. A story is one ordered fold, so it is one group; stories are the unit of parallelism. Every row comes back
+    with its own columns: rows that repeat a line number are lines of their own, and rows without a story are one story
+    without a cast.
     """
     options = {"mode": mode, "auto_assign": auto_assign, "initials": initials, "catalog": catalog or []}
+    told = lines.drop("character", "candidates")
+    fields = T.StructType([*told.schema.fields, T.StructField("character", T.StringType()), T.StructField("candidates", T.ArrayType(T.StringType()))])
 
-    def fold(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def fold(a: pa.Table, b: pa.Table) -> pa.Table:
         return _story(a, b, options)
 
-    told = lines.select(F.col("story_id").cast("long").alias("story_id"), F.col("line_no").cast("int").alias("line_no"), "text", "type", "raw", "attribution")
-    members = cast.select(F.col("story_id").cast("long").alias("story_id"), "ord", "name", F.upper("gender").alias("gender"))
-    found = told.groupBy("story_id").cogroup(members.groupBy("story_id")).applyInPandas(fold, FIELDS)
-    return lines.join(found, ["story_id", "line_no"])
+    members = cast.filter("story_id is not null").select(F.col("story_id").cast(lines.schema["story_id"].dataType).alias("story_id"), "ord", "name", F.upper("gender").alias("gender"))
+    return told.groupBy("story_id").cogroup(members.groupBy("story_id")).applyInArrow(fold, fields)
 
 
 def carry_subject(lines: DataFrame, evidence: str) -> DataFrame:
@@ -340,6 +346,12 @@ def carry_subject(lines: DataFrame, evidence: str) -> DataFrame:
     return lines.withColumn("carried", F.coalesce(F.col(evidence), back))
 
 
+def preferred(candidates: Column, names: list[str]) -> Column:
+    """The first of ``candidates`` that is one of the preferred ``names``, both normalised; null for none."""
+    wanted = sorted({n for n in map(normal, names) if n})
+    return F.get(F.filter(candidates, lambda c: normalize_name(c).isin(wanted)), F.lit(0)) if wanted else F.lit(None).cast("string")
+
+
 def recent_speakers(lines: DataFrame, size: int = 50) -> DataFrame:
     """``lines`` with last_speaker before each line and the known speakers of the last ``size`` lines, the line's own included."""
     order = W.partitionBy("story_id").orderBy("line_no")

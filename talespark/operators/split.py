@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talespark.functions.text import one_line, strip
+from talespark.functions.text import bind, one_line, rows_of, strip
 
 #: Verbs that mark a sentence after speech as its attribution, and the sentence pattern.
 ATTRIBUTION_VERBS = "said|asked|whispered|murmured|shouted|replied|called|answered|cried|laughed|sobbed|muttered"
@@ -22,15 +22,14 @@ def paragraphs(stories: DataFrame, id_col: str = "story_id", text_col: str = "te
     Null and blank stories have no paragraphs. U+0001 counts as a blank.
     """
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\x01", " ")
-    rows = stories.select(F.col(id_col).alias("story_id"), F.transform(F.split(text, r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85  ]"), lambda x: F.regexp_replace(x, r"(?U)\s+\z", "")).alias("lines"))
+    physical = F.transform(F.split(text, r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)\s+\z", ""))
 
-    def mark(x: Column, i: Column) -> Column:
-        back = F.when(i > 0, F.get(F.col("lines"), i - 1)).otherwise("")
+    def mark(x: Column, back: Column) -> Column:
         goes_on = (back != "") & ((~back.rlike(r'[.!?"”]\z') & x.rlike(r"\A\p{Ll}")) | ~x.rlike(r"\A\p{L}"))
         return F.when(x == "", "\x01").when(goes_on, F.concat(F.lit(" "), x)).otherwise(F.concat(F.lit("\x01"), x))
 
-    joined = F.array_join(F.transform("lines", mark), "")
-    return rows.select("story_id", F.filter(F.transform(F.split(joined, "\x01"), strip), lambda p: p != "").alias("paras"))
+    joined = bind(physical, lambda lines: F.array_join(F.transform(lines, lambda x, i: mark(x, F.coalesce(F.get(lines, i - 1), F.lit("")))), ""))
+    return stories.select(F.col(id_col).alias("story_id"), F.filter(F.transform(F.split(joined, "\x01"), strip), lambda p: p != "").alias("paras"))
 
 
 def split_lines(stories: DataFrame, id_col: str = "story_id", text_col: str = "text") -> DataFrame:
@@ -48,14 +47,16 @@ def split_lines(stories: DataFrame, id_col: str = "story_id", text_col: str = "t
 
         return F.flatten(F.transform(F.split(one_line(para), '"'), piece))
 
-    rows = paragraphs(stories, id_col, text_col).select("story_id", F.flatten(F.transform("paras", lines_of)).alias("found"))
+    def attach(found: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            after = F.get(found, i + 1)
+            said = F.when((x["type"] == "dialogue") & (after["type"] == "narration") & looks_like_attribution(after["text"]), after["text"])
+            return F.struct(x["text"].alias("text"), x["type"].alias("type"), x["raw"].alias("raw"), said.alias("attribution"))
 
-    def attach(x: Column, i: Column) -> Column:
-        after = F.get(F.col("found"), i + 1)
-        said = F.when((x["type"] == "dialogue") & (after["type"] == "narration") & looks_like_attribution(after["text"]), after["text"])
-        return F.struct(x["text"].alias("text"), x["type"].alias("type"), x["raw"].alias("raw"), said.alias("attribution"))
+        return F.transform(found, one)
 
-    return rows.select("story_id", F.posexplode(F.transform("found", attach)).alias("line_no", "x")).select("story_id", "line_no", "x.*")
+    told = bind(F.flatten(F.transform("paras", lines_of)), attach)
+    return rows_of(paragraphs(stories, id_col, text_col), told, "line_no", "story_id").select("story_id", "line_no", "x.*")
 
 
 def line_type_counts(lines: DataFrame) -> DataFrame:

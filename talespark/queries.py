@@ -20,7 +20,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Inputs, in Spark and as SQL ------------------------------------------------------------------------------------------
 
-STORY_ID = "conv_id * 1000 + turn"
+STORY_ID = "cast(conv_id AS string) || '-' || cast(turn AS string)"
 PROSE = """'"' || text || '" ' || role || ' said. ' || text || ' he went on'"""
 
 
@@ -32,8 +32,7 @@ def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROSE_SQL = f"stories AS (SELECT {STORY_ID} AS story_id, {PROSE} AS text FROM conversations)"
 
 LINE = """CASE turn % 5 WHEN 0 THEN '[' || role || '] (soft)(calm): ' || one WHEN 1 THEN role || ': *door* ' || one WHEN 2 THEN 'Bob said: ' || one WHEN 3 THEN '"' || one || '" Ann replied' ELSE '# ' || one END"""
-ONE = "split_part(text, chr(10), 1)"
-#: The same with the other lines: the SQL still stops at the first.
+#: All of a message's lines as one.
 WHOLE = "replace(text, chr(10), ' ')"
 
 
@@ -43,7 +42,7 @@ def script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("story_id", "line_no", F.expr(LINE).alias("line"))
 
 
-SCRIPT_SQL = f"""script AS (SELECT story_id, line_no, {LINE} AS line FROM (SELECT conv_id AS story_id, turn AS line_no, turn, role, {ONE} AS one FROM conversations)),
+SCRIPT_SQL = f"""script AS (SELECT story_id, line_no, {LINE} AS line FROM (SELECT conv_id AS story_id, turn AS line_no, turn, role, {WHOLE} AS one FROM conversations)),
 clean AS (SELECT *, trim(line) AS l FROM script WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')),
 formed AS (SELECT *, regexp_extract(l, '^\\[([^\\]]+)\\]\\s*(\\([^)]+\\))*\\s*:') AS head FROM clean),
 parts AS (SELECT *, CASE
@@ -64,18 +63,14 @@ sents AS (SELECT story_id, g, seg, para, CASE WHEN seg % 2 = 1 THEN 'dialogue' E
 numbered AS (SELECT story_id, row_number() OVER (PARTITION BY story_id ORDER BY g, seg, k) - 1 AS line_no, text, type, para AS raw FROM sents WHERE text <> ''),
 lines AS (SELECT *, CASE WHEN type = 'dialogue' AND lead(type) OVER w = 'narration' AND (regexp_matches(lead(text) OVER w, '(?i)(^|[^\p{{L}}\p{{N}}_])({split.ATTRIBUTION_VERBS})($|[^\p{{L}}\p{{N}}_])') OR regexp_matches(lead(text) OVER w, '(?i)(^|[^\p{{L}}\p{{N}}_])(he|she)\s+{WORD}')) THEN lead(text) OVER w END AS attribution FROM numbered WINDOW w AS (PARTITION BY story_id ORDER BY line_no))"""
 
-#: Phrases that are written before a document's first words, by its id, so that rules, cues and keywords have something to find.
+#: Phrases that are written before a document's words, by its id, so that rules, cues and keywords have something to find.
 PHRASES = ["", "she whispered", "he snarled", "a candle and wine", "you belong to me, under my control", "the storm was almost here", "not angry at all", "joyful and bold", "terrified and nervous", "is it late?", "please", "calm, steady and relaxed", "never sad"]
 CUE = f"({' '.join(f'WHEN {k} THEN {chr(39)}{p}{chr(39)}' for k, p in enumerate(PHRASES))} END)".replace("(WHEN", f"(CASE doc_id % {len(PHRASES)} WHEN", 1)
-CUE_TEXT = f"trim({CUE} || ' ' || regexp_replace(substr(text, 1, 60), '[^a-zA-Z ]', ''{{}}))"
-
-
-#: The same of the whole text: the SQL still stops at 60 characters.
-WHOLE_CUE_TEXT = CUE_TEXT.replace("substr(text, 1, 60)", "text")
+CUE_TEXT = f"trim({CUE} || ' ' || regexp_replace(text, '[^a-zA-Z ]', ''{{}}))"
 
 
 def cue_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), F.expr(WHOLE_CUE_TEXT.format("")).alias("text"))
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), F.expr(CUE_TEXT.format("")).alias("text"))
 
 
 CUE_SQL = "cues AS (SELECT doc_id AS line_id, " + CUE_TEXT.format(", 'g'") + " AS text FROM documents)"
@@ -98,6 +93,17 @@ def object_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEY_SQL = "files AS (SELECT user_id AS project, " + KEY.format("", "") + " AS key, ts AS last_modified FROM events)"
 
+
+
+def cuts_sql(source: str, keys: str, limit: int) -> str:
+    """Recursive tables of the pieces (keys, idx, piece) of ``source`` (keys, text): each step takes one off at the cursor."""
+    least, each = int(limit * 0.6), ", ".join(f"c.{k.strip()}" for k in keys.split(","))
+    return f"""walk AS (SELECT {keys}, text, 0::BIGINT AS cursor_at, -1::BIGINT AS idx, NULL::VARCHAR AS piece FROM {source}
+ UNION ALL SELECT {each}, c.text, CASE WHEN c.rest THEN length(c.text) + 1 WHEN c.taken = '' THEN c.cursor_at + {limit} ELSE c.cursor_at + c.step END, c.idx + 1, CASE WHEN c.rest THEN substr(c.text, c.cursor_at + 1) WHEN c.taken = '' THEN c.win ELSE c.taken END
+ FROM (SELECT *, regexp_replace(substr(text, cursor_at + 1, step), '^\\s+|\\s+$', '', 'g') AS taken FROM (SELECT *, CASE WHEN dot >= {least} THEN dot + 1 ELSE {limit} END AS step FROM (SELECT *, length(text) - cursor_at <= {limit} AS rest, substr(text, cursor_at + 1, {limit}) AS win, CASE WHEN contains(substr(text, cursor_at + 1, {limit}), '.') THEN {limit} - strpos(reverse(substr(text, cursor_at + 1, {limit})), '.') ELSE -1 END AS dot FROM walk WHERE idx = -1 OR cursor_at < length(text)))) c),
+pieces AS (SELECT {keys}, idx, piece FROM walk WHERE idx >= 0)"""
+
+
 VOICES = [("user", "v1"), ("Ann", "v2"), ("Bob", "v3")]
 VOICES_SQL = f"voices(character, voice_id) AS (VALUES {', '.join(map(str, VOICES))})"
 
@@ -131,7 +137,7 @@ def line_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("paragraph_merge", f"WITH {LINES_SQL.replace(PROSE_SQL, 'stories AS (SELECT doc_id AS story_id, text FROM documents)')} SELECT story_id, row_number() OVER (PARTITION BY story_id ORDER BY g) - 1 AS para_no, para FROM paras WHERE para <> ''")
 def paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = split.paragraphs(_t(spark, sf_dir, "documents"), "doc_id")
-    return found.select("story_id", F.posexplode("paras").alias("para_no", "para")).withColumn("para_no", F.col("para_no").cast("long"))
+    return T.rows_of(found, F.col("paras"), "para_no", "story_id").select("story_id", F.col("para_no").cast("long").alias("para_no"), F.col("x").alias("para"))
 
 
 @query("prev_next_context", f"WITH {LINES_SQL} SELECT story_id, line_no, lag(text) OVER w AS before, lead(text) OVER w AS after FROM lines WINDOW w AS (PARTITION BY story_id ORDER BY line_no)")
@@ -156,9 +162,41 @@ def detect_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speakers.detect_speakers(split.split_lines(stories), members).select("story_id", "line_no", "type", "character", "text")
 
 
-@query("tag_emotions")
+def _rule_case() -> str:
+    cases = [f"WHEN regexp_matches(lower(text), '{p}') THEN '{a},{b}'" for p, a, b in load("emotion_rules")["rules"]]
+    return f"CASE {' '.join(cases)} END"
+
+
+def _cue_sum(signal: str) -> str:
+    return " + ".join("CASE WHEN contains(lower(text), '{}') THEN 1 ELSE 0 END".format(c.replace("'", "''")) for c in load("emotion_rules")["cues"][signal])
+
+
+def _keyword_sql(word: str) -> str:
+    return f"len(list_filter(range(1, len(tokens) + 1), lambda i: regexp_matches(tokens[i], '(?i)^[^a-z]*{word}([^a-z]|$)') AND NOT list_has_any(list_transform(tokens[greatest(1, i - 3):i - 1], lambda t: trim(lower(t), '.,!?;:\"()[]{{}}')), ['not', 'never', 'no'])))"
+
+
+def _keywords_sql() -> str:
+    return ", ".join(f"CAST({'+'.join(_keyword_sql(w) for w in ws)} AS BIGINT) AS {label}" for label, ws in load("emotion_rules")["lexicon"].items())
+
+
+def _ranked_sql() -> str:
+    return "list_transform(list_sort([" + ", ".join(f"{{'less': -{label}, 'k': {k}, 'label': '{label}'}}" for k, label in enumerate(load("emotion_rules")["lexicon"])) + "]), lambda x: CASE WHEN x.less < 0 THEN x.label END)[1:2]"
+
+
+_MATES = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in load("emotion_rules")["companions"].items())
+
+
+@query("tag_emotions", f"""WITH {LINES_SQL},
+told AS (SELECT story_id, line_no, concat_ws(' ', nullif(text, ''), nullif(attribution, ''), nullif(lag(text) OVER w, ''), nullif(lead(text) OVER w, '')) AS text FROM lines WINDOW w AS (PARTITION BY story_id ORDER BY line_no)),
+cued AS (SELECT *, {_rule_case()} AS rule, {', '.join(f'({_cue_sum(s)}) AS {s}' for s in load('emotion_rules')['cues'])}, regexp_split_to_array(text, '\\s+') AS tokens FROM told),
+scored AS (SELECT *, {_keywords_sql()} FROM cued),
+named AS (SELECT *, CASE WHEN rule IS NOT NULL THEN string_split(rule, ',') WHEN arousal >= 2 OR (arousal > 0 AND romance > 0) THEN ['aroused', 'breathless'] WHEN romance >= 2 THEN ['romantic', 'soft']
+ WHEN dominance > 0 AND (arousal > 0 OR tension > 0) THEN ['dominant', 'commanding'] WHEN dominance >= 2 THEN ['dominant', 'aggressive'] WHEN tension >= 2 THEN ['intense', 'shaky'] ELSE list_filter({_ranked_sql()}, lambda x: x IS NOT NULL) END AS found FROM scored)
+SELECT story_id, line_no, array_to_string(CASE len(found) WHEN 2 THEN found
+ WHEN 1 THEN [found[1], CASE WHEN coalesce(CASE lower(found[1]) {_MATES} END, 'soft') <> lower(found[1]) THEN coalesce(CASE lower(found[1]) {_MATES} END, 'soft') WHEN lower(found[1]) <> 'calm' THEN 'calm' ELSE 'soft' END]
+ ELSE CASE WHEN arousal > 0 THEN ['aroused', 'breathless'] WHEN romance > 0 THEN ['romantic', 'soft'] WHEN dominance > 0 THEN ['dominant', 'commanding'] WHEN tension > 0 THEN ['intense', 'soft'] ELSE ['soft', 'calm'] END END, ',') AS emotions FROM named""")
 def tag_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return emotions.tag_emotions(split.split_lines(prose(spark, sf_dir))).select("story_id", "line_no", F.array_join("emotions", ",").alias("emotions"))
+    return emotions.tag_emotions(split.split_lines(prose(spark, sf_dir))).select("story_id", F.col("line_no").cast("long").alias("line_no"), F.array_join("emotions", ",").alias("emotions"))
 
 
 @query("subject_carry", "SELECT conv_id AS story_id, turn AS line_no, last_value(CASE WHEN turn % 3 = 0 THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM conversations")
@@ -236,8 +274,10 @@ def analysis_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.merge_usage(*parts)
 
 
-@query("voice_sequence", f"""WITH {SCRIPT_SQL}, {VOICES_SQL}, v AS (SELECT * FROM parsed JOIN voices USING (character)),
-seq AS (SELECT story_id, line_no, 0 AS part, 'speech' AS type, character, voice_id, text, NULL::INT AS duration FROM v UNION ALL SELECT story_id, line_no, 1, 'pause', NULL, NULL, NULL, 300 FROM v),
+@query("voice_sequence", f"""WITH RECURSIVE {SCRIPT_SQL}, {VOICES_SQL}, v AS (SELECT * FROM parsed JOIN voices USING (character)),
+long AS (SELECT story_id, line_no, text FROM v WHERE length(text) > 800), {cuts_sql("long", "story_id, line_no", 800)},
+said AS (SELECT story_id, line_no, 0 AS part, character, voice_id, text FROM v WHERE length(text) <= 800 UNION ALL SELECT story_id, line_no, idx, character, voice_id, piece FROM v JOIN pieces USING (story_id, line_no)),
+seq AS (SELECT story_id, line_no, part, 'speech' AS type, character, voice_id, text, NULL::INT AS duration FROM said UNION ALL SELECT story_id, line_no, max(part) + 1, 'pause', NULL, NULL, NULL, 300 FROM said GROUP BY story_id, line_no),
 gap AS (SELECT *, coalesce(duration, 0) + CASE WHEN lead(type) OVER w <> 'pause' THEN 250 ELSE 0 END AS span FROM seq WINDOW w AS (PARTITION BY story_id ORDER BY line_no, part))
 SELECT story_id, line_no, CAST(part AS BIGINT) AS part, type, character, voice_id, text, CAST(duration AS BIGINT) AS duration, CAST(coalesce(sum(span) OVER (PARTITION BY story_id ORDER BY line_no, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM gap""")
 def voice_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,15 +302,6 @@ def story_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Emotions -------------------------------------------------------------------------------------------------------------
 
 
-def _rule_case() -> str:
-    cases = [f"WHEN regexp_matches(lower(text), '{p}') THEN '{a},{b}'" for p, a, b in load("emotion_rules")["rules"]]
-    return f"CASE {' '.join(cases)} END"
-
-
-def _cue_sum(signal: str) -> str:
-    return " + ".join("CASE WHEN contains(lower(text), '{}') THEN 1 ELSE 0 END".format(c.replace("'", "''")) for c in load("emotion_rules")["cues"][signal])
-
-
 @query("emotion_rules", f"WITH {CUE_SQL} SELECT line_id, {_rule_case()} AS labels FROM cues")
 def emotion_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cue_text(spark, sf_dir).select("line_id", F.array_join(emotions.rule_labels(F.col("text")), ",").alias("labels"))
@@ -281,11 +312,7 @@ def emotion_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cue_text(spark, sf_dir).select("line_id", *(c.cast("long").alias(k) for k, c in emotions.cue_counts(F.col("text")).items()))
 
 
-def _keyword_sql(word: str) -> str:
-    return f"len(list_filter(range(1, len(tokens) + 1), lambda i: regexp_matches(tokens[i], '(?i)^[^a-z]*{word}([^a-z]|$)') AND NOT list_has_any(list_transform(tokens[greatest(1, i - 3):i - 1], lambda t: trim(lower(t), '.,!?;:\"()[]{{}}')), ['not', 'never', 'no'])))"
-
-
-@query("emotion_keywords", f"WITH {CUE_SQL}, t AS (SELECT line_id, regexp_split_to_array(text, '\\s+') AS tokens FROM cues) SELECT line_id, {', '.join(f'CAST({ chr(43).join(_keyword_sql(w) for w in ws) } AS BIGINT) AS {label}' for label, ws in load('emotion_rules')['lexicon'].items())} FROM t")
+@query("emotion_keywords", f"WITH {CUE_SQL}, t AS (SELECT line_id, regexp_split_to_array(text, '\\s+') AS tokens FROM cues) SELECT line_id, {_keywords_sql()} FROM t")
 def emotion_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = cue_text(spark, sf_dir).withColumn("s", emotions.keyword_scores(F.col("text")))
     return scores.select("line_id", *((-F.col("s")[k]["less"]).cast("long").alias(label) for k, label in enumerate(load("emotion_rules")["lexicon"])))
@@ -305,7 +332,7 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("name_map", r"""WITH users AS (SELECT DISTINCT s_name AS name, trim(regexp_replace(lower(replace(s_name, '#', ' ')), '[()\[\].,''"!?-]+', ' ', 'g')) AS norm FROM supplier),
-entries AS (SELECT DISTINCT trim(regexp_replace(lower(replace(c_name, '#', ' ')), '[()\[\].,''"!?-]+', ' ', 'g')) AS e FROM customer WHERE c_custkey <= 40),
+entries AS (SELECT DISTINCT trim(regexp_replace(lower(replace(c_name, '#', ' ')), '[()\[\].,''"!?-]+', ' ', 'g')) AS e FROM customer),
 variants AS (SELECT name, 0 AS part, regexp_replace(norm, '\s+', ' ', 'g') AS v FROM users UNION SELECT name, 1, unnest(regexp_split_to_array(norm, '\s+')) FROM users),
 scored AS (SELECT name, e, part * 10 + CASE WHEN e = v THEN 0 WHEN list_contains(string_split(e, ' '), v) THEN 1 WHEN len(list_filter(string_split(e, ' '), lambda t: starts_with(t, v))) > 0 THEN 2 ELSE 3 END AS score FROM variants JOIN (SELECT regexp_replace(e, '\s+', ' ', 'g') AS e FROM entries) ON contains(e, v))
 SELECT name, arg_min(e, (score, -length(e), e)) AS canonical FROM scored GROUP BY name""")
@@ -378,11 +405,9 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_text(_t(spark, sf_dir, "documents"), "doc_id")
 
 
-@query("cursor_cuts")
+@query("cursor_cuts", f"""WITH RECURSIVE docs AS (SELECT doc_id AS project_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents), {cuts_sql("docs", "project_id", 200)} SELECT project_id, idx, piece AS text FROM pieces""")
 def cursor_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.cursor_cuts(_t(spark, sf_dir, "documents"), "doc_id")
-
-
+    return chunking.cursor_cuts(_t(spark, sf_dir, "documents"), "doc_id").withColumn("idx", F.col("idx").cast("long"))
 
 
 # Smaller operators ----------------------------------------------------------------------------------------------------
@@ -458,17 +483,17 @@ def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "region").select("r_name", F.array_join(catalog.name_variants(F.concat("r_name", F.lit(" Q. Vale"))), ",").alias("variants"))
 
 
-@query("direct_names", r"SELECT doc_id, CASE WHEN contains(n, ' the ') THEN 'The' WHEN contains(n, ' und ') THEN 'und' END AS name FROM (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(substr(text, 1, 300)), '[()\[\].,''\"!?-]+', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS n FROM documents)".replace('\\"', '"'))
+@query("direct_names", r"SELECT doc_id, CASE WHEN contains(n, ' the ') THEN 'The' WHEN contains(n, ' und ') THEN 'und' END AS name FROM (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[()\[\].,''\"!?-]+', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS n FROM documents)".replace('\\"', '"'))
 def direct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", catalog.first_name_in(F.col("text"), ["The", "und"]).alias("name"))
 
 
-@query("chunk_tasks", f"""WITH {VOICES_SQL}, l AS (SELECT conv_id * 1000 + turn AS project_id, generate_subscripts(ls, 1) - 1 AS line_no, trim(unnest(ls)) AS line, role FROM (SELECT conv_id, turn, role, string_split('[' || role || '] ' || text, chr(10)) AS ls FROM conversations)),
+@query("chunk_tasks", f"""WITH {VOICES_SQL}, l AS (SELECT {STORY_ID} AS project_id, generate_subscripts(ls, 1) - 1 AS line_no, trim(unnest(ls)) AS line, role FROM (SELECT conv_id, turn, role, string_split('[' || role || '] ' || text, chr(10)) AS ls FROM conversations)),
 k AS (SELECT *, CASE WHEN line_no = 0 THEN role ELSE NULL END AS who FROM l WHERE line <> ''),
 w AS (SELECT project_id, line_no, line, who, unnest(range(0, CAST(ceil(length(line) / 200.0) AS BIGINT))) AS part FROM k)
 SELECT project_id, CAST(line_no AS BIGINT) AS line_no, part, substr(line, CAST(part * 200 + 1 AS BIGINT), 200) AS text, coalesce(voice_id, 'none') AS voice_id FROM w LEFT JOIN voices ON character = who""")
 def chunk_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "conversations").select(F.expr("conv_id * 1000 + turn").alias("project_id"), F.expr("'[' || role || '] ' || text").alias("text"))
+    rows = _t(spark, sf_dir, "conversations").select(F.expr(STORY_ID).alias("project_id"), F.expr("'[' || role || '] ' || text").alias("text"))
     out = chunking.chunk_tasks(rows, spark.createDataFrame(VOICES, "character string, voice_id string"), default_voice="none")
     return out.withColumns({c: F.col(c).cast("long") for c in ("line_no", "part")})
 

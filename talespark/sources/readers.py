@@ -94,11 +94,20 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("name")).filter("name <> ''").distinct()
 
 
-def read_voice_mappings(spark: SparkSession, folder: str) -> DataFrame:
-    """(project, character, voice_id), of a JSON object per project file."""
-    raw = spark.read.text(f"{folder}/*_voices.json", wholetext=True)
-    project = F.regexp_extract("_metadata.file_path", r"([^/]+)_voices\.json$", 1)
-    return raw.select(project.alias("project"), F.explode(F.from_json("value", "map<string,string>")).alias("character", "voice_id"))
+def read_voice_mappings(spark: SparkSession, path: str) -> DataFrame:
+    """(project, character, voice_id), of JSON lines {project_name, voice_mappings} or a file with such an object for each project."""
+    raw = spark.read.schema("project_name string, voice_mappings map<string, string>").json(path, multiLine=path.rstrip("/").endswith("_voices.json"))
+    return raw.filter("voice_mappings is not null").select(F.col("project_name").alias("project"), F.explode("voice_mappings").alias("character", "voice_id"))
+
+
+def get_objects(asked: DataFrame, objects: DataFrame, schema: str) -> DataFrame:
+    """``asked`` (key, ...) with ``data``, the parsed JSON of the object (key, body) of that key; null if it is missing or broken."""
+    return asked.join(objects.select("key", F.from_json("body", schema).alias("data")), "key", "left")
+
+
+def existing(asked: DataFrame, listing: DataFrame) -> DataFrame:
+    """Rows of ``asked`` whose key the listing has; no content is read."""
+    return asked.join(listing.select("key").distinct(), "key", "left_semi")
 
 
 def list_objects(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -32,28 +32,38 @@ def resumable_sink(entries: DataFrame, path: str, checkpoint: str, every: str =
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def stream_speakers(lines: DataFrame, cast: list[tuple[str, str]], mode: str = "generic") -> DataFrame:
+def stream_speakers(lines: DataFrame, cast: list[tuple[str, str]], mode: str = "generic", patience_ms: int = 30_000) -> DataFrame:
     """(story_id, line_no, character): the speaker fold over lines that arrive in order within a story.
 
-    The state is the fold's own few fields. A line waits for the next one of its story, which may hold its attribution.
+    The state is the fold's own few fields. A line waits for the next one of its story, which may hold its attribution; it
+    comes out without one after ``patience_ms`` of processing time, so a story's last line is never kept back.
     """
     fields = "speaker string, subject string, open int, before string, waiting string"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import json
 
-        fold, waiting = Fold(Cast(cast), mode), None
+        fold, waiting, out = Fold(Cast(cast), mode), None, []
         if state.exists:
             fold.speaker, fold.subject, fold.open, fold.before, held = state.get
             waiting = json.loads(held) if held else None
-        out = []
-        for rows in batches:
-            for row in rows.sort_values("line_no").astype(object).where(lambda x: x.notna(), None).to_dict("records"):
-                row = {k: row.get(k) for k in ("line_no", "text", "type", "raw", "attribution")}
-                if waiting:
-                    out.append((key[0], int(waiting["line_no"]), fold.step(waiting, row)[0]))
-                waiting = row | {"line_no": int(row["line_no"])}
+
+        def come(after: dict | None) -> None:
+            if waiting:
+                out.append((key[0], int(waiting["line_no"]), fold.step(waiting, after)[0]))
+
+        if state.hasTimedOut:
+            come(None)
+            waiting = None
+        else:
+            for rows in batches:
+                for row in rows.sort_values("line_no").astype(object).where(lambda x: x.notna(), None).to_dict("records"):
+                    row = {k: row.get(k) for k in ("line_no", "text", "type", "raw", "attribution")}
+                    come(row)
+                    waiting = row | {"line_no": int(row["line_no"])}
         state.update((fold.speaker, fold.subject, fold.open, fold.before, json.dumps(waiting) if waiting else None))
+        if waiting:
+            state.setTimeoutDuration(patience_ms)
         yield pd.DataFrame(out, columns=["story_id", "line_no", "character"])
 
-    return lines.groupBy("story_id").applyInPandasWithState(run, "story_id long, line_no int, character string", fields, "append", GroupStateTimeout.NoTimeout)
+    return lines.groupBy("story_id").applyInPandasWithState(run, "story_id long, line_no int, character string", fields, "append", GroupStateTimeout.ProcessingTimeTimeout)

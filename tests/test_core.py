@@ -1,5 +1,7 @@
 """Operators on small tables, and registered queries against their SQL."""
 
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -140,10 +142,23 @@ def test_prose_plan_and_stream(spark, tmp_path):
     assert [r.character for r in lines] == ["Ilse", "Ilse", "Ilse", "Tobias", "Tobias"] and all(len(set(r.emotions)) == 2 for r in lines)
     split.split_lines(stories).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(split.split_lines(stories).schema).parquet(str(tmp_path / "in"))
-    q = streams.stream_speakers(stream, [("Ilse", "F"), ("Tobias", "M")]).writeStream.format("memory").queryName("told").outputMode("append").start()
-    q.processAllAvailable()
+    q = streams.stream_speakers(stream, [("Ilse", "F"), ("Tobias", "M")], patience_ms=500).writeStream.format("memory").queryName("told").outputMode("append").start()
+    for _ in range(120):
+        if spark.table("told").count() == 5:
+            break
+        time.sleep(0.5)
     q.stop()
-    assert [r.character for r in spark.table("told").orderBy("line_no").collect()] == ["Ilse", "Ilse", "Ilse", "Tobias"]
+    assert [r.character for r in spark.table("told").orderBy("line_no").collect()] == ["Ilse", "Ilse", "Ilse", "Tobias", "Tobias"]  # the last line too
+
+
+def test_speakers_keep_every_row(spark):
+    """Rows without a story and rows that repeat a line number come back once each, with their own columns."""
+    rows = [(1, 0, "Ilse smiled.", "narration", 7), (1, 1, "Go.", "dialogue", 8), (1, 1, "Stay.", "dialogue", 9), (None, 0, "Rain.", "narration", 5), (None, 0, "Snow.", "narration", 6)]
+    lines = spark.createDataFrame(rows, "story_id int, line_no int, text string, type string, own int").withColumns({"raw": F.col("text"), "attribution": F.lit(None).cast("string"), "tags": F.array("type")})
+    cast = spark.createDataFrame([(1, 0, "Ilse", "F"), (None, 0, "Tobias", "M"), (9, 0, "Ada", "F")], "story_id long, ord int, name string, gender string")
+    found = speakers.detect_speakers(lines, cast)
+    assert sorted((r.own, r.character, r.tags[0]) for r in found.collect()) == [(5, "Narrator", "narration"), (6, "Narrator", "narration"), (7, "Ilse", "narration"), (8, "Ilse", "dialogue"), (9, "Ilse", "dialogue")]
+    assert speakers.detect_speakers(lines.limit(0), cast).count() == 0
 
 
 def test_window_path_equals_fold(spark):
