@@ -44,6 +44,8 @@ ACTIONS = (
 MOST = 12
 
 _PHRASE = re.compile(r"\b[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){0,2}\b")
+#: A run of letters, digits and underscores.
+RUN = r"(?U)(\w+)"
 _TOKEN = r"[A-Za-z][A-Za-z'\-]*"
 
 
@@ -87,15 +89,16 @@ def catalog_hits(stories: DataFrame, catalog: DataFrame, text_col: str = "text")
     """(story_id, display, ord, uses, inside) of catalog entries (display, ord) whose words a text has.
 
     uses counts the lower-cased name between word borders; inside says whether the normalised name stands in the
-    normalised text as whole words. Entries are posted under their first word; a text looks up its distinct words, and what it
+    normalised text as whole words. Entries are posted under their first word, in either reading; a text looks up its distinct words, and what it
     meets comes back to it as one array, so texts are not copied for each entry. A text that meets nothing gives no row.
     """
     norm = normalize_name(F.col("display"))
     entries = catalog.select("display", "ord", norm.alias("norm"), F.lower("display").alias("low")).filter("norm <> ''")
-    first = F.when(F.instr("norm", " ") > 0, F.substring_index("norm", " ", 1)).otherwise(F.col("norm"))
-    posted = entries.select("display", "ord", "norm", "low", first.alias("word"))
-    words = stories.select("story_id", F.explode(F.array_distinct(F.split(normalize_name(F.col(text_col)), " "))).alias("word"))
-    met = words.join(posted, "word").groupBy("story_id").agg(F.collect_list(F.struct("display", "ord", "norm", "low")).alias("met"))
+    first = F.array_distinct(F.array(F.substring_index("norm", " ", 1), F.regexp_extract("low", RUN, 1)))
+    posted = entries.select("display", "ord", "norm", "low", F.explode(first).alias("word")).filter("word <> ''")
+    own = F.array_distinct(F.concat(F.split(normalize_name(F.col(text_col)), " "), F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(RUN), F.lit(1))))
+    words = stories.select("story_id", F.explode(own).alias("word"))
+    met = words.join(posted, "word").groupBy("story_id").agg(F.collect_set(F.struct("display", "ord", "norm", "low")).alias("met"))
     padded = F.concat(F.lit(" "), normalize_name(F.col("__text")), F.lit(" "))
     rows = stories.select("story_id", F.col(text_col).alias("__text")).join(met, "story_id").select("story_id", F.lower("__text").alias("low_text"), padded.alias("padded"), F.explode("met").alias("e"))
     quoted = F.concat(F.lit(r"(?U)\b\Q"), F.col("e.low"), F.lit(r"\E\b"))

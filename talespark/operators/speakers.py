@@ -346,6 +346,18 @@ def carry_subject(lines: DataFrame, evidence: str) -> DataFrame:
     return lines.withColumn("carried", F.coalesce(F.col(evidence), back))
 
 
+def has_feminine_cue(text: Column) -> Column:
+    """Whether a text has a feminine word between blanks, or a feminine noun anywhere."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    padded = F.concat(F.lit(" "), low, F.lit(" "))
+    return padded.rlike(f" (?:{'|'.join(FEMALE_WORDS)}) ") | low.rlike("|".join(FEMALE_NOUNS))
+
+
+def looks_like_attribution_text(text: Column) -> Column:
+    """Whether a text tells who speaks: see attributive()."""
+    return F.coalesce(text, F.lit("")).rlike(f"(?iU){_ATTRIBUTIVE.pattern}")
+
+
 def preferred(candidates: Column, names: list[str]) -> Column:
     """The first of ``candidates`` that is one of the preferred ``names``, both normalised; null for none."""
     wanted = sorted({n for n in map(normal, names) if n})

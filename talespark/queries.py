@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from talespark.data import load
 from talespark.functions import text as T
-from talespark.operators import catalog, chunking, emotions, logs, projects, scripts, speakers, split
+from talespark.operators import catalog, chunking, emotions, logs, names, projects, scripts, speakers, split
+from talespark.sources import readers, writers
+from talespark.streaming import streams
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,8 +160,7 @@ CAST = [("Ann", "F"), ("Bob", "M"), ("user", "M"), ("assistant", "F")]
 @query("detect_speakers")
 def detect_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     stories = prose(spark, sf_dir)
-    members = stories.select("story_id", F.posexplode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(g).alias("gender")) for n, g in CAST))).alias("ord", "m")).select("story_id", "ord", "m.*")
-    return speakers.detect_speakers(split.split_lines(stories), members).select("story_id", "line_no", "type", "character", "text")
+    return speakers.detect_speakers(split.split_lines(stories), _cast(stories)).select("story_id", "line_no", "type", "character", "text")
 
 
 def _rule_case() -> str:
@@ -186,6 +187,22 @@ def _ranked_sql() -> str:
 _MATES = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in load("emotion_rules")["companions"].items())
 
 
+def _cast(stories: DataFrame) -> DataFrame:
+    return stories.select("story_id", F.posexplode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(g).alias("gender")) for n, g in CAST))).alias("ord", "m")).select("story_id", "ord", "m.*")
+
+
+@query("speakers_strict")
+def speakers_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stories = prose(spark, sf_dir)
+    return speakers.detect_speakers(split.split_lines(stories), _cast(stories), "strict", auto_assign=False).select("story_id", "line_no", "type", "character", "text")
+
+
+@query("speakers_aggressive")
+def speakers_aggressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stories = prose(spark, sf_dir)
+    return speakers.detect_speakers(split.split_lines(stories), _cast(stories), "aggressive").select("story_id", "line_no", "type", "character", "text")
+
+
 @query("tag_emotions", f"""WITH {LINES_SQL},
 told AS (SELECT story_id, line_no, concat_ws(' ', nullif(text, ''), nullif(attribution, ''), nullif(lag(text) OVER w, ''), nullif(lead(text) OVER w, '')) AS text FROM lines WINDOW w AS (PARTITION BY story_id ORDER BY line_no)),
 cued AS (SELECT *, {_rule_case()} AS rule, {', '.join(f'({_cue_sum(s)}) AS {s}' for s in load('emotion_rules')['cues'])}, regexp_split_to_array(text, '\\s+') AS tokens FROM told),
@@ -312,7 +329,18 @@ def emotion_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cue_text(spark, sf_dir).select("line_id", *(c.cast("long").alias(k) for k, c in emotions.cue_counts(F.col("text")).items()))
 
 
-@query("emotion_keywords", f"WITH {CUE_SQL}, t AS (SELECT line_id, regexp_split_to_array(text, '\\s+') AS tokens FROM cues) SELECT line_id, {_keywords_sql()} FROM t")
+def _label_sums() -> str:
+    one = lambda w: f"CAST(regexp_matches(tok, '(?i)^[^a-z]*{w}([^a-z]|$)') AS INT)"
+    return ", ".join(f"CAST(sum({' + '.join(map(one, ws))}) AS BIGINT) AS {label}" for label, ws in load("emotion_rules")["lexicon"].items())
+
+
+_ANY_WORD = "|".join(w for ws in load("emotion_rules")["lexicon"].values() for w in ws)
+
+
+@query("emotion_keywords", f"""WITH {CUE_SQL}, t AS (SELECT line_id, regexp_split_to_array(text, '\\s+') AS tokens FROM cues), u AS (SELECT line_id, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS i FROM t),
+n AS (SELECT *, trim(lower(tok), '.,!?;:"()[]{{}}') IN ('not', 'never', 'no') AS no FROM u), d AS (SELECT *, coalesce(lag(no, 1) OVER w, false) OR coalesce(lag(no, 2) OVER w, false) OR coalesce(lag(no, 3) OVER w, false) AS denied FROM n WINDOW w AS (PARTITION BY line_id ORDER BY i)),
+s AS (SELECT line_id, {_label_sums()} FROM d WHERE NOT denied AND regexp_matches(tok, '(?i){_ANY_WORD}') GROUP BY line_id)
+SELECT line_id, {', '.join(f'coalesce({x}, 0) AS {x}' for x in load('emotion_rules')['lexicon'])} FROM cues LEFT JOIN s USING (line_id)""")
 def emotion_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = cue_text(spark, sf_dir).withColumn("s", emotions.keyword_scores(F.col("text")))
     return scores.select("line_id", *((-F.col("s")[k]["less"]).cast("long").alias(label) for k, label in enumerate(load("emotion_rules")["lexicon"])))
@@ -518,3 +546,229 @@ def emotion_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("word_counts", r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS words, substr(text, 1, 80) AS preview FROM documents")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"), T.preview(F.col("text"), 80).alias("preview"))
+
+
+# Names in prose -------------------------------------------------------------------------------------------------------
+
+#: A catalog for the texts, in its order.
+FIRST_WORDS = [("Bela Und", "M", 0), ("the", "f", 1), ("Und", "M", 2), ("de la", "x", 3)]
+FIRST_SQL = f"catalog(display, gender, ord) AS (VALUES {', '.join(map(str, FIRST_WORDS))})"
+_PLAIN = r"""' ' || trim(regexp_replace(regexp_replace(lower({}), '[()\[\].,''"!?-]+', ' ', 'g'), '\s+', ' ', 'g')) || ' '"""
+
+
+def first_words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FIRST_WORDS, "display string, gender string, ord int")
+
+
+@query("first_names", f"WITH {FIRST_SQL} SELECT doc_id AS story_id, (SELECT arg_min(display, ord) FROM catalog WHERE contains({_PLAIN.format('text')}, ' ' || lower(display) || ' ')) AS name FROM documents")
+def first_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.first_names(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("story_id"), "text"), first_words(spark)).select("story_id", "name")
+
+
+@query("catalog_hits", rf"WITH {FIRST_SQL}, t AS (SELECT doc_id AS story_id, regexp_replace(lower(text), '[^\x00-\x7F]', 'x', 'g') AS low FROM documents), h AS (SELECT story_id, display, len(regexp_extract_all(low, '\b' || lower(display) || '\b')) AS uses FROM t, catalog) SELECT story_id, display, uses FROM h WHERE uses > 0")
+def catalog_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("story_id"), "text")
+    return names.catalog_hits(docs, first_words(spark)).filter("uses > 0").select("story_id", "display", F.col("uses").cast("long").alias("uses"))
+
+
+@query("name_candidates")
+def name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_candidates(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("story_id"), "text"), first_words(spark))
+
+
+ODD_NAME = "CASE conv_id % 5 WHEN 0 THEN 'Ann van Lee' WHEN 1 THEN 'mother ' || role WHEN 2 THEN 'Bo' || role WHEN 3 THEN role WHEN 4 THEN 'A B C D E' END"
+
+
+@query("name_looks", f"SELECT conv_id, turn, conv_id % 5 IN (0, 2) AS looks FROM (SELECT *, {ODD_NAME} AS name FROM conversations)")
+def name_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", names.looks_like_name(F.expr(ODD_NAME)).alias("looks"))
+
+
+@query("model_names", "SELECT user_id AS story_id, min(event_id) AS ord, 'Name' || chr(CAST(65 + event_id % 15 AS INT)) AS name FROM events GROUP BY user_id, event_id % 15 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) <= 12")
+def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events").select(F.col("user_id").alias("story_id"), F.col("event_id").alias("ord"), F.expr("'Name' || chr(65 + event_id % 15)").alias("name"))
+    return names.model_names(rows)
+
+
+@query("cast_enabled", "SELECT c_custkey, 'Customer ' || c_custkey AS name, c_custkey % 4 = 0 AS exists_in_config FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 7 <> 0")
+def cast_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.expr("CASE WHEN c_custkey % 7 = 0 THEN '  ' ELSE ' Customer ' || c_custkey || ' ' END").alias("name"), F.expr("CASE c_custkey % 3 WHEN 0 THEN false WHEN 1 THEN true END").alias("enabled"))
+    known = _t(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").select(F.expr("'CUSTOMER ' || c_custkey").alias("name"))
+    return catalog.enabled_cast(rows, known).select("c_custkey", "name", "exists_in_config")
+
+
+@query("guess_genders", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'U' END AS guessed FROM customer")
+def guess_genders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.expr("CASE c_custkey % 3 WHEN 0 THEN 'Ada' WHEN 1 THEN 'ADA' ELSE 'Odd' END").alias("name"))
+    known = spark.createDataFrame([("ada", "u", 0), ("Ada", " f", 1), ("Odd", "none", 2)], "display string, gender string, ord int")
+    return catalog.guess_genders(rows, known).select("c_custkey", "guessed")
+
+
+@query("known_names", f"WITH {FIRST_SQL} SELECT display AS name FROM catalog UNION SELECT role FROM conversations")
+def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.known_names(first_words(spark), _t(spark, sf_dir, "conversations").select(F.col("role").alias("character")))
+
+
+@query("preferred_names", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' WHEN turn % 2 = 0 THEN 'BOB' END AS chosen FROM conversations")
+def preferred_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offered = F.expr("CASE WHEN turn % 2 = 0 THEN array(role, 'BOB', 'Ann') ELSE array('Zoe', role) END")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", speakers.preferred(offered, ["bob!", "User", ""]).alias("chosen"))
+
+
+@query("gender_words", "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'female' WHEN 1 THEN 'nonbinary' WHEN 2 THEN 'male' ELSE 'unknown' END AS label, CASE turn % 4 WHEN 0 THEN 'U' WHEN 1 THEN 'U' WHEN 2 THEN 'M' ELSE 'F' END AS letter, CASE turn % 4 WHEN 0 THEN 'Woman' WHEN 1 THEN 'Nb' WHEN 2 THEN 'M' ELSE 'Frau' END AS shown FROM conversations")
+def gender_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hint = F.expr("CASE turn % 4 WHEN 0 THEN 'wOMAN' WHEN 1 THEN 'NB' WHEN 2 THEN 'm' ELSE 'fRAU' END")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", T.gender_label(hint).alias("label"), T.gender_letter(hint).alias("letter"), T.canonical(hint).alias("shown"))
+
+
+@query("feminine_cues", "SELECT doc_id AS line_id, regexp_matches(' ' || lower(text) || ' ', ' (she|her|hers|herself|girl|woman|wife) ') OR regexp_matches(lower(text), 'kitten|princess|queen|mistress|lover|pet|baby girl|little one|brat') AS feminine, regexp_matches(text, '(?i)^\\s*([a-z0-9_]+[, ]+)?(said|asked|whispered|replied|murmured|sighed|laughed|sobbed|shouted|cried|whined|breathed|cursed)($|[^a-zA-Z0-9_])') OR regexp_matches(text, '(?i)[a-z0-9_]''s (voice|whisper)') OR regexp_matches(text, '(?i)" + speakers.VERBS + "') AS attributive FROM (" + "SELECT doc_id, " + CUE_TEXT.format(", 'g'") + " AS text FROM documents)")
+def feminine_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cue_text(spark, sf_dir).select("line_id", speakers.has_feminine_cue(F.col("text")).alias("feminine"), speakers.looks_like_attribution_text(F.col("text")).alias("attributive"))
+
+
+# Sources, sinks and views ---------------------------------------------------------------------------------------------
+
+
+@query("teaser_stats", "SELECT doc_id AS story_id, n AS lines, n <= 5 AS fits, n * 3 AS seconds FROM (SELECT doc_id, len(list_filter(string_split(CASE WHEN doc_id % 5 = 0 THEN '#' || text ELSE text END, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(x, '#'))) AS n FROM documents)")
+def teaser_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("story_id"), F.expr("CASE WHEN doc_id % 5 = 0 THEN '#' || text ELSE text END").alias("text"))
+    return scripts.teaser_stats(rows).withColumns({c: F.col(c).cast("long") for c in ("lines", "seconds")})
+
+
+@query("piece_metrics", "SELECT doc_id AS project_id, CAST(ceil(length(text) / 200.0) AS BIGINT) AS pieces, length(text) / ceil(length(text) / 200.0) AS avg_chars FROM documents WHERE length(text) > 0")
+def piece_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.piece_metrics(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("project_id"), F.explode(chunking.fixed_windows(F.col("text"), 200)).alias("text")))
+
+
+@query("text_digests", r"SELECT doc_id, sha1(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest FROM documents")
+def text_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", T.text_digest(F.concat(F.lit(" \n"), "text")).alias("digest"))
+
+
+@query("response_texts", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS answer FROM conversations WHERE text <> '' GROUP BY conv_id")
+def response_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    piece = F.struct(F.struct(F.col("text").alias("value")).alias("text"))
+    turns = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.array(piece).alias("content")))).alias("turns"))
+    return turns.select("conv_id", T.response_text(F.transform("turns", lambda t: F.struct(t["content"].alias("content")))).alias("answer"))
+
+
+@query("object_get", "SELECT p.c_custkey, e.event_id FROM customer p LEFT JOIN (SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id) e ON e.user_id = p.c_custkey AND e.user_id % 3 <> 0")
+def object_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id")).filter("user_id % 3 <> 0")
+    objects = stored.select(F.expr("'projects/' || user_id || '.json'").alias("key"), F.to_json(F.struct("event_id")).alias("body"))
+    asked = _t(spark, sf_dir, "customer").select("c_custkey", F.expr("'projects/' || c_custkey || '.json'").alias("key"))
+    return readers.get_objects(asked, objects, "event_id long").select("c_custkey", F.col("data.event_id").alias("event_id"))
+
+
+@query("object_exists", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events)")
+def object_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _t(spark, sf_dir, "customer").select("c_custkey", F.expr("'projects/' || c_custkey").alias("key"))
+    return readers.existing(asked, _t(spark, sf_dir, "events").select(F.expr("'projects/' || user_id").alias("key"))).select("c_custkey")
+
+
+@query("object_put", f"WITH {KEY_SQL} SELECT key, CASE WHEN ends_with(key, '.gz') THEN TIMESTAMP '2024-02-01 00:00:00' ELSE last_modified END AS last_modified FROM files WHERE NOT contains(key, '/7')")
+def object_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = object_rows(spark, sf_dir).select("key", "last_modified")
+    fresh = files.filter(F.col("key").endswith(".gz")).withColumn("last_modified", F.lit("2024-02-01 00:00:00").cast("timestamp").cast(files.schema["last_modified"].dataType))
+    return writers.remove_objects(writers.put_objects(files, fresh), files.filter(F.contains("key", F.lit("/7"))))
+
+
+@query("log_names", f"WITH {KEY_SQL} SELECT key FROM files WHERE contains(key, '/12') AND contains(lower(key), '.json') ORDER BY key DESC LIMIT 10 OFFSET 10")
+def log_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.log_page(logs.named_like(object_rows(spark, sf_dir), "/12", ".JSON"), 1).select("key")
+
+
+@query("recent_keys", f"WITH {KEY_SQL} SELECT key FROM files WHERE ends_with(key, '.json') ORDER BY last_modified DESC, key LIMIT 20")
+def recent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.recent(object_rows(spark, sf_dir)).select("key")
+
+
+@query("history_view", "SELECT event_id AS project_id, CASE WHEN event_id % 4 <> 0 THEN date_trunc('second', ts) END AS updated FROM events")
+def history_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events").select(F.col("event_id").alias("project_id"), F.when(F.col("event_id") % 4 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.lit("soon")).alias("last_updated"))
+    return logs.history(rows).select("project_id", "updated")
+
+
+@query("log_lines", "SELECT event_id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC] [' || upper(event_type) || ']' || CASE WHEN event_id % 2 = 0 THEN '[ui]' ELSE '' END || ' event ' || event_id AS line, strftime(ts, '%b %d, %Y, %I:%M %p') AS shown FROM events")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.when(F.col("event_id") % 2 == 0, F.lit("ui"))
+    return _t(spark, sf_dir, "events").select("event_id", logs.log_line(F.col("ts"), F.col("event_type"), F.expr("'event ' || event_id"), source).alias("line"), T.show_time(F.col("ts")).alias("shown"))
+
+
+@query("error_rows", "SELECT event_id, 0 AS place, 'ERROR' AS level, event_type || ': ' || props AS message FROM events UNION ALL SELECT event_id, 1, NULL, 'at ' || user_id FROM events UNION ALL SELECT event_id, 2, NULL, 'in job' FROM events")
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = logs.error_rows(F.col("event_type"), F.col("props"), F.expr("'at ' || user_id || chr(10) || chr(10) || 'in job' || chr(10)"))
+    return _t(spark, sf_dir, "events").select("event_id", F.posexplode(made).alias("place", "r")).select("event_id", F.col("place").cast("long").alias("place"), "r.*")
+
+
+@query("structured_log", """SELECT event_id, '[JSON] {"level":"' || event_type || '","event":' || event_id || ',"user":' || CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE 'null' END || '}' AS line FROM events""")
+def structured_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"level": F.col("event_type"), "event": F.col("event_id"), "user": F.when(F.col("event_id") % 2 == 0, F.col("user_id"))}
+    return _t(spark, sf_dir, "events").select("event_id", logs.structured_line(fields).alias("line"))
+
+
+@query("parsed_times", "SELECT event_id, CASE event_id % 4 WHEN 3 THEN '0001-01-01 00:00:00' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events")
+def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = lambda f: F.date_format("ts", f)
+    text = F.when(F.col("event_id") % 4 == 0, form("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("event_id") % 4 == 1, form("yyyy-MM-dd'T'HH-mm-ss'Z'")).when(F.col("event_id") % 4 == 2, form("yyyy-MM-dd_HH-mm-ss")).otherwise("later")
+    return _t(spark, sf_dir, "events").select("event_id", F.date_format(T.parse_time(text), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+@query("voice_assignments", "SELECT DISTINCT role AS character, 'v-' || role AS voice_id FROM conversations")
+def voice_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = _t(spark, sf_dir, "conversations").select(F.col("role").alias("character"), F.concat(F.lit("v-"), "role").alias("voice_id")).distinct()
+    return projects.voice_assignments([saved.limit(0), saved, spark.createDataFrame(VOICES, "character string, voice_id string")], spark.createDataFrame([("Mara", "v9")], "display string, voice_id string"))
+
+
+@query("default_voices", "SELECT 'v1' AS voice_id")
+def default_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").select(F.when(F.col("role") == "user", "NARRATOR").otherwise(F.col("role")).alias("character"), F.when(F.col("role") == "user", "v1").otherwise("v2").alias("voice_id"))
+    return projects.default_voice(rows)
+
+
+@query("voice_descriptions", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'warm' ELSE 'Custom voice assignment' END AS description FROM conversations")
+def voice_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("voice_id"))
+    return projects.voice_descriptions(rows, spark.createDataFrame([("user", "warm"), ("user", "wide")], "voice_id string, description string")).select("conv_id", "turn", "description")
+
+
+@query("project_names", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role WHEN turn % 3 = 1 THEN 'upload' ELSE 'global' END AS project FROM conversations")
+def project_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "CASE WHEN turn % 3 = 0 THEN role ELSE '' END AS pasted", "CASE WHEN turn % 3 < 2 THEN 'upload' END AS uploaded")
+    return projects.project_names(rows, ["pasted", "uploaded"]).select("conv_id", "turn", "project")
+
+
+@query("project_settings", "SELECT c_custkey AS project_id, CASE WHEN c_custkey % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS stability, CASE WHEN c_custkey % 2 = 0 THEN 0.25 ELSE 0.75 END::DOUBLE AS similarity_boost, 0.0::DOUBLE AS style FROM customer")
+def project_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"))
+    saved = rows.filter("project_id % 2 = 0").selectExpr("project_id", "7.0D AS stability", "0.25D AS similarity_boost", "cast(null AS double) AS style")
+    return projects.project_settings(rows, saved)
+
+
+@query("effect_usage", "SELECT conv_id AS story_id, NULL::VARCHAR AS effect, 0::BIGINT AS uses FROM conversations WHERE false")
+def effect_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scripts.effect_usage(scripts.parse_script(script(spark, sf_dir)))
+
+
+@query("readable_log", f"WITH {LINES_SQL}, n AS (SELECT story_id, upper(type) || ': ' || count(*) AS one, count(*) AS n FROM lines GROUP BY story_id, type) SELECT story_id, line_no, printf('%02d', line_no + 1) || '. [' || upper(type) || '] ' || text AS value FROM lines UNION ALL SELECT story_id, NULL, sum(n)::BIGINT || ' lines. ' || string_agg(one, ', ' ORDER BY one) FROM n GROUP BY story_id")
+def readable_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writers.readable_log(split_lines(spark, sf_dir))
+
+
+@query("log_windows", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, count(*) AS lines FROM events GROUP BY 1, 2")
+def log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's aggregation over a bounded input, where no line is late."""
+    level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
+    rows = _t(spark, sf_dir, "events").select(logs.log_line(F.col("ts"), level, F.col("props")).alias("value"))
+    return streams.level_counts(rows).select("window.start", "level", "lines")
+
+
+@query("user_sessions", "WITH e AS (SELECT user_id, ts, coalesce(date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) >= 86400000000, true) AS fresh FROM events), s AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS stop, count(*) AS events FROM s GROUP BY user_id, n")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.sessions(_t(spark, sf_dir, "events"), gap="1 day").select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "events")
+
+
+@query("upload_limit", "SELECT doc_id, length(text) > 3000 AS cut, CASE WHEN length(text) > 3000 THEN substr(text, 1, 3000) || chr(10) || '# [text truncated]' ELSE text END AS text FROM documents")
+def upload_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit at ingest, which is the feature; 3000 here, so that it is met."""
+    return _t(spark, sf_dir, "documents").select("doc_id", (F.length("text") > 3000).alias("cut"), readers.bounded(F.col("text"), 3000).alias("text"))
