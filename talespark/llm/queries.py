@@ -54,6 +54,43 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+#: Messages that quote the one before, made of conversations; by the turn: its first line, all of it under a lead, or twice nested.
+REPLIES = """SELECT conv_id, turn, role, CASE WHEN back IS NULL THEN text WHEN turn % 3 = 1 THEN '> ' || split_part(back, chr(10), 1) || chr(10) || text
+ WHEN turn % 3 = 2 THEN role || ' wrote:' || chr(10) || '>' || replace(back, chr(10), chr(10) || '> ') || chr(10) || text
+ ELSE '> > ' || split_part(back, chr(10), 1) || chr(10) || '> aside ' || turn || chr(10) || text END AS text
+ FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS back FROM conversations)"""
+
+
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's operator over messages that hold quotes, which the table itself does not."""
+    rows = table(spark, sf_dir, "conversations")
+    made = spark.sql(REPLIES.replace("FROM conversations", "FROM {rows}"), rows=rows)
+    return quotes.format_conversations(made)
+
+
+def _quotes_sql(messages: str) -> str:
+    """Quotation linking in SQL: units joined to passages by their text, threads by recursion."""
+    blank = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    units = lambda c: rf"list_distinct(list_filter(list_transform(list_concat([{c}], regexp_split_to_array({c}, '\n[ \t]*\n'), string_split({c}, chr(10))), lambda x: trim(regexp_replace(lower(x), '{blank}', ' ', 'g'))), lambda x: x <> ''))"
+    return rf"""WITH RECURSIVE msgs AS ({messages}),
+lines AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM msgs),
+marked AS (SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t>]*>'), '[^>]', '', 'g')) AS level, substr(line, length(regexp_extract(line, '^[ \t>]*>')) + 1) AS body, NOT contains(line, '>') AND regexp_matches(line, '(^|[^\w])(wrote|writes|said|schrieb|escribi[oó]|a écrit)[ \t]*:\s*$') AS leads FROM lines),
+runs AS (SELECT *, coalesce(lag(level) OVER w <> level, true) AS fresh, leads AND coalesce(lead(level) OVER w, 0) > 0 AS introduces FROM marked WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+numbered AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM runs),
+passages AS (SELECT conv_id, turn, level, string_agg(body, chr(10) ORDER BY i) AS passage FROM numbered WHERE level > 0 GROUP BY conv_id, turn, run, level),
+own AS (SELECT conv_id, turn, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0 AND NOT introduces), ''), '^\s+|\s+$', '', 'g') AS words FROM numbered GROUP BY conv_id, turn),
+asks AS (SELECT DISTINCT conv_id, turn, level, unnest({units('passage')}) AS unit FROM passages),
+units AS (SELECT DISTINCT conv_id, turn, unnest({units('words')}) AS unit FROM own),
+met AS (SELECT a.conv_id, a.turn, a.level, a.unit, max(u.turn) AS parent FROM asks a JOIN units u ON u.conv_id = a.conv_id AND u.unit = a.unit AND u.turn < a.turn GROUP BY ALL),
+links AS (SELECT conv_id, turn, arg_min(parent, (level, -length(unit), -parent)) AS parent, count(DISTINCT unit) AS n_linked FROM met GROUP BY conv_id, turn),
+walk AS (SELECT m.conv_id, m.turn, m.turn AS root, [m.turn] AS path FROM msgs m ANTI JOIN links l ON l.conv_id = m.conv_id AND l.turn = m.turn
+ UNION ALL SELECT l.conv_id, l.turn, w.root, list_append(w.path, l.turn) FROM walk w JOIN links l ON l.conv_id = w.conv_id AND l.parent = w.turn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, root ORDER BY path) - 1 AS place FROM walk),
+counted AS (SELECT conv_id, turn, count(*) AS n FROM passages GROUP BY conv_id, turn)
+SELECT m.conv_id, m.turn, m.role, CASE WHEN contains(m.text, '>') THEN o.words ELSE m.text END AS text, CAST(coalesce(c.n, 0) AS INT) AS n_quotes, CAST(coalesce(l.n_linked, 0) AS INT) AS n_linked, l.parent AS parent_turn, p.root AS root_turn, CAST(len(p.path) - 1 AS INT) AS depth, CAST(p.place AS INT) AS place
+FROM msgs m JOIN own o USING (conv_id, turn) JOIN placed p USING (conv_id, turn) LEFT JOIN links l USING (conv_id, turn) LEFT JOIN counted c USING (conv_id, turn)"""
+
+
 QUERIES = {
     "op1_ordinal": op1_ordinal,
     "op2_quotes": op2_quotes,
@@ -65,6 +102,14 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_mtree": op9_mtree,
     "op10_simhash": op10_simhash,
+    "quoted_replies": quoted_replies,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Quotation linking, and the search by all products. The others have no SQL form: hashes, FP-growth, fits and tokens are not to be had there.
+ORACLE_SQL: dict[str, str] = {
+    "op2_quotes": _quotes_sql("SELECT conv_id, turn, role, text FROM conversations"),
+    "quoted_replies": _quotes_sql(REPLIES),
+    "op9_mtree": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20""",
+}
