@@ -414,7 +414,7 @@ def strip_repeats(docs: DataFrame, span: int = 200, text_col: str = "text", leng
             raw = t.encode()
             return _without(raw, _aligned(raw, merged(f))).decode()
 
-        return text.combine(found, lambda t, f: one(t, f) if f is not None else t)
+        return text.combine(found, lambda t, f: one(t, list(f)) if f is not None else t)
 
     met = touched.join(spans, ["k1", "k2"], "left").withColumn("left", F.when(F.col("spans").isNotNull(), strip(F.col("text"), F.col("spans"))))
 
