@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import re._parser as parser
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,13 +34,43 @@ def _pair(a: str, b: str) -> Column:
     return F.array(F.lit(a), F.lit(b))
 
 
+def seeds(pattern: str) -> set[str]:
+    """Literals of which every match of a pattern holds at least one; none if there is no such set."""
+
+    def of(parts: list) -> set[str]:
+        runs, run, options = [], "", []
+        for kind, value in [*parts, (None, None)]:
+            if kind is parser.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                runs.append(run)
+                run = ""
+            if kind is parser.SUBPATTERN:
+                options.append(of(list(value[3])))
+            elif kind is parser.BRANCH:
+                every = [of(list(x)) for x in value[1]]
+                options.append(set().union(*every) if all(every) else set())
+            elif kind is parser.MAX_REPEAT and value[0] > 0:
+                options.append(of(list(value[2])))
+        options = ([{max(runs, key=len)}] if runs else []) + [o for o in options if o]
+        return max(options, key=lambda o: min(map(len, o)), default=set())
+
+    return of(list(parser.parse(pattern)))
+
+
 def rule_labels(source: Column) -> Column:
-    """The pair of the first rule that matches the lower-cased source, or null."""
+    """The pair of the first rule that matches the lower-cased source, or null.
+
+    A pattern is only tried on texts that hold one of its literals, which is far cheaper to see.
+    """
 
     def first(low: Column) -> Column:
         found = None
         for pattern, a, b in load(TABLE)["rules"]:
             hit = low.rlike(pattern)
+            if literals := seeds(pattern):
+                hit = reduce(or_, (F.contains(low, F.lit(x)) for x in sorted(literals))) & hit
             found = F.when(hit, _pair(a, b)) if found is None else found.when(hit, _pair(a, b))
         return found
 
@@ -98,10 +131,11 @@ def _hits(tokens: Column, keyword: str) -> Column:
 def keyword_scores(source: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
     """(score, label) of each label of the lexicon, in its order: 1 for each occurrence of a word, 2 for a phrase.
 
-    The text is cut into tokens once, and only if it holds a keyword at all; a keyword's tokens are looked at only if it occurs.
+    The text is cut into tokens once, and only if it holds a keyword's first word at all.
     """
     lexicon = load(TABLE)["lexicon"] if lexicon is None else lexicon
-    any_of = lambda words: "|".join(f"(?:{keyword_pattern(w)})" for w in words) or r"(?!)"
+    first_words = sorted({w.split(" ")[0].lower() for words in lexicon.values() for w in words})
+    may_hold = bind(F.lower(source), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in first_words), F.lit(False)))
 
     def scored(tokens: Column | None) -> Column:
         rows = []
@@ -109,11 +143,11 @@ def keyword_scores(source: Column, lexicon: dict[str, list[str]] | None = None)
             total = F.lit(0)
             for word in dict.fromkeys(words) if tokens is not None else ():
                 weight = 2 if len(word.split()) > 1 else 1
-                total = total + F.when(source.rlike(keyword_pattern(word)), _hits(tokens, word) * weight).otherwise(0)
+                total = total + _hits(tokens, word) * weight
             rows.append(F.struct((-total).alias("less"), F.lit(k).alias("k"), F.lit(label).alias("label")))
         return F.array(*rows)
 
-    return F.when(source.rlike(any_of([w for ws in lexicon.values() for w in ws])), bind(_marked_tokens(source), scored)).otherwise(scored(None))
+    return F.when(may_hold, bind(_marked_tokens(source), scored)).otherwise(scored(None))
 
 
 def keyword_labels(source: Column, lexicon: dict[str, list[str]] | None = None, top: int = 2) -> Column:

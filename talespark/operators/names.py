@@ -63,10 +63,24 @@ def _is_name(name: str) -> bool:
     return 0 < len(tokens) <= 4 and not any(t in STOPWORDS or t in RELATIONS for t in low) and all(t[0].isupper() or t.lower() in PARTICLES for t in tokens)
 
 
-def context_pattern(name: str) -> str:
-    """A name beside a speech verb, before an action, or in the possessive."""
-    own = rf"\b{re.escape(name)}"
-    return rf"(?i){own}\b\s+{VERBS}\b|{VERBS}\s+{own}\b|{own},\s+{VERBS}\b|{own}'s\b|{own}\b\s+(?:{ACTIONS})\b"
+_AFTER = re.compile(rf"'s\b|,\s+{VERBS}\b|\b\s+(?:{VERBS}|{ACTIONS})\b", re.I)
+_BEFORE = re.compile(rf"{VERBS}\Z", re.I)
+
+
+def in_context(name: str, text: str) -> bool:
+    """Whether a name stands beside a speech verb, before an action, or in the possessive.
+
+    Only what lies next to the name is matched, so a text is searched for the name alone.
+    """
+    for m in re.finditer(rf"\b{re.escape(name)}", text, re.I):
+        if _AFTER.match(text, m.end()):
+            return True
+        k = m.start()
+        while k and text[k - 1].isspace():
+            k -= 1
+        if k < m.start() and _BEFORE.search(text[max(0, k - 16) : k]) and not text[m.end() : m.end() + 1].isalnum() and text[m.end() : m.end() + 1] != "_":
+            return True
+    return False
 
 
 def is_no_name(token: str, text: str, at: int) -> bool:
@@ -80,9 +94,12 @@ def is_no_name(token: str, text: str, at: int) -> bool:
 
 
 def phrases_of(text: str, most: int = 2 * MOST) -> list[tuple[str, int, bool]]:
-    """(phrase, uses, has context) of the ``most`` most used capitalised phrases that may be names; of equal ones the first in the text."""
+    """(phrase, uses, kept) of the ``most`` most used capitalised phrases that may be names; of equal ones the first in the text.
+
+    kept: used twice, or in the context of speech or action.
+    """
     uses = Counter(m[0].strip() for m in _PHRASE.finditer(text) if _is_name(m[0].strip()) and not is_no_name(m[0].strip(), text, m.start()))
-    return [(name, n, bool(re.search(context_pattern(name), text))) for name, n in uses.most_common(most)]
+    return [(name, n, n > 1 or in_context(name, text)) for name, n in uses.most_common(most)]
 
 
 def catalog_hits(stories: DataFrame, catalog: DataFrame, text_col: str = "text") -> DataFrame:
@@ -120,15 +137,15 @@ def name_candidates(stories: DataFrame, catalog: DataFrame, most: int = MOST, te
     but letters is dropped count once. Null and blank texts have none.
     """
 
-    @F.pandas_udf("array<struct<name: string, uses: int, context: boolean>>")
+    @F.pandas_udf("array<struct<name: string, uses: int, kept: boolean>>")
     def phrases(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"name": n, "uses": u, "context": c} for n, u, c in phrases_of(t or "")], na_action=None)
+        return texts.map(lambda t: [{"name": n, "uses": u, "kept": c} for n, u, c in phrases_of(t or "")], na_action=None)
 
     hits = catalog_hits(stories, catalog.filter(looks_like_name(F.col("display"))), text_col).filter("uses > 0")
     hits = hits.select("story_id", F.lit(0).alias("kind"), (-F.col("uses")).alias("a"), F.col("display").alias("name"), "uses", F.lit(0).alias("at"))
     known = catalog.select(F.lower("display").alias("low")).distinct().withColumn("known", F.lit(True))
     told = stories.select("story_id", F.posexplode(phrases(F.col(text_col))).alias("at", "p")).select("story_id", "at", "p.*").withColumn("low", F.lower("name")).join(known, "low", "left")
-    told = told.filter("uses >= 2 or context or known").select("story_id", F.lit(1).alias("kind"), F.col("at").alias("a"), "name", "uses", "at")
+    told = told.filter("kept or known").select("story_id", F.lit(1).alias("kind"), F.col("at").alias("a"), "name", "uses", "at")
     key = F.trim(F.regexp_replace(F.lower("name"), "[^a-z]+", " "))
     every = hits.unionByName(told).withColumn("key", key).filter("key <> ''")
     once = every.groupBy("story_id", "key").agg(F.min(F.struct("kind", "a", "name", "uses")).alias("c")).select("story_id", "c.*")
