@@ -129,21 +129,21 @@ def token_starts(symbols: np.ndarray, width: int = 256) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def pieces(texts: list[str]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """The pre-tokens of each text, as UTF-8 slices, and the byte offset at which each begins in its text."""
+def pieces(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The pre-tokens of all texts in a row, as UTF-8 slices: (slices, number of each slice's text, its byte offset there)."""
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     resets = np.cumsum([len(t) + 1 for t in texts]) - 1
     starts = np.flatnonzero(token_starts(_symbols(points, resets)))
-    size = (1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)).cumsum()
-    places = np.r_[0, size][starts]
+    size = np.r_[0, (1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)).cumsum()]
+    places = size[starts]
     cuts = places.tolist()
     blob = joined.encode("utf-8", "surrogatepass")
-    found = [blob[a:b] for a, b in zip(cuts, [*cuts[1:], len(blob)])]
-    at = 0
-    for end in np.searchsorted(starts, resets).tolist():
-        yield found[at:end], places[at:end] - places[at]
-        at = end + 1
+    own = np.ones(len(starts), bool)
+    own[np.searchsorted(starts, resets)] = False  # the newlines between texts are no part of them
+    found = [blob[a:b] for a, b, k in zip(cuts, [*cuts[1:], len(blob)], own.tolist()) if k]
+    of = np.searchsorted(resets, starts[own])
+    return found, of, places[own] - size[np.r_[0, resets[:-1] + 1]][of]
 
 
 class Pairs:
@@ -263,38 +263,50 @@ class Coder:
             for p, ids in zip(group, merge_all(group, self.pairs)):
                 young[p] = ids.astype("<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of each text, as unsigned 32-bit integers, and the byte offset at which each token begins.
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, offsets, ends) of texts in a row: unsigned 32-bit ids, the byte offset in its text at which each token
+        begins, and where each text's ids end.
 
         A slice's offset comes from the scan; within a slice each token begins where the one before it ends.
         """
-        cut = list(pieces(texts))
-        self._learn({p for found, _ in cut for p in found})
-        get = self.young.__getitem__
-        for found, places in cut:
-            packed = list(map(get, found))
-            ids = np.frombuffer(b"".join(packed), "<u4")
-            counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-            ends = np.cumsum(self.sizes[ids])
-            begins = ends - self.sizes[ids]
-            heads = np.cumsum(counts) - counts
-            yield ids, begins - np.repeat(begins[heads] - places, counts)
+        found, of, places = pieces(texts)
+        self._learn(set(found))
+        packed = list(map(self.young.__getitem__, found))
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        begins = np.cumsum(self.sizes[ids]) - self.sizes[ids]
+        offsets = begins - np.repeat(begins[np.cumsum(counts) - counts] - places, counts)
+        return ids, offsets, np.cumsum(np.bincount(of, counts, len(texts))).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, offsets) of each text."""
+        ids, offsets, ends = self.encode_all(texts)
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            yield ids[a:b], offsets[a:b]
 
     def forget(self) -> None:
         """Empty the cache: workers outlive their tasks, and what they hold counts in later steps."""
         self.young, self.old = {}, {}
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
-        """The text's bytes: each token's are put at its offset, a block of tokens at a time."""
-        if not len(ids):
-            return b""
-        out = np.zeros(int(offsets[-1] + self.sizes[ids[-1]]), np.uint8)
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of texts in a row: each token's are put at its offset in its text, a block of tokens at a time."""
+        lasts = np.maximum(ends - 1, 0)
+        some = np.diff(np.r_[0, ends]) > 0  # a text is as long as its last token reaches
+        lengths = np.where(some, offsets[lasts] + self.sizes[ids[lasts]], 0) if len(ids) else np.zeros(len(ends), np.int64)
+        heads = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), np.uint8)
+        begin = offsets + np.repeat(heads, np.diff(np.r_[0, ends]))
         for at in range(0, len(ids), 1 << 16):
-            some, start = ids[at : at + (1 << 16)], offsets[at : at + (1 << 16)]
-            size = self.sizes[some]
+            now, start = ids[at : at + (1 << 16)], begin[at : at + (1 << 16)]
+            size = self.sizes[now]
             nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            out[np.repeat(start, size) + nth] = self.bytes[np.repeat(self.places[some], size) + nth]
-        return out.tobytes()
+            out[np.repeat(start, size) + nth] = self.bytes[np.repeat(self.places[now], size) + nth]
+        whole = out.tobytes()
+        return [whole[a : a + n] for a, n in zip(heads.tolist(), lengths.tolist())]
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The bytes of one text."""
+        return self.decode_all(ids, offsets, np.array([len(ids)]))[0]
 
 
 @lru_cache(2)
@@ -307,7 +319,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _run(docs: DataFrame, path: str, id_col: str, text_col: str, fields: str, make) -> DataFrame:
-    """One pass over the texts; ``make`` turns (coder, ids, offsets) into the values of the columns after the id."""
+    """One pass over the texts; ``make`` turns a coder and some texts into the columns after the id."""
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size does not follow the data
     names = [x.split()[0] for x in fields.split(", ")]
@@ -317,8 +329,7 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, fields: str, ma
         for batch in batches:
             for part in slices(batch, 1, 2 << 20):
                 texts = [t.decode("utf-8", "replace") for t in part.column(1).to_pylist()]
-                cols = zip(*(make(coder, *got) for got in coder.encode(texts)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols)], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, make(coder, texts))], ["doc_id", *names])
         coder.forget()
 
     return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id long, {fields}")
@@ -330,7 +341,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ``path`` is a rank file on the driver. Special tokens are ordinary text. Null texts are empty; empty ones have empty
     lists. Rows are kept as they come, repeated or not; a null id stays null. Other columns are not read.
     """
-    return _run(docs, path, id_col, text_col, "ids array<long>, offsets array<long>", lambda coder, ids, offsets: (ids.astype(np.int64), offsets))
+    return _run(docs, path, id_col, text_col, "ids array<long>, offsets array<long>", lambda coder, texts: zip(*((ids.astype(np.int64), offsets) for ids, offsets in coder.encode(texts))))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -359,7 +370,10 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     the task that reads them.
     """
 
-    def make(coder: Coder, ids: np.ndarray, offsets: np.ndarray) -> tuple:
-        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(coder.decode(ids, offsets)).hexdigest()
+    def make(coder: Coder, texts: list[str]) -> tuple:
+        ids, offsets, ends = coder.encode_all(texts)
+        counts, raw = np.diff(np.r_[0, ends]), ids.tobytes()
+        digests = [hashlib.sha256(raw[4 * (b - n) : 4 * b]).hexdigest() for b, n in zip(ends.tolist(), counts.tolist())]
+        return counts, digests, [hashlib.sha256(x).hexdigest() for x in coder.decode_all(ids, offsets, ends)]
 
     return _run(docs, path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
