@@ -34,41 +34,77 @@ def _docx(content: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{space}t")) for p in body.iter(f"{space}p"))
 
 
+def _unicode_map(stream: bytes) -> dict[bytes, str]:
+    """Codes of a font's map to Unicode: single ones and ranges."""
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    out = {}
+    for part in re.findall(rb"beginbfchar(.*?)endbfchar", stream, re.S):
+        out |= {bytes.fromhex(c.decode()): text(u) for c, u in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part)}
+    for part in re.findall(rb"beginbfrange(.*?)endbfrange", stream, re.S):
+        for low, high, first in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+            for k in range(min(int(high, 16) - int(low, 16), 65535) + 1):
+                out[(int(low, 16) + k).to_bytes(len(low) // 2, "big")] = chr(int(first, 16) + k)
+    return out
+
+
 def _pdf(content: bytes) -> str:
-    """Text operators of the page streams, for documents with plain font encodings."""
-    pages = []
+    """Text operators of the page streams, a line each: plain strings as Latin-1, hexadecimal ones by the fonts' maps to Unicode."""
+    streams = []
     for stream in re.findall(rb"stream\r?\n(.*?)\r?\nendstream", content, re.S):
         try:
-            stream = zlib.decompress(stream)
+            streams.append(zlib.decompress(stream))
         except zlib.error:
-            pass
-        shown = re.findall(rb"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|')|\[((?:[^\]\\]|\\.)*)\]\s*TJ", stream)
-        line = [re.sub(rb"\\(.)", rb"\1", a) or b"".join(re.findall(rb"\(((?:\\.|[^\\()])*)\)", b)) for a, b in shown]
+            streams.append(stream)
+    known: dict[bytes, str] = {}
+    for stream in streams:
+        known |= _unicode_map(stream)
+    wide = max((len(c) for c in known), default=1)
+
+    def shown(token: bytes) -> str:
+        if token.startswith(b"("):
+            return re.sub(rb"\\(.)", rb"\1", token[1:-1]).decode("latin-1")
+        raw = bytes.fromhex(token[1:-1].decode().ljust(len(token) - 2 + (len(token) & 1), "0"))
+        return "".join(known.get(raw[k : k + wide], "") for k in range(0, len(raw), wide)) if known else raw.decode("latin-1")
+
+    one = rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f]*>"
+    pages = []
+    for stream in streams:
+        found = re.findall(rb"(" + one + rb")\s*(?:Tj|'|\")|\[((?:" + one + rb"|[^\]()<>])*)\]\s*TJ", stream)
+        line = [shown(a) if a else "".join(shown(t) for t in re.findall(one, b)) for a, b in found]
         if line:
-            pages.append(b" ".join(line).decode("latin-1"))
+            pages.append(" ".join(line))
     return "\n".join(pages)
 
 
-def extract_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, error) of text, DOCX and PDF files, told apart by extension; other files are read as text.
+def file_kind(path: Column, mime: Column | None = None) -> Column:
+    """docx, pdf or txt, by the declared type, if one is known, or the extension; anything else is text."""
+    low, told = F.lower(path), F.lower(F.coalesce(mime, F.lit(""))) if mime is not None else F.lit("")
+    is_text = (told == "text/plain") | low.endswith(".txt")
+    docx = (told == "application/vnd.openxmlformats-officedocument.wordprocessingml.document") | low.endswith(".docx")
+    return F.when(is_text, "txt").when(docx, "docx").when((told == "application/pdf") | low.endswith(".pdf"), "pdf").otherwise("txt")
+
+
+def extract_documents(spark: SparkSession, path: str, types: DataFrame | None = None) -> DataFrame:
+    """(path, text, error) of text, DOCX and PDF files, told apart by file_kind(); ``types``: (path, mime) where types are declared.
 
     A file that its reader rejects has printable characters as text and the reason in ``error``.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = files.withColumn("mime", F.lit(None).cast("string")) if types is None else files.join(types.select("path", "mime"), "path", "left")
+    files = files.withColumn("kind", file_kind(F.col("path"), F.col("mime")))
 
     @F.pandas_udf("text string, error string")
-    def office(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        def one(name: str, content: bytes) -> tuple[str, str | None]:
+    def office(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        def one(kind: str, content: bytes) -> tuple[str, str | None]:
             try:
-                return (_docx if name.lower().endswith(".docx") else _pdf)(content), None
+                return (_docx if kind == "docx" else _pdf)(content), None
             except Exception as e:  # a broken file is data, not a failure of the job
                 return re.sub(r"[^\x20-\x7E\n\r\t]", "", content.decode("utf-8", "ignore")), f"{type(e).__name__}: {e}"
 
-        return pd.DataFrame([one(p, c) for p, c in zip(paths, contents)], columns=["text", "error"])
+        return pd.DataFrame([one(k, c) for k, c in zip(kinds, contents)], columns=["text", "error"])
 
-    is_office = F.lower("path").rlike(r"\.(docx|pdf)$")
-    plain = files.filter(~is_office).select("path", decode_text(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
-    return plain.unionByName(files.filter(is_office).select("path", office("path", "content").alias("x")).select("path", "x.*"))
+    plain = files.filter("kind = 'txt'").select("path", decode_text(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
+    return plain.unionByName(files.filter("kind <> 'txt'").select("path", office("kind", "content").alias("x")).select("path", "x.*"))
 
 
 def bounded(text: Column, limit: int = INGEST_LIMIT) -> Column:
@@ -76,17 +112,37 @@ def bounded(text: Column, limit: int = INGEST_LIMIT) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(INGEST_MARK))).otherwise(text)
 
 
-def read_catalog(spark: SparkSession, *paths: str) -> DataFrame:
-    """One row (groups) of the first path that exists and parses; an empty map if none does."""
+def read_config(spark: SparkSession, schema: str, *paths: str, empty: str = "{}") -> DataFrame:
+    """One row (value), the JSON of the first path that exists and parses by ``schema``; that of ``empty`` if none does."""
     for path in paths:
         try:
-            found = spark.read.text(path, wholetext=True).select(F.from_json("value", CATALOG_SCHEMA).alias("groups")).filter("groups is not null")
+            found = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("value")).filter("value is not null")
             if not found.isEmpty():
                 return found.limit(1)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    return spark.range(1).select(F.from_json(F.lit("{}"), CATALOG_SCHEMA).alias("groups"))
+    return spark.range(1).select(F.from_json(F.lit(empty), schema).alias("value"))
+
+
+def read_catalog(spark: SparkSession, *paths: str) -> DataFrame:
+    """One row (groups) of the first path that exists and parses; an empty map if none does."""
+    return read_config(spark, CATALOG_SCHEMA, *paths).withColumnRenamed("value", "groups")
+
+
+def read_tags(spark: SparkSession, *paths: str) -> DataFrame:
+    """(category, emotion, tag) of a JSON object category -> name -> tag."""
+    return read_config(spark, "map<string, map<string, string>>", *paths).select(F.explode("value").alias("category", "names")).select("category", F.explode("names").alias("emotion", "tag"))
+
+
+def read_words(spark: SparkSession, *paths: str) -> DataFrame:
+    """(ord, word) of a JSON list."""
+    return read_config(spark, "array<string>", *paths, empty="[]").select(F.posexplode("value").alias("ord", "word"))
+
+
+def read_word_map(spark: SparkSession, *paths: str) -> DataFrame:
+    """(word, value) of a JSON object of words."""
+    return read_config(spark, "map<string, string>", *paths).select(F.explode("value").alias("word", "value"))
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:

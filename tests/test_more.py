@@ -107,3 +107,27 @@ def test_text_functions(spark):
     assert value(T.text_digest(F.lit(" \n "))) is None and value(T.text_digest(F.lit(" a "))) == value(T.text_digest(F.lit("a")))
     assert value(T.response_text(F.lit(None).cast("array<struct<content:array<struct<text:struct<value:string>>>>>"))) == ""
     assert value(T.bind(F.array(F.lit(1), F.lit(2)), lambda a: F.size(a) + a[1])) == 4
+
+
+def test_documents_by_type_and_fonts(spark, tmp_path):
+    cmap = b"begincmap 1 beginbfchar <0001> <0048> endbfchar 1 beginbfrange <0002> <0004> <0069> endbfrange endcmap"
+    pdf = b"%PDF\n1 0 obj\nstream\n" + cmap + b"\nendstream\n2 0 obj\nstream\nBT <00010002> Tj [(a\\)b) -20 <0003>] TJ ET\nendstream\n"
+    (tmp_path / "a.pdf").write_bytes(pdf)
+    (tmp_path / "b.bin").write_bytes(pdf)
+    (tmp_path / "c.xyz").write_bytes(b"plain")
+    by = lambda df: {r.path.rsplit("/", 1)[1]: r.text for r in df.collect()}
+    got = by(readers.extract_documents(spark, str(tmp_path)))
+    assert got["a.pdf"] == "Hi a)bj" and got["c.xyz"] == "plain" and got["b.bin"].startswith("%PDF")
+    paths = [r.path for r in spark.read.format("binaryFile").load(str(tmp_path)).select("path").collect()]
+    types = spark.createDataFrame([(p, "application/pdf") for p in paths if p.endswith(".bin")], "path string, mime string")
+    assert by(readers.extract_documents(spark, str(tmp_path), types))["b.bin"] == "Hi a)bj"
+
+
+def test_configs(spark, tmp_path):
+    (tmp_path / "tags.json").write_text('{"calm": {"soft": "[soft]"}}')
+    (tmp_path / "words.json").write_text('["said", "asked"]')
+    (tmp_path / "bad.json").write_text("{{{")
+    none = str(tmp_path / "none.json")
+    assert [tuple(r) for r in readers.read_tags(spark, none, str(tmp_path / "tags.json")).collect()] == [("calm", "soft", "[soft]")]
+    assert [r.word for r in readers.read_words(spark, str(tmp_path / "bad.json"), str(tmp_path / "words.json")).orderBy("ord").collect()] == ["said", "asked"]
+    assert readers.read_word_map(spark, none).count() == 0 and readers.read_words(spark, none).count() == 0
