@@ -283,7 +283,10 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
     pieces = ["h", "l2", "l1", "r1", "r2"]
     rows = _scan(base, span, "h long, l2 long, l1 long, r1 long, r2 long, own long, k1 long, k2 long, start long, end long", surroundings)
     whole = keep(_two_owners(rows, *pieces).drop("high"))
-    sure = keep(whole.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_surroundings, "low long"))
+    # An anchor hash with very many surroundings is dealt in parts, in which a task sorts GROUP of them at most at a time.
+    common = keep(whole.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP))
+    dealt = whole.join(common, "h", "left").withColumn("part", F.pmod(F.xxhash64("low"), F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1))))
+    sure = keep(dealt.repartition("h", "part").sortWithinPartitions("h").select(*pieces, "low").mapInArrow(_sorted_surroundings, "low long"))
     marked = keep(rows.join(whole, pieces, "left").select("own", "low", "k1", "k2", "start", "end"))
     covered = marked.join(sure, "low", "left_semi").select("k1", "k2", "start", "end")
     border = spark.sparkContext.broadcast(sieve(marked.filter("low is null or own = low"), "own"))
