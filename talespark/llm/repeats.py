@@ -316,13 +316,35 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
     decided = _decided(_scan(base, span, fields, strings).dropDuplicates(["core1", "core2", "own"]), span, keep)
     spans = covered.unionByName(decided)
     copies = base.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("end")).filter((F.col("n") > 1) & (F.col("end") >= span))
-    spans = spans.unionByName(copies.select("k1", "k2", F.lit(0).cast("long").alias("start"), "end"))
-    out = cut(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    out = cut(_runs(spans.unionByName(copies.select("k1", "k2", F.lit(0).cast("long").alias("start"), "end"))))
     for sent in (shared, border, again):  # all that read them is written
         sent.unpersist()
     return out
 
 
+def _runs(spans: DataFrame) -> DataFrame:
+    """(k1, k2, spans): the maximal runs of each content's intervals, in order; a content has at most as many as it has bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(2)
+            flat = col.flatten()
+            start, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            of = np.repeat(np.arange(len(batch)), np.diff(col.offsets.to_numpy()))
+            order = np.lexsort((start, of))
+            of = of[order]
+            base = of << 40  # texts are shorter, so one running maximum serves all
+            reach = np.maximum.accumulate(end[order] + base)
+            heads = np.flatnonzero(start[order] + base > np.r_[-1, reach[:-1]])
+            lasts = np.r_[heads[1:], len(reach)] - 1
+            counts = np.bincount(of[heads], minlength=len(batch))
+            found = pa.StructArray.from_arrays([pa.array(start[order][heads]), pa.array(reach[lasts] - base[lasts])], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), found)], ["k1", "k2", "spans"])
+
+    held = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return held.mapInArrow(run, "k1 long, k2 long, spans array<struct<start: long, end: long>>")
+
+
 def merged(spans: list) -> list[tuple[int, int]]:
     """Maximal runs of the union, in order."""
     out: list[list[int]] = []
