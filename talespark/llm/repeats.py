@@ -146,7 +146,7 @@ def _sorted_spans(width: int, span: int) -> Callable:
                 kind = here.bit_length()  # groups of about one size go in step
                 waiting.setdefault(kind, []).append(list(group))
                 symbols[kind] = symbols.get(kind, 0) + here
-                if symbols[kind] > 400_000:
+                if symbols[kind] > 200_000:
                     solve(waiting.pop(kind), out)
                     symbols[kind] = 0
 
@@ -281,7 +281,8 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
         return x.h, of(start, middle), of(middle, x.at), of(after, beyond), of(beyond, end), x.own, x.k1[x.doc], x.k2[x.doc], start - x.head, end - x.head
 
     pieces = ["h", "l2", "l1", "r1", "r2"]
-    rows = _scan(base, span, "h long, l2 long, l1 long, r1 long, r2 long, own long, k1 long, k2 long, start long, end long", surroundings)
+    # Read twice below; some 80 bytes a place are cheaper to write than to find again.
+    rows = keep(_scan(base, span, "h long, l2 long, l1 long, r1 long, r2 long, own long, k1 long, k2 long, start long, end long", surroundings))
     whole = keep(_two_owners(rows, *pieces).drop("high"))
     # An anchor hash with very many surroundings is dealt in parts, in which a task sorts GROUP of them at most at a time.
     common = keep(whole.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP))
