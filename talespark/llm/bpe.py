@@ -9,7 +9,6 @@ from array import array
 from base64 import b64decode
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa

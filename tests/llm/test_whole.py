@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from talespark.llm import licenses, nearcopies, ordinal, quotes
