@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import re._parser as parser
+from bisect import bisect
 from functools import reduce
 from operator import or_
 
@@ -200,12 +201,17 @@ def explain_emotions(lines: DataFrame, lexicon: dict[str, list[str]] | None = No
     @F.pandas_udf("array<struct<label: string, keyword: string, start: int, end: int, negated: boolean>>")
     def found(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> list[dict]:
-            tokens = [(m.start(), m.end(), m[0].lower().strip(EDGES)) for m in re.finditer(r"\S+", text or "")]
-            out = []
+            text = text or ""
+            low, tokens, out = text.lower(), None, []
             for label, word, pattern in patterns:
-                for m in pattern.finditer(text or ""):
-                    at = next((k for k, (s, e, _) in enumerate(tokens) if s <= m.start() < e), None)
-                    negated = at is not None and any(t in denied for _, _, t in tokens[max(0, at - 3) : at])
+                if word.split()[0].lower() not in low:
+                    continue
+                for m in pattern.finditer(text):
+                    if tokens is None:
+                        found_at = list(re.finditer(r"\S+", text))
+                        starts, tokens = [t.start() for t in found_at], [t[0].lower().strip(EDGES) for t in found_at]
+                    at = bisect(starts, m.start()) - 1
+                    negated = any(t in denied for t in tokens[max(0, at - 3) : at])
                     out.append({"label": label, "keyword": word, "start": m.start(), "end": m.end(), "negated": negated})
             return out
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talespark.functions.text import normalize_name
+from talespark.functions.text import bind, normalize_name
 
 #: Stems of speech verbs with their forms, pronouns and cues.
 VERB_FORMS = (
@@ -39,7 +40,10 @@ INLINE = "said|asked|whispered|replied|murmured|sighed|laughed|sobbed"
 #: A woman outside the cast, as the subject; speeches that stay open after her.
 OUTSIDER, OPEN_SPEECHES = "\0outsider", 3
 
-_ATTRIBUTIVE = re.compile(rf"^\s*(?:\w+[, ]+)?(?:{OPENERS})\b|\b's (?:voice|whisper)\b|{VERBS}", re.I)
+_OPENING = rf"^\s*(?:\w+[, ]+)?(?:{OPENERS})\b|\b's (?:voice|whisper)\b"
+_ATTRIBUTIVE = re.compile(rf"{_OPENING}|{VERBS}", re.I)
+#: Verb forms without those that hold a shorter one.
+_STEMS = tuple(v for v in VERB_FORMS if not any(w in v for w in VERB_FORMS if w != v))
 _QUOTED = re.compile(r"""["'“”‘’].*?["'“”‘’]""")
 _INLINE = (re.compile(rf"\b[A-Z][\w'-]{{1,40}}\s+(?:{INLINE})\b"), re.compile(rf"\b(?:{INLINE})\s+[A-Z][\w'-]{{1,40}}\b"))
 _VERB = re.compile(VERBS, re.I)
@@ -354,8 +358,9 @@ def has_feminine_cue(text: Column) -> Column:
 
 
 def looks_like_attribution_text(text: Column) -> Column:
-    """Whether a text tells who speaks: see attributive()."""
-    return F.coalesce(text, F.lit("")).rlike(f"(?iU){_ATTRIBUTIVE.pattern}")
+    """Whether a text tells who speaks: see attributive(). A speech verb counts anywhere, so it is looked for as it is."""
+    told = F.coalesce(text, F.lit(""))
+    return bind(F.lower(told), lambda low: reduce(or_, (F.contains(low, F.lit(v)) for v in _STEMS))) | told.rlike(f"(?iU){_OPENING}")
 
 
 def preferred(candidates: Column, names: list[str]) -> Column:
