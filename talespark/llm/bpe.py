@@ -22,7 +22,7 @@ LETTER, NUMBER, OTHER, SHORT, LONG, GLUE, LAST, SPACE, RESET = range(9)
 # States: what the character just read belongs to. ONE and TWO: so many more characters of a contraction follow.
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, GLUED, ONE, TWO = range(8)
 #: Pieces in each of the two generations of a worker's merge cache.
-CACHE = 1 << 17
+CACHE = 1 << 16
 #: No token.
 NONE = np.int64(1 << 40)
 
@@ -326,7 +326,7 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, fields: str, ma
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, 1 << 19):  # the arrays of a part take some fifty times its bytes
                 texts = [t.decode("utf-8", "replace") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, make(coder, texts))], ["doc_id", *names])
         coder.forget()
