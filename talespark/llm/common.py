@@ -66,16 +66,23 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
     For large intermediate tables: as cut(), but compressed.
     """
-    folder = f"{checkpoint_dir(spark)}/scratch-{uuid4()}"
+    with scratch_folder(spark) as folder:
 
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{folder}/{uuid4()}"
-        with short_lived_shuffles(spark):
-            df.select("*").write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        def keep(df: DataFrame) -> DataFrame:
+            path = f"{folder}/{uuid4()}"
+            with short_lived_shuffles(spark):
+                df.select("*").write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
 
-    try:
         yield keep
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """The name of a new folder in the shared one, deleted at the end with all that was written there."""
+    folder = f"{checkpoint_dir(spark)}/scratch-{uuid4()}"
+    try:
+        yield folder
     finally:
         remove(spark, folder)
 
