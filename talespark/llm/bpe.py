@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import unicodedata
 from array import array
 from base64 import b64decode
 from collections.abc import Iterator
@@ -12,6 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,23 +70,25 @@ PRODUCT, AFTER = _monoid()
 
 
 @lru_cache(1)
-def _classes() -> np.ndarray:
-    """Class of each code point: letter, number, white space (as SPACE) or other."""
+def char_classes() -> np.ndarray:
+    """Class of each code point, as the patterns of the tiktoken library have it: letter, number, white space (as SPACE) or other.
+
+    What the library encodes of a text is what its pattern matches, so all code points in a row, with a one-class
+    pattern and a vocabulary of bytes, give the members of the class. Half a second, once, on the driver; workers are sent
+    the result, so their versions of Python do not matter.
+    """
+    bytewise = {bytes([k]): k for k in range(256)}
+    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     out = np.full(0x110000, OTHER, np.uint8)
-    for point in range(0x110000):
-        kind = unicodedata.category(chr(point))[0]
-        if kind == "L":
-            out[point] = LETTER
-        elif kind == "N":
-            out[point] = NUMBER
-    # The code points of the property White_Space.
-    out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        coder = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=bytewise, special_tokens={})
+        out[np.frombuffer(coder.decode_bytes(coder.encode_ordinary(points)).decode().encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
-def _symbols(points: np.ndarray, resets: np.ndarray) -> np.ndarray:
-    """A symbol for each code point; ``resets`` are the places of the newlines put after each text."""
-    out = _classes()[points]
+def _symbols(points: np.ndarray, resets: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """A symbol for each code point, by their ``classes``; ``resets`` are the places of the newlines put after each text."""
+    out = classes[points]
     space = out == SPACE
     after = np.r_[space[1:], True]
     out[space & ~after] = LAST
@@ -128,12 +131,12 @@ def token_starts(symbols: np.ndarray, width: int = 256) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def pieces(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def pieces(texts: list[str], classes: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The pre-tokens of all texts in a row, as UTF-8 slices: (slices, number of each slice's text, its byte offset there)."""
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     resets = np.cumsum([len(t) + 1 for t in texts]) - 1
-    starts = np.flatnonzero(token_starts(_symbols(points, resets)))
+    starts = np.flatnonzero(token_starts(_symbols(points, resets, classes)))
     size = np.r_[0, (1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)).cumsum()]
     places = size[starts]
     cuts = places.tolist()
@@ -227,9 +230,10 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Coder:
-    """Encoder and decoder of one vocabulary; ``blob`` is the content of a rank file (base64 bytes, then rank)."""
+    """Encoder and decoder of one vocabulary; ``blob`` is the content of a rank file (base64 bytes, then rank), ``classes`` are char_classes() as bytes."""
 
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes, classes: bytes):
+        self.classes = np.frombuffer(classes, np.uint8)
         self.ranks = {b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
         top = max(self.ranks.values(), default=-1) + 1
         by_id = [b""] * top
@@ -268,7 +272,7 @@ class Coder:
 
         A slice's offset comes from the scan; within a slice each token begins where the one before it ends.
         """
-        found, of, places = pieces(texts)
+        found, of, places = pieces(texts, self.classes)
         self._learn(set(found))
         packed = list(map(self.young.__getitem__, found))
         ids = np.frombuffer(b"".join(packed), "<u4")
@@ -309,8 +313,14 @@ class Coder:
 
 
 @lru_cache(2)
-def _coder(blob: bytes) -> Coder:
-    return Coder(blob)
+def _coder(blob: bytes, classes: bytes) -> Coder:
+    return Coder(blob, classes)
+
+
+def _shared(docs: DataFrame, path: str) -> Broadcast:
+    """A vocabulary file and the classes of code points: their sizes do not follow the data."""
+    with open(path, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast((f.read(), char_classes().tobytes()))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -319,12 +329,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _run(docs: DataFrame, path: str, id_col: str, text_col: str, fields: str, make) -> DataFrame:
     """One pass over the texts; ``make`` turns a coder and some texts into the columns after the id."""
-    with open(path, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size does not follow the data
+    shared = _shared(docs, path)
     names = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared.value)
+        coder = _coder(*shared.value)
         for batch in batches:
             for part in slices(batch, 1, 1 << 19):  # the arrays of a part take some fifty times its bytes
                 texts = [t.decode("utf-8", "replace") for t in part.column(1).to_pylist()]
@@ -349,11 +358,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     Null or empty ids give no bytes; an id that the vocabulary lacks is an error. Repeated rows and null ids of documents
     each get a row; other columns are not read; an empty table gives no rows.
     """
-    with open(path, "rb") as f:
-        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
+    shared = _shared(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared.value)
+        coder = _coder(*shared.value)
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
                 rows = zip(part.column(1).to_pylist(), part.column(2).to_pylist())
