@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,32 +31,53 @@ def _levels(at: float, to: float, depth: int) -> list[float]:
     return [at + (to - at) * k / (1 << depth) for k in range((1 << depth) + 1)]
 
 
-def temperature_exponent(totals: DataFrame, total: float, target_entropy: float, epochs: float, budget: float, rounds: int = 6, depth: int = 5) -> float:
-    """The least exponent a in [0, 1] at which weights share ** a have at most the target entropy and no source repeats over ``epochs`` times.
-
-    Entropy falls and the largest repetition falls as a rises to 1, so both limits are met by bisection; each round
-    evaluates the midpoints of ``depth`` halvings in one aggregation, and only sums reach the driver. Where even a = 1
-    misses a limit (the sources' own entropy is above the target, say), a is 1: shares are never sharpened.
-    """
-    low, high = 0.0, 1.0
+def _tried(totals: DataFrame, total: float, tries: list[float], budget: float) -> list[tuple[float, float]]:
+    """(entropy of the weights, passes over the source that is repeated most) at each exponent, in one aggregation."""
     share = F.col("tokens") / F.lit(float(total))
+    log = F.log(F.col("tokens") / F.col("top"))
+    sums = []
+    for k, a in enumerate(tries):
+        power = F.exp(log * F.lit(a))
+        sums += [F.sum(power).alias(f"z{k}"), F.sum(power * log).alias(f"s{k}"), F.max(power / share).alias(f"m{k}")]
+    row = totals.agg(*sums).first()
+    return [(math.log(row[f"z{k}"]) - a * row[f"s{k}"] / row[f"z{k}"], row[f"m{k}"] / row[f"z{k}"] * budget / total) for k, a in enumerate(tries)]
+
+
+def _bisected(totals: DataFrame, total: float, low: float, high: float, budget: float, done: Callable[[float, float], bool], rounds: int, depth: int) -> tuple[float, float]:
+    """A narrow (low, high) between which ``done`` of entropy and passes becomes true, given that it is at ``high``; equal if it is at ``low``."""
     for _ in range(rounds):
         tries = _levels(low, high, depth)
-        sums = []
-        for k, a in enumerate(tries):
-            sums += [F.sum(F.pow(share, F.lit(a))).alias(f"z{k}"), F.sum(F.pow(share, F.lit(a)) * F.log(share)).alias(f"s{k}"), F.max(F.pow(share, F.lit(a - 1))).alias(f"m{k}")]
-        row = totals.agg(*sums).first()
-        fits = []
-        for k, a in enumerate(tries):
-            z = row[f"z{k}"]
-            fits.append(math.log(z) - a * row[f"s{k}"] / z <= target_entropy + 1e-12 and row[f"m{k}"] / z * budget / total <= epochs + 1e-12)
-        if fits[0]:
-            return tries[0]
-        first = next((k for k, fit in enumerate(fits) if fit), None)
-        if first is None:
-            return 1.0
+        first = next((k for k, seen in enumerate(_tried(totals, total, tries, budget)) if done(*seen)), len(tries) - 1)
+        if first == 0:
+            return low, low
         low, high = tries[first - 1], tries[first]
-    return high
+    return low, high
+
+
+def temperature_exponent(totals: DataFrame, total: float, target_entropy: float, epochs: float, budget: float, rounds: int = 6, depth: int = 5, most: float = 1024.0) -> float:
+    """The least exponent a at which weights share ** a have at most the target entropy and no source repeats over ``epochs`` times.
+
+    Entropy falls as a rises; the most passes over a source fall until a = 1 and rise again beyond. So if the shares
+    themselves (a = 1) reach the target, both limits are met by bisection in [0, 1]. If not, shares are sharpened: a is
+    bisected above 1, the upper end doubled until it holds the target, up to the exponent at which the target is met or,
+    if this comes first, the last one that keeps the repetition limit. Sources of equal size keep 1;
+    ``most`` bounds the search where the largest are equal. If even a = 1 repeats too much (a budget above epochs * total), a is 1. Each round evaluates
+    the midpoints of ``depth`` halvings in one aggregation, and only sums reach the driver.
+    """
+    tops = totals.crossJoin(totals.agg(F.max("tokens").alias("top")))  # one row of one number
+    (entropy, passes), = _tried(tops, total, [1.0], budget)
+    if passes > epochs + 1e-12:
+        return 1.0
+    if entropy <= target_entropy + 1e-12:
+        return _bisected(tops, total, 0.0, 1.0, budget, lambda e, n: e <= target_entropy + 1e-12 and n <= epochs + 1e-12, rounds, depth)[1]
+    over = lambda e, n: e <= target_entropy + 1e-12 or n > epochs + 1e-12
+    ends = [2.0**k for k in range(1, 1 + int(math.log2(most)))]
+    seen = _tried(tops, total, ends, budget)
+    end = next((a for a, s in zip(ends, seen) if over(*s)), None)
+    if end is None:
+        return ends[-1] if seen[-1][0] < entropy - 1e-9 else 1.0
+    low, high = _bisected(tops, total, 1.0, end, budget, over, rounds, depth)
+    return low if _tried(tops, total, [high], budget)[0][1] > epochs + 1e-12 else high
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -129,7 +151,7 @@ def _draws(rows: DataFrame, mixture: Mixture, seed: int) -> DataFrame:
     plan = F.broadcast(mixture.plan) if mixture.sources <= BROADCAST_SOURCES else mixture.plan
     met = rows.join(plan, "__source").withColumns(_spots(seed))
     more = F.col("end").isNull() | (F.col("__block_place") < F.col("end")) | ((F.col("__block_place") == F.col("end")) & (F.col("end_part").isNull() | (F.col("__part_place") < F.col("end_part"))))
-    partly = more & (F.col("room") > 0)
+    partly = more & (F.col("room") >= 1)  # less than a token's room is rounding noise: nothing fits
     times = F.col("__full") + partly.cast("long")
     return met.filter(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
 
