@@ -35,7 +35,7 @@ def features(text: str | None, bits: int) -> np.ndarray:
             if len(core) > 1 and core.isupper():
                 capitals += n
         if len(core) < len(w) and (rest := w.replace(core, "", 1) if core else w) not in ".,":
-            signs[rest[:8]] = signs.get(rest[:8], 0) + n
+            signs[rest] = signs.get(rest, 0) + n
             edged += n
 
     def share(k: int) -> int:
@@ -60,15 +60,16 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - self.weights[features(text, self.bits)].sum(), -30, 30)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, bits: int, least_docs: int = 8, l1: float = 1e-3, rounds: int = 300, step: float = 0.05) -> OrdinalModel:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, bits: int, top: int = 2, least_docs: int = 8, l1: float = 1e-3, rounds: int = 300, step: float = 0.05) -> OrdinalModel:
     """Maximum likelihood with a lasso on the weights, by full-batch Adam with proximal steps over the cumulative logits.
 
+    Grades are 0 to ``top``, whether or not examples of each are there: a threshold with no example above it is
+    infinite, so nothing is given a grade that nobody gave, and one with none below it is infinitely low.
+
     Features found in fewer than ``least_docs`` rows keep weight 0. Thresholds are a first one plus exponentials, so they
     stay in order. The lasso leaves most of the many rare words at 0, so long texts do not gather noise. Without rows, or with one grade only, all weights
     are 0 and tails follow the thresholds alone.
     """
-    top = int(grades.max()) if len(grades) else 1
-    top = max(1, top)
     weights = np.zeros(1 << bits)
     if not len(rows) or len(np.unique(grades)) < 2:
         lean = np.where(np.arange(top) < (grades[0] if len(grades) else top), -4.0, 4.0)
@@ -107,7 +108,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, bits: int, least_doc
             if x is beta:
                 x[:] = np.sign(x) * np.maximum(np.abs(x) - scale * l1, 0)
     weights[kept[use]] = beta
-    return OrdinalModel(weights, gaps[0] + np.r_[0, np.cumsum(np.exp(gaps[1:]))], bits)
+    cuts = gaps[0] + np.r_[0, np.cumsum(np.exp(gaps[1:]))]
+    cuts[np.arange(top) >= grades.max()], cuts[np.arange(top) < grades.min()] = np.inf, -np.inf
+    return OrdinalModel(weights, cuts, bits)
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -122,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, bound: int = 12000
 
     Of rows that repeat a chosen id, the text with the least hash stands for the id, so a hot id is one example as any
     other. Ids or ratings that are null are no examples; null and empty texts are examples without features. Without
-    examples, or with one grade only, the model has thresholds alone (fit_ordinal). Other columns are not read.
+    examples, or with one grade only, the model has thresholds alone; a grade without examples is given to none (fit_ordinal). Other columns are not read.
     """
     chosen = graded(labels).withColumn("__place", F.xxhash64("__id")).orderBy("__place", "__id").limit(bound)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
@@ -156,7 +159,7 @@ def classify(docs: DataFrame, model: OrdinalModel, least: int = 2, tail: float =
         for batch in batches:
             for part in slices(batch, 1):
                 tails = np.array([own.tails(t) for t in part.column(1).to_pylist()]).reshape(len(part), -1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tails.sum(1)), pa.array(tails[:, min(least, tails.shape[1]) - 1])], ["doc_id", "expected_grade", "tail"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tails.sum(1)), pa.array(tails[:, least - 1])], ["doc_id", "expected_grade", "tail"])
 
     scored = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, expected_grade double, tail double")
     return scored.withColumn("kept", F.col("tail") >= tail)
@@ -175,6 +178,6 @@ def keep_good(docs: DataFrame, model: OrdinalModel, least: int = 2, tail: float
         for batch in batches:
             for part in slices(batch, at):
                 tails = np.array([own.tails(t) for t in part.column(at).to_pylist()]).reshape(len(part), -1)
-                yield part.filter(pa.array(tails[:, min(least, tails.shape[1]) - 1] >= tail))
+                yield part.filter(pa.array(tails[:, least - 1] >= tail))
 
     return docs.mapInArrow(run, docs.schema)
