@@ -172,33 +172,37 @@ def _sorted_spans(width: int, span: int) -> Callable:
 
 
 def _sorted_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``low`` of the surroundings that repeat; rows (h, l2, l1, r1, r2, low) come sorted by h, the hash of what lies in the middle.
+    """The surroundings that repeat; rows (h, l2, l1, r1, r2, low, high) come sorted by h, the hash of what lies in the middle.
 
-    Surroundings are strings of five symbols, their pieces, and stand twice in the group of their h, for the two places
-    they have at least. They repeat if the suffix that is all of them agrees with a neighbour in all five.
+    Surroundings are strings of five symbols, their pieces. Each stands in the group of its h once for each of the places
+    low and high, so once if these are one. They repeat if the suffix that is all of them agrees with a neighbour in all
+    five: a lone place has no such neighbour.
     """
     held: np.ndarray | None = None
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
         n = len(rows)
         named = np.unique(rows[:, :5], return_inverse=True)[1].reshape(n, 5)[:, [1, 2, 0, 3, 4]] + 2
-        strings = np.repeat(np.c_[named, np.ones(n, np.int64)], 2, axis=0)
-        # Groups of one h, in parts of GROUP at most; each ends with one more symbol, the least.
-        heads = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if n else np.zeros(0, np.int64)
+        copies = 1 + (rows[:, 5] != rows[:, 6])
+        strings = np.repeat(np.c_[named, np.ones(n, np.int64)], copies, axis=0)
+        upto = np.cumsum(copies)
+        # Groups of one h, in parts of GROUP rows at most; each ends with one more symbol, the least.
+        heads = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
         place = np.arange(n) - np.repeat(heads, np.diff(np.r_[heads, n]))
-        stops = np.flatnonzero(np.r_[(place[1:] % GROUP) == 0, True]) + 1 if n else np.zeros(0, np.int64)
-        text = np.insert(strings.ravel(), stops * 12, 0)
-        order = suffix_arrays(text, np.diff(np.r_[0, stops]) * 12 + 1)
+        stops = upto[np.flatnonzero(np.r_[(place[1:] % GROUP) == 0, True])]
+        text = np.insert(strings.ravel(), stops * 6, 0)
+        order = suffix_arrays(text, np.diff(np.r_[0, stops]) * 6 + 1)
         agree = common_prefixes(text, order, 2, 5)
         longest = np.zeros(len(text), np.int64)
         longest[order] = np.maximum(agree, np.r_[0, agree[:-1]])
-        first = np.arange(n) * 12 + np.searchsorted(stops, np.arange(n), "right")
-        return pa.RecordBatch.from_arrays([pa.array(rows[longest[first] >= 5, 5])], ["low"])
+        own = upto - copies
+        found = rows[longest[own * 6 + np.searchsorted(stops, own, "right")] >= 5]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(6)], ["h", "l2", "l1", "r1", "r2", "low"])
 
     for batch in batches:
         for at in range(0, len(batch), 1 << 15):
             part = batch.slice(at, 1 << 15)
-            rows = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in range(6)], 1)
+            rows = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in range(7)], 1)
             rows = rows if held is None else np.concatenate((held, rows))
             # The last h may go on; one that has filled a part need not be held whole.
             cut_at = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left")) if len(rows) else 0
@@ -229,8 +233,9 @@ def repeated_spans(docs: DataFrame, span: int = 200, text_col: str = "text") ->
     bring together what is sorted, by partial aggregations:
 
     1. Anchors whose hash no other place has go: no window that holds them repeats. A sieve passes on the others.
-    2. Surroundings of an anchor, all windows that can hold it, are strings of five symbols. They are suffix-sorted in
-       groups around the anchor; surroundings that repeat repeat with all their windows, at all their places.
+    2. Surroundings of an anchor, all windows that can hold it, are strings of five symbols, the hashes of five pieces.
+       They are suffix-sorted in groups around the anchor, a string with one place once and one with more twice; those
+       that agree with a neighbour in all symbols repeat with all their windows, at all their places.
     3. One place of these, and the anchors at the borders of what repeats, are cut into slices of 20 window starts around
        a core of 181 bytes. Slices whose core is unique go, again by a sieve and then exactly.
     4. Strings around a core are suffix-sorted byte by byte, each distinct one once or, if it has more places, twice, in
@@ -283,17 +288,17 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
     pieces = ["h", "l2", "l1", "r1", "r2"]
     # Read twice below; some 80 bytes a place are cheaper to write than to find again.
     rows = keep(_scan(base, span, "h long, l2 long, l1 long, r1 long, r2 long, own long, k1 long, k2 long, start long, end long", surroundings))
-    whole = keep(_two_owners(rows, *pieces).drop("high"))
+    shared.unpersist()
+    places = keep(rows.groupBy(*pieces).agg(F.min("own").alias("low"), F.max("own").alias("high")))
     # An anchor hash with very many surroundings is dealt in parts, in which a task sorts GROUP of them at most at a time.
-    common = keep(whole.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP))
-    dealt = whole.join(common, "h", "left").withColumn("part", F.pmod(F.xxhash64("low"), F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1))))
-    sure = keep(dealt.repartition("h", "part").sortWithinPartitions("h").select(*pieces, "low").mapInArrow(_sorted_surroundings, "low long"))
-    marked = keep(rows.join(whole, pieces, "left").select("own", "low", "k1", "k2", "start", "end"))
-    covered = marked.join(sure, "low", "left_semi").select("k1", "k2", "start", "end")
+    common = keep(places.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP))
+    dealt = places.join(common, "h", "left").withColumn("part", F.pmod(F.xxhash64("low"), F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1))))
+    sure = keep(dealt.repartition("h", "part").sortWithinPartitions("h").select(*pieces, "low", "high").mapInArrow(_sorted_surroundings, "h long, l2 long, l1 long, r1 long, r2 long, low long"))
+    marked = keep(rows.join(sure, pieces, "left").select("own", "low", "k1", "k2", "start", "end"))
+    covered = marked.filter("low is not null").select("k1", "k2", "start", "end")
     border = spark.sparkContext.broadcast(sieve(marked.filter("low is null or own = low"), "own"))
 
     def cores(x: _Part) -> tuple:
-        x.keep(_passes(shared.value, x.h))
         x.keep(_passes(border.value, x.own))
         s = _slices_of(x, span, WIDTHS[0])
         return s["core1"], s["own"]
@@ -301,7 +306,6 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
     again = spark.sparkContext.broadcast(sieve(_two_owners(_scan(base, span, "core1 long, own long", cores), "core1"), "core1"))
 
     def strings(x: _Part) -> tuple:
-        x.keep(_passes(shared.value, x.h))
         x.keep(_passes(border.value, x.own))
         s = _slices_of(x, span, WIDTHS[0])
         good = _passes(again.value, s["core1"])
@@ -318,7 +322,7 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
     spans = covered.unionByName(decided)
     copies = base.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("end")).filter((F.col("n") > 1) & (F.col("end") >= span))
     out = cut(_runs(spans.unionByName(copies.select("k1", "k2", F.lit(0).cast("long").alias("start"), "end"))))
-    for sent in (shared, border, again):  # all that read them is written
+    for sent in (border, again):  # all that read them is written
         sent.unpersist()
     return out
 
