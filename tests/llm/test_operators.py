@@ -75,10 +75,44 @@ def test_ordinal_learns_and_orders():
     assert (np.diff(model.thresholds) > 0).all()
     expected = [model.tails(t).sum() for t in ("fine calm words here", "fine ### words ###", "fine insult words here")]
     assert expected[0] > expected[1] > expected[2] and (np.diff(model.tails("fine")) <= 0).all()
+    for given, tails in (([1], (True, False)), ([0], (False, False)), ([2], (True, True)), ([0, 1] * 20, (None, False)), ([1, 2] * 20, (True, None)), ([0, 2] * 20, (None, None))):
+        some = ordinal.fit_ordinal([ordinal.features(f"w{g} same", 16) for g in given], np.array(given), 16)
+        for got, want in zip(some.tails("same"), tails):
+            assert want is None or (got > 0.98 if want else got < 0.02)
     one = ordinal.fit_ordinal([ordinal.features("a", 16)], np.array([2]), 16)
     assert one.tails("a")[1] > 0.5 and ordinal.fit_ordinal([], np.zeros(0, np.int64), 16).tails(None)[0] > 0.5
 
 
+def test_ordinal_maximises_the_likelihood():
+    """The objective at the fit is no higher than at any point of a grid around it, computed plainly."""
+    draw, words = random.Random(8), ["up", "down", "even"]
+    texts = [" ".join(w for w in words if draw.random() < 0.5) for _ in range(150)]
+    grades = np.array([min(2, max(0, ("up" in t.split()) - ("down" in t.split()) + draw.choice([0, 1, 1, 2]))) for t in texts])
+    model = ordinal.fit_ordinal([ordinal.features(t, 12) for t in texts], grades, 12, l1=0.01, rounds=4000, step=0.01)
+    places = {w: [k for k in ordinal.features(w, 12) if model.weights[k]] for w in words}
+
+    def loss(weights, cuts):
+        total = 0.0
+        for t, g in zip(texts, grades):
+            tail = [1.0, *(1 / (1 + math.exp(c - sum(weights[k] for k in ordinal.features(t, 12)))) for c in cuts), 0.0]
+            total -= math.log(tail[g] - tail[g + 1])
+        return total / len(texts) + 0.01 * sum(map(abs, weights.values()))
+
+    at = {k: float(model.weights[k]) for t in texts for k in ordinal.features(t, 12)}
+    best = loss(at, model.thresholds)
+    assert places["up"] and best < loss(dict.fromkeys(at, 0.0), model.thresholds)
+    for step in (-0.2, -0.05, 0.05, 0.2):
+        assert all(loss({**at, k: at[k] + step}, model.thresholds) > best - 1e-4 for k in at)
+        assert all(loss(at, model.thresholds + step * (np.arange(2) == j)) > best - 1e-4 for j in range(2))
+
+
+def test_ordinal_without_good_labels(spark):
+    docs = spark.createDataFrame([(k, f"text {k % 3} words") for k in range(60)], "doc_id long, text string")
+    for grades, kept in (([1], 0), ([0], 0), ([0, 1], 0), ([2], 60), ([], 60)):
+        labels = spark.createDataFrame([(k, int(g == 2), int(g == 0)) for k in range(60 if grades else 0) for g in [grades[k % len(grades)]]], "doc_id long, quality int, toxic int")
+        assert ordinal.keep_good(docs, ordinal.train(docs, labels)).count() == kept
+
+
 def test_ordinal_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -94,7 +128,7 @@ def test_ordinal_edges(spark, docs, empty):
     model = ordinal.train(docs, labels)
     rows = ordinal.classify(docs, model).collect()
     assert len(rows) == len(TEXTS) and all(r.kept is not None for r in rows)
-    assert ordinal.classify(empty, model).count() == 0 and ordinal.train(empty, labels.limit(0)).thresholds.size == 1
+    assert ordinal.classify(empty, model).count() == 0 and ordinal.train(empty, labels.limit(0)).thresholds.size == 2
     assert ordinal.keep_good(docs, model).columns == docs.columns
 
 
@@ -195,6 +229,22 @@ def test_the_order_decides_all_but_whole_copies(docs, monkeypatch):
         assert got[k].n_removed == (size if copies[t] > 1 and size >= 200 else 0)
 
 
+@pytest.mark.parametrize("group, size", [(400, 1000), (3, 64)])
+def test_lone_surroundings_do_not_repeat(monkeypatch, group, size):
+    """Of surroundings of which half have one place, those with two come back, and no other."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "GROUP", group)
+    g = np.random.default_rng(2)
+    rows = np.unique(np.c_[g.integers(-40, 40, 5000), g.integers(-3, 3, (5000, 4))], axis=0)
+    low = np.arange(len(rows)) * 2
+    high = low + g.integers(0, 2, len(rows))
+    table = pa.table({c: pa.array(x) for c, x in zip(("h", "l2", "l1", "r1", "r2", "low", "high"), (*rows.T, low, high))})
+    got = [x for b in repeats._sorted_surroundings(iter(table.to_batches(size))) for x in b.to_pylist()]
+    want = {(*map(int, r), int(a)) for r, a, b in zip(rows, low, high) if a != b}
+    assert len(got) == len(want) > 1000 and {tuple(x.values()) for x in got} == want
+
+
 CLASHES = "k1 k2 spans text_ left word bits row end weight room epoch __full __source __key __word __k1 tokens h c own low high digest component_id gone __gone tail kept".split()
 
 
@@ -294,6 +344,39 @@ def test_mixing(spark, empty):
     assert mixing.mixed_documents(df, entropy_share=0.97, epochs=3.0).count() == drawn.count()
 
 
+def _weights(sums, a):
+    power = {s: (n / max(sums.values())) ** a for s, n in sums.items()}
+    return {s: p / sum(power.values()) for s, p in power.items()}
+
+
+@pytest.mark.parametrize("sizes, share, epochs, limited", [({"a": 300, "b": 200, "c": 200, "d": 90}, 0.6, 4.0, False), ({"a": 300, "b": 200, "c": 200, "d": 90}, 0.6, 1.5, True), ({"a": 100, "b": 99, "c": 98}, 0.9, 4.0, False)])
+def test_mixing_sharpens(spark, sizes, share, epochs, limited):
+    """A target below the sources' own entropy: exponents above 1, by another root search, up to the repetition limit."""
+    rows = [(k, "w " * (1 + k % 3), s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = cut(mixing.measured(df))
+    plan = mixing.plan_mixture(kept, entropy_share=share, epochs=epochs)
+    sums = {r["__source"]: r.n for r in kept.groupBy("__source").agg(F.sum("tokens").alias("n")).collect()}
+    entropy = lambda a: -sum(w * math.log(w) for w in _weights(sums, a).values() if w)
+    passes = lambda a: max(w * sum(sums.values()) / sums[s] for s, w in _weights(sums, a).items())
+    low, high = 1.0, 200.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (low, mid) if entropy(mid) <= share * math.log(len(sums)) or passes(mid) > epochs else (mid, high)
+    assert abs(plan.exponent - low) < 1e-4 * low and plan.exponent > 1 and (passes(high) > epochs) == limited
+    assert passes(plan.exponent) <= epochs + 1e-9
+    drawn = mixing.mix_sources(df, entropy_share=share, epochs=epochs)
+    got = {r.source: r.n for r in drawn.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    for s, w in _weights(sums, plan.exponent).items():
+        assert 0 <= w * sum(sums.values()) - got.get(s, 0) <= 6
+    assert drawn.filter("epoch > 0").count() > 0
+
+
+def test_mixing_of_equal_sources_stays(spark):
+    df = spark.createDataFrame([(k, "a b", f"s{k % 4}") for k in range(80)] + [(99, "", "s1"), (98, None, "s2")], "doc_id long, text string, source string")
+    assert mixing.plan_mixture(cut(mixing.measured(df))).exponent == 1.0 and mixing.mix_sources(df).count() == 82
+
+
 def test_mixing_meets_the_repetition_limit(spark):
     rows = [(k, "a b c d", "big" if k % 20 else "rare") for k in range(2000)]
     drawn = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), entropy_share=1.0, epochs=2.0)
@@ -316,7 +399,7 @@ def reference():
 
 
 def test_bpe_equals_tiktoken():
-    enc, coder = reference(), bpe.Coder(open(RANKS, "rb").read())
+    enc, coder = reference(), bpe.Coder(open(RANKS, "rb").read(), bpe.char_classes().tobytes())
     alphabet = "abst'''  \n\t \u3000é9٣!#dmrevl漢😀\x1c\x85\u200b<|endoftext|>"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 70))) for _ in range(4000)] + ["a" * 3000, " " * 999, "x" * 129, "'ll've", "\n\n", "a's 's ''s", LONG]
     for t, (ids, offsets) in zip(texts, coder.encode(texts)):
@@ -326,6 +409,17 @@ def test_bpe_equals_tiktoken():
         assert offsets.tolist() == (np.cumsum([0, *sizes])[:-1]).tolist()
 
 
+def test_bpe_classes_every_code_point_as_tiktoken():
+    """Each code point beside letters, numbers, blanks, signs and apostrophes."""
+    enc, coder = reference(), bpe.Coder(open(RANKS, "rb").read(), bpe.char_classes().tobytes())
+    points = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    for make in (lambda c: f"a{c}b1{c}2 {c} {c}#{c}#\n", lambda c: f"{c}'s{c}'{c}ll {c}{c}\t{c}"):
+        for at in range(0, len(points), 1 << 16):
+            texts = ["".join(map(make, points[k : k + 64])) for k in range(at, min(len(points), at + (1 << 16)), 64)]
+            for text, want, (ids, _) in zip(texts, enc.encode_ordinary_batch(texts), coder.encode(texts)):
+                assert ids.tolist() == want, hex(ord(text[1]))
+
+
 def test_bpe_scan_is_the_sequential_automaton():
     g = np.random.default_rng(3)
     symbols = g.integers(0, 9, 5000).astype(np.uint8)
