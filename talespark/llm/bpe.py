@@ -11,7 +11,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +76,8 @@ def char_classes() -> np.ndarray:
     pattern and a vocabulary of bytes, give the members of the class. Half a second, once, on the driver; workers are sent
     the result, so their versions of Python do not matter.
     """
+    import tiktoken  # on the driver only
+
     bytewise = {bytes([k]): k for k in range(256)}
     points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     out = np.full(0x110000, OTHER, np.uint8)
