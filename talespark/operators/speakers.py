@@ -1,4 +1,4 @@
-"""Who speaks each line: an ordered fold over each story, fed with evidence that does not depend on order.
+"""Who speaks each line: an ordered fold over each story, fed with evidence that does not depend on order (speaker_blocks runs it over blocks).
 
 A story's state is small: the last speaker, the subject that narration last named, and how many more speeches a woman
 outside the cast may still be speaking. Everything else is a property of a line and its neighbours.
@@ -9,14 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache, reduce
+from functools import reduce
 from operator import or_
+from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from talespark.functions.text import bind, normalize_name
 
@@ -41,6 +40,7 @@ INLINE = "said|asked|whispered|replied|murmured|sighed|laughed|sobbed"
 OUTSIDER, OPEN_SPEECHES = "\0outsider", 3
 
 _OPENING = rf"^\s*(?:\w+[, ]+)?(?:{OPENERS})\b|\b's (?:voice|whisper)\b"
+_OPENS = re.compile(_OPENING, re.I)
 _ATTRIBUTIVE = re.compile(rf"{_OPENING}|{VERBS}", re.I)
 #: Verb forms without those that hold a shorter one.
 _STEMS = tuple(v for v in VERB_FORMS if not any(w in v for w in VERB_FORMS if w != v))
@@ -65,7 +65,16 @@ def shown(name: str) -> str:
 
 
 def attributive(text: str) -> bool:
-    return bool(text and _ATTRIBUTIVE.search(text))
+    """Whether a text tells who speaks: a speech verb anywhere, or an opening. Plain texts are looked through for the verbs' stems first."""
+    if not text or not text.isascii():
+        return bool(text and _ATTRIBUTIVE.search(text))
+    low = text.lower()
+    return any(v in low for v in _STEMS) or bool(_OPENS.search(text))
+
+
+def _word_in(word: str, low: str) -> bool:
+    """Whether ``word`` stands in the lower-cased text between word borders."""
+    return word in low and bool(re.search(rf"\b{re.escape(word)}\b", low))
 
 
 @dataclass
@@ -84,8 +93,14 @@ class Cast:
                 if gender in ("M", "F") or key not in self.gender:
                     self.gender[key] = gender if gender in ("M", "F") else "U"
         self.known = list(self.gender)
+        self.single = [n for n in self.known if " " not in n]
         self.users = list(dict.fromkeys(k for n, _ in self.members if (k := normal(n))))
         self.originals = {normal(n): n for n, _ in self.members}
+        self.member_keys = set(self.users)
+        self.forms: dict[bool | None, list[tuple[str, str, re.Pattern]]] = {}
+
+    def is_user(self, name: str) -> bool:
+        return name in self.member_keys
 
     def of(self, gender: str, among: list[str] | None = None) -> list[str]:
         return [n for n in (self.users if among is None else among) if self.gender.get(n) == gender]
@@ -97,6 +112,9 @@ class Cast:
 
     def by_verb(self, text: str) -> str | None:
         """A known one-word name beside a speech verb, or within three tokens of one."""
+        low = text.lower()
+        if not any(n in low for n in self.single):
+            return None
         for pattern in _NAMED:
             if (m := pattern.search(text)) and m[1].lower() in self.gender:
                 return m[1].lower()
@@ -119,7 +137,7 @@ class Cast:
         for name in self.users:
             if any(f"{t}'s" in low or f"{t}’s" in low or f"{t}s" in low for t in name.split()):
                 return name
-        free = [n for n in self.users if not any(re.search(rf"\b{re.escape(t)}\b", low) for t in n.split())]
+        free = [n for n in self.users if not any(_word_in(t, low) for t in n.split())]
         padded = f" {low} "
         for gender, words in (("M", ("he", "him", "his")), ("F", ("she", "her", "hers"))):
             if any(f" {w} " in padded for w in words) and len(one := self.of(gender, free)) == 1:
@@ -128,18 +146,54 @@ class Cast:
             return OUTSIDER
         return None
 
-    @lru_cache(maxsize=None)  # noqa: B019
-    def variants(self, initials: bool) -> tuple[tuple[str, re.Pattern], ...]:
+    def variants(self, initials: bool) -> list[tuple[str, str, re.Pattern]]:
+        """Each member's forms of the name, lower-cased and as patterns."""
+        if initials not in self.forms:
+            self.forms[initials] = self._variants(initials)
+        return self.forms[initials]
+
+    def full_names(self) -> list[tuple[str, str, re.Pattern]]:
+        """Each member's name as it was given, lower-cased and as a pattern."""
+        if None not in self.forms:
+            self.forms[None] = [(n, self.originals.get(n, n).lower(), re.compile(rf"\b{re.escape(self.originals.get(n, n))}\b", re.I)) for n in self.users]
+        return self.forms[None]
+
+    def _variants(self, initials: bool) -> list[tuple[str, str, re.Pattern]]:
         out = []
         for name in self.users:
             tokens = name.split()
             letters = "".join(t[0] for t in tokens)
             forms = [self.originals.get(name, name), name, tokens[0], tokens[-1], *([letters, ".".join(letters) + "."] if initials else [])]
-            out += [(name, re.compile(rf"\b{re.escape(f)}\b", re.I)) for f in dict.fromkeys(f.strip().lower() for f in forms) if f]
-        return tuple(out)
+            out += [(name, f, re.compile(rf"\b{re.escape(f)}\b", re.I)) for f in dict.fromkeys(f.strip().lower() for f in forms) if f]
+        return out
+
+
+class Signs(NamedTuple):
+    """What a text says of names and persons: a known name in it, a member's name within its words, a name by a verb, pronouns.
+
+    What is weaker than the first that is there counts for nothing and is left out, so like texts have equal signs.
+    """
+
+    named: str | None
+    inside: str | None = None
+    verb: str | None = None
+    i: bool = False
+    he: bool = False
+    she: bool = False
 
-    def __hash__(self):
-        return id(self)
+
+class Evidence(NamedTuple):
+    """All that a line and its neighbours say, whatever the state: own text, attribution, whom narration is about, members met, feminine cues."""
+
+    kind: str
+    spoken: bool
+    own: Signs
+    said: Signs | None = None
+    about: str | None = None
+    met: tuple[str, ...] = ()
+    first: bool = False
+    woman: str | None = None
+    cue: bool = False
 
 
 @dataclass
@@ -156,6 +210,69 @@ class Fold:
     open: int = 0
     before: str = ""
 
+    # What lines say ---------------------------------------------------------------------------------------------------
+
+    def _signs(self, text: str) -> Signs:
+        if named := self.cast.named(text):
+            return Signs(named)
+        whole = normal(text)
+        inside, verb = next((n for n in self.cast.users if n in whole), None), self.cast.by_verb(text)
+        if verb:
+            return Signs(None, inside, verb)
+        low = text.lower()
+        return Signs(None, inside, None, bool(_I.search(text)), bool(_HE.search(low)), bool(_SHE.search(low)))
+
+    def _attribution(self, row: dict, after: dict | None) -> str | None:
+        said = (row.get("attribution") or "").strip()
+        found = said
+        if not found and (raw := (row.get("raw") or "").strip()):
+            told = _QUOTED.sub(" ", raw)
+            found = next((m[0] for p in _INLINE if (m := p.search(told))), None) if any(v in told for v in INLINE.split("|")) else None
+            found = found or (told.strip() if attributive(told) else "")
+        if not found and after and after["type"] in ("narration", "attribution"):
+            text = (after["text"] or "").strip()
+            found = text if text and len(text.split()) <= 12 and attributive(text) else ""
+        if not found or not after:
+            return found or None
+        text = (after["text"] or "").strip()
+        if text and found.strip().lower() == text.lower() and not attributive(found):
+            return None
+        # An attribution found in the paragraph may be that of the next speech, which names the same person itself.
+        if not said and (ahead := (after.get("attribution") or "").strip()) and (name := self.cast.named(found)) and name in normal(f"{ahead} {after['text']}"):
+            return None
+        return found
+
+    def _feminine(self, row: dict, after: dict | None) -> tuple[str | None, bool]:
+        """(a woman of the cast whom the neighbourhood points to, whether it points to any woman)."""
+        women, cue = self.cast.of("F"), False
+        for text in (self.before, row.get("attribution") or "", (after or {}).get("text") or ""):
+            low = text.lower()
+            found = next((n for n in women if any(_word_in(t, low) for t in n.split())), None)
+            here = any(f" {w} " in f" {low} " for w in FEMALE_WORDS) or any(w in low for w in FEMALE_NOUNS)
+            cue = cue or here
+            if found or (here and len(women) == 1):
+                return found or women[0], True
+        return None, cue
+
+    def look(self, row: dict, after: dict | None) -> Evidence:
+        """What the line says; ``before`` is the text of the line before it."""
+        text, kind, spoken = (row["text"] or "").strip(), row["type"] or "dialogue", row["type"] == "dialogue"
+        own = self._signs(text)
+        if kind == "narration":
+            return Evidence(kind, spoken, own, about=self.cast.subject(text) if self.cast.users else None)
+        said = self._attribution(row, after) if kind == "dialogue" else None
+        signs = self._signs(said) if said else None
+        if self.mode == "generic" or not self.cast.users:
+            return Evidence(kind, spoken, own, signs)
+        forms = self.cast.variants(self.initials) if self.mode == "aggressive" else self.cast.full_names()
+        low = text.lower()
+        met = tuple(dict.fromkeys(n for n, form, p in forms if (form in low or not text.isascii()) and p.search(text)))
+        first = not met and bool(_FIRST.search(text))
+        woman, cue = self._feminine(row, after) if not met and (first or spoken) else (None, False)
+        return Evidence(kind, spoken, own, signs, None, met, first, woman, cue)
+
+    # What the state makes of it ---------------------------------------------------------------------------------------
+
     def _recent(self, gender: str | None = None) -> Iterator[str]:
         return (n for n in reversed(self.mentions) if gender is None or self.cast.gender.get(normal(n)) == gender)
 
@@ -166,12 +283,11 @@ class Fold:
             self.mentions.append(name)
         return name
 
-    def _pronoun(self, text: str) -> str | None:
-        if _I.search(text):
+    def _pronoun(self, signs: Signs) -> str | None:
+        if signs.i:
             return self.speaker or next(self._recent(), None)
-        low = text.lower()
-        for gender, pattern in (("M", _HE), ("F", _SHE)):
-            if not pattern.search(low):
+        for gender, here in (("M", signs.he), ("F", signs.she)):
+            if not here:
                 continue
             if found := next(self._recent(gender), None):
                 return normal(found)
@@ -189,121 +305,79 @@ class Fold:
         found = next(self._recent(), None)
         return found or (next((n for n in self._recent() if n != self.speaker), None) if self.speaker else None)
 
-    def _from_text(self, text: str) -> str | None:
-        direct = self.cast.named(text)
-        if direct:
-            return direct
-        whole = normal(text)
-        found = next((n for n in self.cast.users if n in whole), None) or self.cast.by_verb(text) or self._pronoun(text)
-        if found:
+    def _named_or_meant(self, signs: Signs) -> str | None:
+        return signs.named or signs.verb or self._pronoun(signs)
+
+    def _from_attribution(self, signs: Signs) -> str | None:
+        if found := signs.named or signs.inside or signs.verb or self._pronoun(signs):
             return found
         if self.subject and self.subject != OUTSIDER:
-            low = text.lower()
-            she, he, gender = bool(_SHE.search(low)), bool(_HE.search(low)), self.cast.gender.get(self.subject)
-            if she != he:
-                return self.subject if (gender == "F" if she else gender != "F") else None
-            return None if she else self.subject
+            gender = self.cast.gender.get(self.subject)
+            if signs.she != signs.he:
+                return self.subject if (gender == "F" if signs.she else gender != "F") else None
+            return None if signs.she else self.subject
         return None
 
-    def _attribution(self, row: dict, after: dict | None) -> str | None:
-        said = (row.get("attribution") or "").strip()
-        found = said
-        if not found and (raw := (row.get("raw") or "").strip()):
-            told = _QUOTED.sub(" ", raw)
-            found = next((m[0] for p in _INLINE if (m := p.search(told))), None) or (told.strip() if attributive(told) else "")
-        if not found and after and after["type"] in ("narration", "attribution"):
-            text = (after["text"] or "").strip()
-            found = text if text and len(text.split()) <= 12 and attributive(text) else ""
-        if not found or not after:
-            return found or None
-        text = (after["text"] or "").strip()
-        if text and found.strip().lower() == text.lower() and not attributive(found):
-            return None
-        # An attribution found in the paragraph may be that of the next speech, which names the same person itself.
-        if not said and (ahead := (after.get("attribution") or "").strip()) and (name := self.cast.named(found)) and name in normal(f"{ahead} {after['text']}"):
-            return None
-        return found
-
-    def _narration(self, text: str) -> str:
+    def _narration(self, seen: Evidence) -> str:
         earlier = self.subject
-        named = self.cast.subject(text) if self.cast.users else None
-        if named:
-            self.subject = named
-            if named == OUTSIDER:
+        if seen.about:
+            self.subject = seen.about
+            if seen.about == OUTSIDER:
                 self.open = OPEN_SPEECHES
-        known = (n for n in (named, earlier, self.speaker) if n and n not in (OUTSIDER, "Ambiguous", "Narrator"))
-        found = self.cast.named(text) or self.cast.by_verb(text) or self._pronoun(text) or next(known, None) or self._other()
+        known = (n for n in (seen.about, earlier, self.speaker) if n and n not in (OUTSIDER, "Ambiguous", "Narrator"))
+        found = self._named_or_meant(seen.own) or next(known, None) or self._other()
         return self._take(found) if found else "Narrator"
 
-    def _feminine(self, row: dict, after: dict | None) -> tuple[str | None, bool]:
-        """(a woman of the cast whom the neighbourhood points to, whether it points to any woman)."""
-        women, cue = self.cast.of("F"), False
-        if women and self.subject in women:
-            return self.subject, True
-        for text in (self.before, row.get("attribution") or "", (after or {}).get("text") or ""):
-            low = text.lower()
-            found = next((n for n in women if any(re.search(rf"\b{re.escape(t)}\b", low) for t in n.split())), None)
-            here = any(f" {w} " in f" {low} " for w in FEMALE_WORDS) or any(w in low for w in FEMALE_NOUNS)
-            cue = cue or here
-            if found or (here and len(women) == 1):
-                return found or women[0], True
-        return None, cue
-
-    def _of_cast(self, row: dict, after: dict | None) -> str:
+    def _of_cast(self, seen: Evidence) -> str:
         """Strict and aggressive modes: only members of the cast can speak."""
-        text = row["text"] or ""
-        if row["type"] == "dialogue":
+        if seen.spoken:
             if self.subject == OUTSIDER:
                 self.open = self.open - 1 if self.open > 0 else OPEN_SPEECHES - 1
                 return "Ambiguous"
             if self.open > 0:
                 self.open -= 1
                 return "Ambiguous"
-        forms = self.cast.variants(self.initials) if self.mode == "aggressive" else [(n, re.compile(rf"\b{re.escape(self.cast.originals.get(n, n))}\b", re.I)) for n in self.cast.users]
-        met = list(dict.fromkeys(n for n, p in forms if p.search(text)))
-        if len(met) > 1:
-            found = next((n for r in self._recent() for n in met if n == normal(r)), met[0])
+        if len(seen.met) > 1:
+            found = next((n for r in self._recent() for n in seen.met if n == normal(r)), seen.met[0])
             self._take(found)
             return found if self.mode == "aggressive" else "Narrator"  # the strict mode counts the speaker but names none
-        if met:
-            return self._take(met[0])
-        first = bool(_FIRST.search(text))
-        if row["type"] == "dialogue" and not first and not self.auto_assign:
+        if seen.met:
+            return self._take(seen.met[0])
+        if seen.spoken and not seen.first and not self.auto_assign:
             return "Ambiguous"
-        if first or row["type"] == "dialogue":
-            woman, cue = self._feminine(row, after)
-            if woman:
-                return self._take(woman)
-            if cue and not self.cast.of("F"):
+        if seen.first or seen.spoken:
+            if self.subject and self.cast.is_user(self.subject) and self.cast.gender.get(self.subject) == "F":
+                return self._take(self.subject)
+            if seen.woman:
+                return self._take(seen.woman)
+            if seen.cue and not self.cast.of("F"):
                 self.open = OPEN_SPEECHES - 1
                 return "Ambiguous"
-        if self.speaker and normal(self.speaker) in self.cast.users:
+        if self.speaker and self.cast.is_user(normal(self.speaker)):
             return self._take(self.speaker)
         return "Ambiguous"
 
-    def step(self, row: dict, after: dict | None) -> tuple[str, list[str]]:
-        """(speaker, candidates) of the next line."""
-        text, kind = (row["text"] or "").strip(), row["type"] or "dialogue"
+    def tell(self, seen: Evidence) -> tuple[str, list[str]]:
+        """(speaker, candidates) of a line of which all this has been seen."""
         candidates: list[str] = []
-        if kind == "narration":
-            found = self._narration(text)
+        if seen.kind == "narration":
+            found = self._narration(seen)
         else:
             found = None
-            if kind == "dialogue":
-                said = self._attribution(row, after)
-                found = self._from_text(said) if said else None
-                if found and self.cast.users and normal(found) not in self.cast.users:
+            if seen.kind == "dialogue":
+                found = self._from_attribution(seen.said) if seen.said else None
+                if found and self.cast.users and not self.cast.is_user(normal(found)):
                     found = None
                 if found:
                     self._take(found)
                 elif self.subject == OUTSIDER:
                     self.open, found = OPEN_SPEECHES - 1, "Ambiguous"
-                elif self.subject and (self.mode == "generic" or self.subject in self.cast.users):
+                elif self.subject and (self.mode == "generic" or self.cast.is_user(self.subject)):
                     found = self._take(self.subject)
             if not found and self.mode != "generic" and self.cast.users:
-                found = self._of_cast(row, after)
+                found = self._of_cast(seen)
             if not found:
-                found = self.cast.named(text) or self.cast.by_verb(text) or self._pronoun(text) or self._other()
+                found = self._named_or_meant(seen.own) or self._other()
                 if found:
                     self._take(found)
                 else:
@@ -311,37 +385,13 @@ class Fold:
                     candidates = list(dict.fromkeys(self._recent()))[:3] or sorted(self.cast.known)[:5]
         if found == "Narrator":
             self.speaker = found
-        self.before = text
         return (found if found in ("Ambiguous", "Narrator") else self.cast.display.get(normal(found), shown(found))), candidates
 
-
-def _story(lines: pa.Table, members: pa.Table, options: dict) -> pa.Table:
-    """``lines`` of one story in order, with what the fold says of each."""
-    cast = Cast([(m["name"], m["gender"]) for m in sorted(members.to_pylist(), key=lambda m: m["ord"])], options["catalog"])
-    fold = Fold(cast, options["mode"], options["auto_assign"], options["initials"])
-    lines = lines.sort_by([("line_no", "ascending")])
-    rows = lines.select(["text", "type", "raw", "attribution"]).to_pylist()
-    out = [fold.step(row, after) for row, after in zip(rows, [*rows[1:], None])]
-    return lines.append_column("character", pa.array([o[0] for o in out], pa.string())).append_column("candidates", pa.array([o[1] for o in out], pa.list_(pa.string())))
-
-
-def detect_speakers(lines: DataFrame, cast: DataFrame, mode: str = "generic", auto_assign: bool = True, initials: bool = True, catalog: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``lines`` with character and candidates. cast: (story_id, ord, name, gender); catalog: (name, gender) known to all stories.
-
-    mode "generic" lets any known name speak, "strict" only members of the cast by their names, "aggressive" also by their
-    variants. A story is one ordered fold, so it is one group; stories are the unit of parallelism. Every row comes back
-    with its own columns: rows that repeat a line number are lines of their own, and rows without a story are one story
-    without a cast.
-    """
-    options = {"mode": mode, "auto_assign": auto_assign, "initials": initials, "catalog": catalog or []}
-    told = lines.drop("character", "candidates")
-    fields = T.StructType([*told.schema.fields, T.StructField("character", T.StringType()), T.StructField("candidates", T.ArrayType(T.StringType()))])
-
-    def fold(a: pa.Table, b: pa.Table) -> pa.Table:
-        return _story(a, b, options)
-
-    members = cast.filter("story_id is not null").select(F.col("story_id").cast(lines.schema["story_id"].dataType).alias("story_id"), "ord", "name", F.upper("gender").alias("gender"))
-    return told.groupBy("story_id").cogroup(members.groupBy("story_id")).applyInArrow(fold, fields)
+    def step(self, row: dict, after: dict | None) -> tuple[str, list[str]]:
+        """(speaker, candidates) of the next line."""
+        out = self.tell(self.look(row, after))
+        self.before = (row["text"] or "").strip()
+        return out
 
 
 def carry_subject(lines: DataFrame, evidence: str) -> DataFrame:

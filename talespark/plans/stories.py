@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talespark.operators import emotions, scripts, speakers, split
+from talespark.operators import emotions, scripts, speaker_blocks, split
 
 
-def prose_to_lines(stories: DataFrame, cast: DataFrame, mode: str = "generic", include_narration: bool = True, lexicon: dict | None = None) -> DataFrame:
+def prose_to_lines(stories: DataFrame, cast: DataFrame | list[tuple[str, str]], mode: str = "generic", include_narration: bool = True, lexicon: dict | None = None) -> DataFrame:
     """(story_id, line_no, id, character, type, emotions, text, candidates) of (story_id, text)."""
     lines = split.split_lines(stories)
-    told = speakers.detect_speakers(emotions.tag_emotions(lines, lexicon), cast, mode)
+    told = speaker_blocks.detect_speakers(emotions.tag_emotions(lines, lexicon), cast, mode)
     return scripts.spoken(scripts.with_ids(told), include_narration).select("story_id", "line_no", "id", "character", "type", "emotions", "text", "candidates")
 
 

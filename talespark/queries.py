@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from talespark.data import load
 from talespark.functions import text as T
-from talespark.operators import catalog, chunking, emotions, logs, names, projects, scripts, speakers, split
+from talespark.operators import catalog, chunking, emotions, logs, names, projects, scripts, speaker_blocks, speakers, split
 from talespark.sources import readers, writers
 from talespark.streaming import streams
 
@@ -160,7 +160,7 @@ CAST = [("Ann", "F"), ("Bob", "M"), ("user", "M"), ("assistant", "F")]
 @query("detect_speakers")
 def detect_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     stories = prose(spark, sf_dir)
-    return speakers.detect_speakers(split.split_lines(stories), _cast(stories)).select("story_id", "line_no", "type", "character", "text")
+    return speaker_blocks.detect_speakers(split.split_lines(stories), CAST).select("story_id", "line_no", "type", "character", "text")
 
 
 def _rule_case() -> str:
@@ -187,20 +187,30 @@ def _ranked_sql() -> str:
 _MATES = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in load("emotion_rules")["companions"].items())
 
 
-def _cast(stories: DataFrame) -> DataFrame:
-    return stories.select("story_id", F.posexplode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(g).alias("gender")) for n, g in CAST))).alias("ord", "m")).select("story_id", "ord", "m.*")
+#: First sentences, given to texts by their numbers: most say nothing about who speaks.
+OPENINGS = ["Ann looked up. ", '"Go," said Bob. ', '"I know." ', "Bob's coat was wet. ", "She nodded. ", '"Stay here." ', "", ""]
 
 
 @query("speakers_strict")
 def speakers_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     stories = prose(spark, sf_dir)
-    return speakers.detect_speakers(split.split_lines(stories), _cast(stories), "strict", auto_assign=False).select("story_id", "line_no", "type", "character", "text")
+    return speaker_blocks.detect_speakers(split.split_lines(stories), CAST, "strict", auto_assign=False).select("story_id", "line_no", "type", "character", "text")
 
 
 @query("speakers_aggressive")
 def speakers_aggressive(spark: SparkSession, sf_dir: str) -> DataFrame:
     stories = prose(spark, sf_dir)
-    return speakers.detect_speakers(split.split_lines(stories), _cast(stories), "aggressive").select("story_id", "line_no", "type", "character", "text")
+    return speaker_blocks.detect_speakers(split.split_lines(stories), CAST, "aggressive").select("story_id", "line_no", "type", "character", "text")
+
+
+@query("speakers_long_stories")
+def speakers_long_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts of a source, each after one of OPENINGS, as one story, line by line: as long as the source is."""
+    opening = F.get(F.array(*map(F.lit, OPENINGS)), F.pmod("doc_id", F.lit(len(OPENINGS))).cast("int"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split(F.concat_ws("\n", opening, "text"), "\n")).alias("k", "text"))
+    speech = F.when(F.col("text").startswith('"'), "dialogue").otherwise("narration")
+    lines = docs.select(F.col("source").alias("story_id"), (F.col("doc_id") * 1_000_000 + F.col("k")).alias("line_no"), "text", speech.alias("type"), F.col("text").alias("raw"), F.lit(None).cast("string").alias("attribution"))
+    return speaker_blocks.detect_speakers(lines, CAST, "strict").select("story_id", "line_no", "type", "character")
 
 
 @query("tag_emotions", f"""WITH {LINES_SQL},

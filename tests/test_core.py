@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from talespark import queries as core
 from talespark.functions import text as T
-from talespark.operators import catalog, chunking, emotions, logs, projects, scripts, speakers, split
+from talespark.operators import catalog, chunking, emotions, logs, projects, scripts, speaker_blocks, speakers, split
 from talespark.plans import stories as plans
 from talespark.sources import readers, writers
 from talespark.streaming import streams
@@ -156,9 +156,9 @@ def test_speakers_keep_every_row(spark):
     rows = [(1, 0, "Ilse smiled.", "narration", 7), (1, 1, "Go.", "dialogue", 8), (1, 1, "Stay.", "dialogue", 9), (None, 0, "Rain.", "narration", 5), (None, 0, "Snow.", "narration", 6)]
     lines = spark.createDataFrame(rows, "story_id int, line_no int, text string, type string, own int").withColumns({"raw": F.col("text"), "attribution": F.lit(None).cast("string"), "tags": F.array("type")})
     cast = spark.createDataFrame([(1, 0, "Ilse", "F"), (None, 0, "Tobias", "M"), (9, 0, "Ada", "F")], "story_id long, ord int, name string, gender string")
-    found = speakers.detect_speakers(lines, cast)
+    found = speaker_blocks.detect_speakers(lines, cast)
     assert sorted((r.own, r.character, r.tags[0]) for r in found.collect()) == [(5, "Narrator", "narration"), (6, "Narrator", "narration"), (7, "Ilse", "narration"), (8, "Ilse", "dialogue"), (9, "Ilse", "dialogue")]
-    assert speakers.detect_speakers(lines.limit(0), cast).count() == 0
+    assert speaker_blocks.detect_speakers(lines.limit(0), cast).count() == 0
 
 
 def test_window_path_equals_fold(spark):
@@ -167,6 +167,6 @@ def test_window_path_equals_fold(spark):
     rows = [(1, k, t, "narration", t, None) for k, t in enumerate(texts)]
     lines = spark.createDataFrame(rows, "story_id long, line_no int, text string, type string, raw string, attribution string")
     cast = spark.createDataFrame([(1, 0, "Ilse", "F"), (1, 1, "Tobias", "M")], "story_id long, ord int, name string, gender string")
-    fold = speakers.detect_speakers(lines, cast).orderBy("line_no")
+    fold = speaker_blocks.detect_speakers(lines, cast).orderBy("line_no")
     window = speakers.carry_subject(lines.withColumn("e", F.nullif(F.regexp_extract("text", "(Ilse|Tobias)", 1), F.lit(""))), "e").orderBy("line_no")
     assert [r.character for r in fold.collect()] == [r.carried for r in window.collect()]
