@@ -1,23 +1,20 @@
-"""Two emotion labels for each line: ordered rules, context cues, keyword scores, fallback. Native expressions."""
+"""Two emotion labels for each line: ordered rules, context cues, keyword scores, fallback. Native but for the keywords' automaton."""
 
 from __future__ import annotations
 
-import re
 import re._parser as parser
-from bisect import bisect
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talespark.data import load
 from talespark.functions.text import bind
+from talespark.operators.lexicons import lexicon_matches, lexicon_scores
 
 TABLE = "emotion_rules"
-EDGES = r""".,!?;:"'()[]{}"""
 
 
 def with_context(lines: DataFrame) -> DataFrame:
@@ -69,7 +66,7 @@ def rule_labels(source: Column) -> Column:
     def first(low: Column) -> Column:
         found = None
         for pattern, a, b in load(TABLE)["rules"]:
-            hit = low.rlike(pattern)
+            hit = low.rlike(f"(?U){pattern}")
             if literals := seeds(pattern):
                 hit = reduce(or_, (F.contains(low, F.lit(x)) for x in sorted(literals))) & hit
             found = F.when(hit, _pair(a, b)) if found is None else found.when(hit, _pair(a, b))
@@ -100,55 +97,14 @@ def fallback_labels(n: dict[str, Column]) -> Column:
     return F.when(n["arousal"] > 0, _pair("aroused", "breathless")).when(n["romance"] > 0, _pair("romantic", "soft")).when(n["dominance"] > 0, _pair("dominant", "commanding")).when(n["tension"] > 0, _pair("intense", "soft")).otherwise(_pair("soft", "calm"))
 
 
-def keyword_pattern(keyword: str) -> str:
-    """Case-insensitive pattern of a keyword: word borders beside letters and digits, any white space between words."""
-    body = r"\s+".join(re.sub(r"([^\w])", r"\\\1", w) for w in keyword.split(" "))
-    return f"(?iU){chr(92) + 'b' if keyword[:1].isalnum() else ''}{body}{chr(92) + 'b' if keyword[-1:].isalnum() else ''}"
-
-
-def _marked_tokens(source: Column) -> Column:
-    """The text's tokens, each with whether it denies what follows."""
-    denied = load(TABLE)["negations"]
-    bare = lambda t: F.regexp_replace(F.lower(t), r"""\A[.,!?;:"'()\[\]{}]+|[.,!?;:"'()\[\]{}]+\z""", "")
-    return F.transform(F.regexp_extract_all(source, F.lit(r"(?U)(\S+)"), F.lit(1)), lambda t: F.struct(t.alias("t"), bare(t).isin(denied).alias("no")))
-
-
-def _hits(tokens: Column, keyword: str) -> Column:
-    """Occurrences of a keyword without a negation among the three tokens before its own.
-
-    An occurrence of a phrase of m words begins in the first of m neighbouring tokens. Only tokens that hold the phrase's
-    first word are looked at.
-    """
-    words, pattern = keyword.split(" "), F.lit(keyword_pattern(keyword))
-
-    def count(x: Column, i: Column) -> Column:
-        text = x["t"] if len(words) == 1 else F.array_join(F.transform(F.slice(tokens, i + 1, len(words)), lambda y: y["t"]), " ")
-        no = lambda k: F.coalesce(F.get(tokens, i - k)["no"], F.lit(False))
-        return F.when(F.contains(F.lower(x["t"]), F.lit(words[0].lower())) & ~(no(1) | no(2) | no(3)), F.regexp_count(text, pattern)).otherwise(0)
-
-    return F.aggregate(F.transform(tokens, count), F.lit(0), lambda a, n: a + n)
-
-
 def keyword_scores(source: Column, lexicon: dict[str, list[str]] | None = None) -> Column:
-    """(score, label) of each label of the lexicon, in its order: 1 for each occurrence of a word, 2 for a phrase.
+    """(less: the score below zero, k, label) of each label of the lexicon, in its order: 1 for each occurrence of a word, 2 for a phrase.
 
-    The text is cut into tokens once, and only if it holds a keyword's first word at all.
+    One pass of an automaton over the whole text; see lexicons. The array sorts by score, then by order.
     """
     lexicon = load(TABLE)["lexicon"] if lexicon is None else lexicon
-    first_words = sorted({w.split(" ")[0].lower() for words in lexicon.values() for w in words})
-    may_hold = bind(F.lower(source), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in first_words), F.lit(False)))
-
-    def scored(tokens: Column | None) -> Column:
-        rows = []
-        for k, (label, words) in enumerate(lexicon.items()):
-            total = F.lit(0)
-            for word in dict.fromkeys(words) if tokens is not None else ():
-                weight = 2 if len(word.split()) > 1 else 1
-                total = total + _hits(tokens, word) * weight
-            rows.append(F.struct((-total).alias("less"), F.lit(k).alias("k"), F.lit(label).alias("label")))
-        return F.array(*rows)
-
-    return F.when(may_hold, bind(_marked_tokens(source), scored)).otherwise(scored(None))
+    labels = F.array(*map(F.lit, lexicon)) if lexicon else F.array().cast("array<string>")
+    return F.transform(lexicon_scores(source, lexicon, load(TABLE)["negations"]), lambda n, k: F.struct((-n).alias("less"), k.alias("k"), F.get(labels, k).alias("label")))
 
 
 def keyword_labels(source: Column, lexicon: dict[str, list[str]] | None = None, top: int = 2) -> Column:
@@ -176,7 +132,8 @@ def tag_emotions(lines: DataFrame, lexicon: dict[str, list[str]] | None = None)
     n = {k: F.col(f"__{k}") for k in load(TABLE)["cues"]}
     first = F.coalesce(rule_labels(F.col("__source")), context_labels(n))
     rows = rows.withColumn("__first", first)
-    found = F.when(F.col("__first").isNotNull(), F.col("__first")).otherwise(keyword_labels(F.col("__source"), lexicon))
+    undecided = F.when(F.col("__first").isNull(), F.col("__source"))  # no other text need leave the JVM
+    found = F.coalesce("__first", keyword_labels(undecided, lexicon))
     rows = rows.withColumn("__found", found)  # a column of its own: what follows reads it many times
     return rows.withColumn("emotions", finish_labels(F.col("__found"), fallback_labels(n))).drop("__source", "__first", "__found", *(f"__{k}" for k in n))
 
@@ -189,32 +146,6 @@ def lexicon_metadata(lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def explain_emotions(lines: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
-    """``lines`` with ``matches``: (label, keyword, start, end, negated) of every keyword occurrence in ``text``, in the lexicon's order.
-
-    Offsets need a cursor over each text, so this is an Arrow-batched function; scoring itself stays native.
-    """
+    """``lines`` with ``matches``: (label, keyword, start, end, negated) of every keyword occurrence in ``text``, in the lexicon's order."""
     lexicon = load(TABLE)["lexicon"] if lexicon is None else lexicon
-    longest = lambda ws: sorted(dict.fromkeys(ws), key=lambda w: (-len(w.split()), -len(w)))
-    patterns = [(label, w, re.compile(keyword_pattern(w).replace("(?iU)", "(?i)"))) for label, words in lexicon.items() for w in longest(words)]
-    denied = set(load(TABLE)["negations"])
-
-    @F.pandas_udf("array<struct<label: string, keyword: string, start: int, end: int, negated: boolean>>")
-    def found(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[dict]:
-            text = text or ""
-            low, tokens, out = text.lower(), None, []
-            for label, word, pattern in patterns:
-                if word.split()[0].lower() not in low:
-                    continue
-                for m in pattern.finditer(text):
-                    if tokens is None:
-                        found_at = list(re.finditer(r"\S+", text))
-                        starts, tokens = [t.start() for t in found_at], [t[0].lower().strip(EDGES) for t in found_at]
-                    at = bisect(starts, m.start()) - 1
-                    negated = any(t in denied for t in tokens[max(0, at - 3) : at])
-                    out.append({"label": label, "keyword": word, "start": m.start(), "end": m.end(), "negated": negated})
-            return out
-
-        return texts.map(one, na_action=None)
-
-    return lines.withColumn("matches", found("text"))
+    return lines.withColumn("matches", lexicon_matches(F.col("text"), lexicon, load(TABLE)["negations"]))

@@ -68,14 +68,14 @@ lines AS (SELECT *, CASE WHEN type = 'dialogue' AND lead(type) OVER w = 'narrati
 #: Phrases that are written before a document's words, by its id, so that rules, cues and keywords have something to find.
 PHRASES = ["", "she whispered", "he snarled", "a candle and wine", "you belong to me, under my control", "the storm was almost here", "not angry at all", "joyful and bold", "terrified and nervous", "is it late?", "please", "calm, steady and relaxed", "never sad"]
 CUE = f"({' '.join(f'WHEN {k} THEN {chr(39)}{p}{chr(39)}' for k, p in enumerate(PHRASES))} END)".replace("(WHEN", f"(CASE doc_id % {len(PHRASES)} WHEN", 1)
-CUE_TEXT = f"trim({CUE} || ' ' || regexp_replace(text, '[^a-zA-Z ]', ''{{}}))"
+CUE_TEXT = f"trim({CUE} || ' ' || text)"
 
 
 def cue_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), F.expr(CUE_TEXT.format("")).alias("text"))
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), F.expr(CUE_TEXT).alias("text"))
 
 
-CUE_SQL = "cues AS (SELECT doc_id AS line_id, " + CUE_TEXT.format(", 'g'") + " AS text FROM documents)"
+CUE_SQL = f"cues AS (SELECT doc_id AS line_id, {CUE_TEXT} AS text FROM documents)"
 
 LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'INFO' WHEN 'view' THEN 'DIAG' WHEN 'purchase' THEN 'UI' ELSE 'DEBUG' END"
 LOG = f"'[' || {LEVEL} || '][app] Memory usage: ' || cast(cast(floor(value) AS bigint) AS varchar{{}}) || ' MB'"
@@ -339,18 +339,26 @@ def emotion_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cue_text(spark, sf_dir).select("line_id", *(c.cast("long").alias(k) for k, c in emotions.cue_counts(F.col("text")).items()))
 
 
-def _label_sums() -> str:
-    one = lambda w: f"CAST(regexp_matches(tok, '(?i)^[^a-z]*{w}([^a-z]|$)') AS INT)"
-    return ", ".join(f"CAST(sum({' + '.join(map(one, ws))}) AS BIGINT) AS {label}" for label, ws in load("emotion_rules")["lexicon"].items())
+_LEXICON = load("emotion_rules")["lexicon"]
+#: Every place of a keyword, of one word each: tokens between white space, the words within them, and the three tokens before.
+HITS_SQL = rf"""{CUE_SQL}, lexicon(label, keyword) AS (VALUES {', '.join(f"('{k}', '{w}')" for k, ws in _LEXICON.items() for w in ws)}),
+t AS (SELECT line_id, regexp_split_to_array(text, '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+') AS tokens FROM cues),
+u AS (SELECT line_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM t),
+n AS (SELECT *, trim(lower(token), '.,!?;:"()[]{{}}' || chr(39)) IN ({', '.join("'" + w.replace("'", "''") + "'" for w in load("emotion_rules")["negations"])}) AS no FROM u),
+d AS (SELECT *, coalesce(lag(no, 1) OVER w, false) OR coalesce(lag(no, 2) OVER w, false) OR coalesce(lag(no, 3) OVER w, false) AS denied FROM n WINDOW w AS (PARTITION BY line_id ORDER BY i)),
+words AS (SELECT line_id, denied, unnest(regexp_split_to_array(lower(token), '[^\p{{L}}\p{{N}}_]+')) AS word FROM d),
+hits AS (SELECT line_id, label, keyword, denied FROM words JOIN lexicon ON word = keyword)"""
 
 
-_ANY_WORD = "|".join(w for ws in load("emotion_rules")["lexicon"].values() for w in ws)
+@query("emotion_match_counts", f"WITH {HITS_SQL} SELECT line_id, label, keyword, count(*) AS matches, count(*) FILTER (denied) AS negated FROM hits GROUP BY ALL")
+def emotion_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each keyword stands in each text, and how often denied: the places that emotion_matches gives, counted."""
+    found = emotions.explain_emotions(cue_text(spark, sf_dir)).select("line_id", F.explode("matches").alias("m"))
+    return found.groupBy("line_id", "m.label", "m.keyword").agg(F.count("*").alias("matches"), F.count_if("m.negated").alias("negated"))
 
 
-@query("emotion_keywords", f"""WITH {CUE_SQL}, t AS (SELECT line_id, regexp_split_to_array(text, '\\s+') AS tokens FROM cues), u AS (SELECT line_id, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS i FROM t),
-n AS (SELECT *, trim(lower(tok), '.,!?;:"()[]{{}}') IN ('not', 'never', 'no') AS no FROM u), d AS (SELECT *, coalesce(lag(no, 1) OVER w, false) OR coalesce(lag(no, 2) OVER w, false) OR coalesce(lag(no, 3) OVER w, false) AS denied FROM n WINDOW w AS (PARTITION BY line_id ORDER BY i)),
-s AS (SELECT line_id, {_label_sums()} FROM d WHERE NOT denied AND regexp_matches(tok, '(?i){_ANY_WORD}') GROUP BY line_id)
-SELECT line_id, {', '.join(f'coalesce({x}, 0) AS {x}' for x in load('emotion_rules')['lexicon'])} FROM cues LEFT JOIN s USING (line_id)""")
+@query("emotion_keywords", f"""WITH {HITS_SQL}, s AS (SELECT line_id, {', '.join(f"count(*) FILTER (label = '{k}') AS {k}" for k in _LEXICON)} FROM hits WHERE NOT denied GROUP BY line_id)
+SELECT line_id, {', '.join(f'coalesce({x}, 0) AS {x}' for x in _LEXICON)} FROM cues LEFT JOIN s USING (line_id)""")
 def emotion_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = cue_text(spark, sf_dir).withColumn("s", emotions.keyword_scores(F.col("text")))
     return scores.select("line_id", *((-F.col("s")[k]["less"]).cast("long").alias(label) for k, label in enumerate(load("emotion_rules")["lexicon"])))
@@ -631,7 +639,7 @@ def gender_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", T.gender_label(hint).alias("label"), T.gender_letter(hint).alias("letter"), T.canonical(hint).alias("shown"))
 
 
-@query("feminine_cues", "SELECT doc_id AS line_id, regexp_matches(' ' || lower(text) || ' ', ' (she|her|hers|herself|girl|woman|wife) ') OR regexp_matches(lower(text), 'kitten|princess|queen|mistress|lover|pet|baby girl|little one|brat') AS feminine, regexp_matches(text, '(?i)^\\s*([a-z0-9_]+[, ]+)?(said|asked|whispered|replied|murmured|sighed|laughed|sobbed|shouted|cried|whined|breathed|cursed)($|[^a-zA-Z0-9_])') OR regexp_matches(text, '(?i)[a-z0-9_]''s (voice|whisper)') OR regexp_matches(text, '(?i)" + speakers.VERBS + "') AS attributive FROM (" + "SELECT doc_id, " + CUE_TEXT.format(", 'g'") + " AS text FROM documents)")
+@query("feminine_cues", "SELECT doc_id AS line_id, regexp_matches(' ' || lower(text) || ' ', ' (she|her|hers|herself|girl|woman|wife) ') OR regexp_matches(lower(text), 'kitten|princess|queen|mistress|lover|pet|baby girl|little one|brat') AS feminine, regexp_matches(text, '(?i)^\\s*([a-z0-9_]+[, ]+)?(said|asked|whispered|replied|murmured|sighed|laughed|sobbed|shouted|cried|whined|breathed|cursed)($|[^a-zA-Z0-9_])') OR regexp_matches(text, '(?i)[a-z0-9_]''s (voice|whisper)') OR regexp_matches(text, '(?i)" + speakers.VERBS + "') AS attributive FROM (" + "SELECT doc_id, " + CUE_TEXT + " AS text FROM documents)")
 def feminine_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cue_text(spark, sf_dir).select("line_id", speakers.has_feminine_cue(F.col("text")).alias("feminine"), speakers.looks_like_attribution_text(F.col("text")).alias("attributive"))
 
