@@ -6,12 +6,15 @@ import io
 import re
 import zipfile
 import zlib
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talespark.sources.pdf import page_texts, unicode_map
+
 #: Characters of an upload that are kept, and the line that marks a cut.
 INGEST_LIMIT, INGEST_MARK = 100_000, "\n# [text truncated]"
 CATALOG_SCHEMA = "map<string, map<string, struct<voice_id: string, gender: string>>>"
@@ -27,28 +30,36 @@ def decode_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+#: What stands in a run of a DOCX paragraph besides its text.
+_IN_RUN = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n", f"{_WORD}noBreakHyphen": "-"}
+
+
+def _docx_blocks(parent: ElementTree.Element) -> Iterator[str]:
+    """Paragraphs and rows of tables, in order; cells are parted by tabs, a cell's own blocks by blanks."""
+    for x in parent:
+        if x.tag == f"{_WORD}p":
+            yield "".join(t.text or "" if t.tag == f"{_WORD}t" else _IN_RUN.get(t.tag, "") for r in x.iter(f"{_WORD}r") for t in r)
+        elif x.tag == f"{_WORD}tbl":
+            for row in x.iterfind(f"{_WORD}tr"):
+                yield "\t".join(" ".join(_docx_blocks(cell)) for cell in row.iterfind(f"{_WORD}tc"))
+        elif x.tag in (f"{_WORD}sdt", f"{_WORD}sdtContent"):
+            yield from _docx_blocks(x)
+
+
 def _docx(content: bytes) -> str:
-    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml"))
-    return "\n".join("".join(t.text or "" for t in p.iter(f"{space}t")) for p in body.iter(f"{space}p"))
+        document = ElementTree.fromstring(z.read("word/document.xml"))
+    return "\n".join(_docx_blocks(document.find(f"{_WORD}body")))
 
 
-def _unicode_map(stream: bytes) -> dict[bytes, str]:
-    """Codes of a font's map to Unicode: single ones and ranges."""
-    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
-    out = {}
-    for part in re.findall(rb"beginbfchar(.*?)endbfchar", stream, re.S):
-        out |= {bytes.fromhex(c.decode()): text(u) for c, u in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part)}
-    for part in re.findall(rb"beginbfrange(.*?)endbfrange", stream, re.S):
-        for low, high, first in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
-            for k in range(min(int(high, 16) - int(low, 16), 65535) + 1):
-                out[(int(low, 16) + k).to_bytes(len(low) // 2, "big")] = chr(int(first, 16) + k)
-    return out
+def _pdf(content: bytes) -> list[str]:
+    """The pages of a PDF file; if no page tree is left, what all its streams show, as one."""
+    return page_texts(content) or [_pdf_streams(content)]
 
 
-def _pdf(content: bytes) -> str:
-    """Text operators of the page streams, a line each: plain strings as Latin-1, hexadecimal ones by the fonts' maps to Unicode."""
+def _pdf_streams(content: bytes) -> str:
+    """Text operators of a broken file's streams, a line each: plain strings as Latin-1, hexadecimal ones by all fonts' maps to Unicode."""
     streams = []
     for stream in re.findall(rb"stream\r?\n(.*?)\r?\nendstream", content, re.S):
         try:
@@ -57,7 +68,7 @@ def _pdf(content: bytes) -> str:
             streams.append(stream)
     known: dict[bytes, str] = {}
     for stream in streams:
-        known |= _unicode_map(stream)
+        known |= unicode_map(stream)[0]
     wide = max((len(c) for c in known), default=1)
 
     def shown(token: bytes) -> str:
@@ -87,24 +98,35 @@ def file_kind(path: Column, mime: Column | None = None) -> Column:
 def extract_documents(spark: SparkSession, path: str, types: DataFrame | None = None) -> DataFrame:
     """(path, text, error) of text, DOCX and PDF files, told apart by file_kind(); ``types``: (path, mime) where types are declared.
 
-    A file that its reader rejects has printable characters as text and the reason in ``error``.
+    A file that its reader rejects has printable characters as text and the reason in ``error``. Pages are joined by newlines.
+    """
+    pages = read_pages(spark, path, types)
+    held = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"])  # as many as its one file holds
+    return pages.groupBy("path").agg(F.array_join(held, "\n").alias("text"), F.max("error").alias("error"))
+
+
+def read_pages(spark: SparkSession, path: str, types: DataFrame | None = None) -> DataFrame:
+    """(path, page, text, error): a row for each page of the PDF files below ``path``, one for any other file; pages count from 1.
+
+    Spark reads and deals the files, wherever they lie; a file is one task's. Files without a byte give no row.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     files = files.withColumn("mime", F.lit(None).cast("string")) if types is None else files.join(types.select("path", "mime"), "path", "left")
     files = files.withColumn("kind", file_kind(F.col("path"), F.col("mime")))
 
-    @F.pandas_udf("text string, error string")
+    @F.pandas_udf("struct<pages: array<string>, error: string>")
     def office(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        def one(kind: str, content: bytes) -> tuple[str, str | None]:
+        def one(kind: str, content: bytes) -> tuple[list[str], str | None]:
             try:
-                return (_docx if kind == "docx" else _pdf)(content), None
+                return _pdf(content) if kind == "pdf" else [_docx(content)], None
             except Exception as e:  # a broken file is data, not a failure of the job
-                return re.sub(r"[^\x20-\x7E\n\r\t]", "", content.decode("utf-8", "ignore")), f"{type(e).__name__}: {e}"
+                return [re.sub(r"[^\x20-\x7E\n\r\t]", "", content.decode("utf-8", "ignore"))], f"{type(e).__name__}: {e}"
 
-        return pd.DataFrame([one(k, c) for k, c in zip(kinds, contents)], columns=["text", "error"])
+        return pd.DataFrame([one(k, c) for k, c in zip(kinds, contents)], columns=["pages", "error"])
 
-    plain = files.filter("kind = 'txt'").select("path", decode_text(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
-    return plain.unionByName(files.filter("kind <> 'txt'").select("path", office("kind", "content").alias("x")).select("path", "x.*"))
+    plain = files.filter("kind = 'txt'").select("path", F.lit(1).alias("page"), decode_text(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
+    read = files.filter("kind <> 'txt'").select("path", office("kind", "content").alias("x")).select("path", F.posexplode("x.pages").alias("page", "text"), "x.error")
+    return plain.unionByName(read.select("path", (F.col("page") + 1).alias("page"), "text", "error"))
 
 
 def bounded(text: Column, limit: int = INGEST_LIMIT) -> Column:
