@@ -53,8 +53,3 @@ def append_names(known: DataFrame, fresh: DataFrame) -> DataFrame:
     low = F.lower(F.trim("name"))
     first = fresh.filter(F.trim("name") != "").groupBy(low.alias("__low")).agg(F.min("name").alias("name"))
     return first.join(known.select(low.alias("__low")).distinct(), "__low", "left_anti").select("name")
-
-
-def publish(batch: DataFrame, path: str, batch_id: int) -> None:
-    """Write a batch so that a repeated attempt replaces it: one folder per batch, committed as a whole."""
-    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from talespark.operators.logs import LEVELS, parse_log
 from talespark.operators.speakers import Cast, Fold
-from talespark.sources.writers import publish
+from talespark.sources.published import Published
 
 #: What the speaker fold reads of a line.
 LINE = ("text", "type", "raw", "attribution")
@@ -28,9 +28,11 @@ def sessions(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("events"))
 
 
-def resumable_sink(entries: DataFrame, path: str, checkpoint: str, every: str = "120 seconds", once: bool = False) -> StreamingQuery:
-    """Publish new entries batch by batch; a restart goes on after the last committed batch, a repeated batch replaces itself."""
-    writer = entries.writeStream.foreachBatch(lambda batch, n: publish(batch, path, n)).option("checkpointLocation", checkpoint)
+def resumable_sink(entries: DataFrame, path: str, checkpoint: str, every: str = "120 seconds", once: bool = False, index_column: str | None = None, name: str = "stream") -> StreamingQuery:
+    """Publish new entries batch by batch in two phases (published.Published); a restart goes on after the last committed batch, a repeated batch changes nothing."""
+    entries.sparkSession.dataSource.register(Published)
+    options = {"path": path, "checkpointLocation": checkpoint, "name": name} | ({"indexColumn": index_column} if index_column else {})
+    writer = entries.writeStream.format("published").options(**options)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
