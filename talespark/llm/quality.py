@@ -101,7 +101,7 @@ def risk_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.05, delta
     repeat an id are one vote, that of the least counts: the bound needs votes that do not depend on each other.
     """
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("quality")).filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    counted = counts.join(rated, "doc_id")
+    counted = counts.join(cut(rated), "doc_id")  # written, so Spark can split an id that many rows share
     votes = [c for c in counted.columns if c not in ("doc_id", "quality")]
     once = counted.groupBy("doc_id", "quality").agg(F.min(F.struct(*votes)).alias("v")).select("doc_id", "quality", "v.*")
     known = _measures(once.filter(~base_failed())).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
@@ -122,7 +122,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum, rules_broken).
 
     A text is kept if it passes the base rule and lies above no risk-controlled cutoff of its stratum (risk_cutoffs).
-    Null and empty texts have no words and fail the base rule. A null stratum is a stratum of its own. Repeated rows and
+    Null and empty texts have no words and fail the base rule. A null stratum is one with the empty stratum. Repeated rows and
     repeated or null ids each get a row. Extra columns, whatever their names, are not read. Without labels, only the
     base rule rejects. An empty table gives no rows.
     """

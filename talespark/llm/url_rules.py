@@ -100,6 +100,6 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     left = known.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     left = left.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
     left = left.withColumn("fit", fixed_rule(F.col("host"), F.col("path"), rules))
-    blocked = match_rules(left.filter("fit is null"), mined).withColumn("hit", F.lit(True))
+    blocked = cut(match_rules(left.filter("fit is null"), mined).withColumn("hit", F.lit(True)))  # written, so Spark can split a url that many pages share
     verdict = F.when(F.col("fit").isNotNull(), F.col("fit")["verdict"]).when(F.col("hit"), "block").otherwise("allow")
     return left.join(blocked, "url", "left").select("page_id", "host", "path", F.col("fit")["rule"].alias("rule"), verdict.alias("verdict"))
