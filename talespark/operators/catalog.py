@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from talespark.functions.text import candidate_key, display_name, normalize_name, strip
 
 
-def flatten_catalog(groups: DataFrame, column: str = "groups") -> DataFrame:
-    """(name_norm, display, voice_id, gender, ord) of a map group -> name -> (voice_id, gender).
+def flatten_catalog(groups: DataFrame, column: str = "groups", by: tuple[str, ...] = ()) -> DataFrame:
+    """(``by``, name_norm, display, voice_id, gender, ord) of a map group -> name -> (voice_id, gender); ``by``: what tells the catalogs apart, if there are many.
 
     Of names that are one after normalisation the first is kept; what it lacks is taken from later ones.
     """
-    entries = groups.select(F.posexplode(F.map_entries(column)).alias("g", "group")).select("g", F.posexplode(F.map_entries("group.value")).alias("k", "entry"))
-    rows = entries.select(normalize_name(F.col("entry.key")).alias("name_norm"), F.col("entry.key").alias("display"), F.col("entry.value.voice_id").alias("voice_id"), F.col("entry.value.gender").alias("gender"), F.struct("g", "k").alias("ord"))
+    entries = groups.select(*by, F.posexplode(F.map_entries(column)).alias("g", "group")).select(*by, "g", F.posexplode(F.map_entries("group.value")).alias("k", "entry"))
+    rows = entries.select(*by, normalize_name(F.col("entry.key")).alias("name_norm"), F.col("entry.key").alias("display"), F.col("entry.value.voice_id").alias("voice_id"), F.col("entry.value.gender").alias("gender"), F.struct("g", "k").alias("ord"))
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("ord", c)))[c].alias(c)
-    return rows.filter("name_norm <> ''").groupBy("name_norm").agg(F.min(F.struct("ord", "display"))["display"].alias("display"), first("voice_id"), first("gender"), F.min("ord").alias("ord"))
+    return rows.filter("name_norm <> ''").groupBy(*by, "name_norm").agg(F.min(F.struct("ord", "display"))["display"].alias("display"), first("voice_id"), first("gender"), F.min("ord").alias("ord"))
 
 
 def flatten_tags(tags: DataFrame, column: str = "tags") -> DataFrame:

@@ -13,6 +13,7 @@ from talespark.data import load
 from talespark.functions import text as T
 from talespark.operators import catalog, chunking, emotions, logs, names, projects, scripts, speaker_blocks, speakers, split
 from talespark.sources import readers, writers
+from talespark.sources.shared import session_folder
 from talespark.streaming import streams
 
 
@@ -502,9 +503,15 @@ def spoken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 GROUPS = "map('leads', map('Mara Lind', named_struct('voice_id', cast(null AS string), 'gender', 'F'), 'customer', named_struct('voice_id', 'v7', 'gender', 'M')), 'rest', map('mara  lind', named_struct('voice_id', 'v8', 'gender', 'F')))"
 
 
-@query("catalog_flatten", "SELECT 'mara lind' AS name_norm, 'Mara Lind' AS display, 'v8' AS voice_id, 'F' AS gender UNION ALL SELECT 'customer', 'customer', 'v7', 'M'")
+@query("catalog_flatten", """WITH e AS (SELECT conv_id, role || ' ' || turn % 2 AS name_norm, turn, role || ' ' || turn % 2 || repeat('!', turn) AS display, CASE WHEN turn >= 2 THEN 'v' || turn END AS voice_id, CASE turn % 3 WHEN 1 THEN 'F' WHEN 2 THEN 'M' END AS gender FROM conversations)
+SELECT conv_id, name_norm, arg_min(display, turn) AS display, arg_min(voice_id, turn) FILTER (voice_id IS NOT NULL) AS voice_id, arg_min(gender, turn) FILTER (gender IS NOT NULL) AS gender FROM e GROUP BY conv_id, name_norm""")
 def catalog_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.flatten_catalog(spark.sql(f"SELECT {GROUPS} AS groups")).drop("ord")
+    """A JSON catalog for each conversation: group is the role, names are spelled in as many ways as there are turns."""
+    entry = F.expr("struct(turn, '\"' || role || ' ' || turn % 2 || repeat('!', cast(turn AS int)) || '\":' || to_json(struct(CASE WHEN turn >= 2 THEN 'v' || turn END AS voice_id, CASE turn % 3 WHEN 1 THEN 'F' WHEN 2 THEN 'M' END AS gender)) AS json)")
+    joined = lambda c: F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["json"]), ","), F.lit("}"))
+    groups = _t(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(joined(entry).alias("names"))
+    catalogs = groups.groupBy("conv_id").agg(joined(F.struct("role", F.concat(F.lit('"'), "role", F.lit('":'), "names").alias("json"))).alias("json"))
+    return catalog.flatten_catalog(catalogs.select("conv_id", F.from_json("json", readers.CATALOG_SCHEMA).alias("groups")), by=("conv_id",)).drop("ord")
 
 
 @query("display_names", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Mara Lind' ELSE upper(role[1]) || role[2:] END AS display FROM conversations")
@@ -544,10 +551,39 @@ def chunk_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("long") for c in ("line_no", "part")})
 
 
-@query("lexicon_shared", "SELECT 'anxious' AS keyword, 'fearful,tense' AS labels UNION ALL SELECT 'soft', 'calm,quiet'")
+LEXICON_ROWS = "SELECT p_brand AS label, unnest(string_split(p_name, ' ')) AS keyword FROM part"
+
+
+def lexicon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon of the parts: brands with the words of their names, every other part's in capitals."""
+    name = F.expr("CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END")
+    return _t(spark, sf_dir, "part").select(F.col("p_brand").alias("label"), F.posexplode(F.split(name, " ")).alias("idx", "keyword"))
+
+
+@query("lexicon_shared", f"SELECT lower(keyword) AS keyword, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM ({LEXICON_ROWS}) GROUP BY 1 HAVING count(DISTINCT label) > 1")
 def lexicon_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("tense", 0, "Anxious"), ("fearful", 0, "anxious"), ("calm", 0, "soft"), ("quiet", 0, "soft"), ("quiet", 1, "low")]
-    return emotions.lexicon_metadata(spark.createDataFrame(rows, "label string, idx int, keyword string"))[1].withColumn("labels", F.array_join("labels", ","))
+    return emotions.lexicon_metadata(lexicon_rows(spark, sf_dir))[1].withColumn("labels", F.array_join("labels", ","))
+
+
+@query("lexicon_counts", f"SELECT label, count(*) AS keywords FROM ({LEXICON_ROWS}) GROUP BY label")
+def lexicon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emotions.lexicon_metadata(lexicon_rows(spark, sf_dir))[0]
+
+
+@query("story_log", f"WITH {LINES_SQL} SELECT story_id, line_no, text, type, attribution, 'run' AS run_id FROM lines")
+def story_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as a JSON log of a run, and read back."""
+    lines, folder = split.split_lines(prose(spark, sf_dir)).drop("raw"), session_folder(spark, "story-log")
+    writers.write_lines_json(lines, folder, "run")
+    return spark.read.schema("story_id string, line_no long, text string, type string, attribution string, run_id string").json(folder)
+
+
+@query("voice_mappings", "SELECT 'p' || s_nationkey AS project, s_name AS character, 'v' || (s_suppkey % 9) AS voice_id FROM supplier")
+def voice_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voices of each project's characters written as JSON, and read back."""
+    rows = _t(spark, sf_dir, "supplier").select(F.expr("'p' || s_nationkey").alias("project"), F.col("s_name").alias("character"), F.expr("'v' || (s_suppkey % 9)").alias("voice_id"))
+    writers.write_voice_mappings(rows, folder := session_folder(spark, "voices"))
+    return readers.read_voice_mappings(spark, folder)
 
 
 @query("file_names", "SELECT p_partkey, replace(p_brand, '#', '') || '_' || replace(p_type, ' ', '_') AS file FROM part")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -15,7 +16,7 @@ LISTING = "key string, last_modified timestamp, size long"
 
 def _objects(path: str, suffix: str) -> list[tuple[int, str, int]]:
     """(time in nanoseconds, key, size) of the files below ``path``, in that order; keys are relative to it."""
-    system, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file://{path}")
+    system, root = fs.FileSystem.from_uri(re.sub(r"\Afile:/(?!/)", "file:///", path))
     root = root.rstrip("/")
     found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
     return sorted((i.mtime_ns or 0, i.path[len(root) + 1 :], i.size or 0) for i in found if i.type == fs.FileType.File and i.path.endswith(suffix))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from uuid import uuid4
@@ -40,7 +41,7 @@ class _Place:
         self.path, self.column = options["path"], options.get("indexcolumn") or options.get("indexColumn")
 
     def open(self) -> tuple[fs.FileSystem, str]:
-        system, root = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("/") else f"file://{self.path}")
+        system, root = fs.FileSystem.from_uri(re.sub(r"\Afile:/(?!/)", "file:///", self.path))
         return system, root.rstrip("/")
 
     def manifests(self) -> dict[str, dict]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df``, written to the shared folder, without its lineage; it survives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def session_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the session's JVM ends."""
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid4()}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return folder
