@@ -93,9 +93,11 @@ class Cast:
                 if gender in ("M", "F") or key not in self.gender:
                     self.gender[key] = gender if gender in ("M", "F") else "U"
         self.known = list(self.gender)
+        self.padded = [(n, f" {n} ") for n in self.known]
         self.single = [n for n in self.known if " " not in n]
         self.users = list(dict.fromkeys(k for n, _ in self.members if (k := normal(n))))
         self.originals = {normal(n): n for n, _ in self.members}
+        self.owned = [(n, [t + end for t in n.split() for end in ("'s", "’s", "s")]) for n in self.users]
         self.member_keys = set(self.users)
         self.forms: dict[bool | None, list[tuple[str, str, re.Pattern]]] = {}
 
@@ -107,8 +109,12 @@ class Cast:
 
     def named(self, text: str) -> str | None:
         """The first known name that stands in the text as whole words."""
-        padded = f" {normal(text)} "
-        return next((n for n in self.known if f" {n} " in padded), None)
+        return self.named_in(normal(text))
+
+    def named_in(self, whole: str) -> str | None:
+        """named() of a text in its normal form."""
+        padded = f" {whole} "
+        return next((n for n, p in self.padded if p in padded), None)
 
     def by_verb(self, text: str) -> str | None:
         """A known one-word name beside a speech verb, or within three tokens of one."""
@@ -134,11 +140,13 @@ class Cast:
             first = name.split()[0]
             if low.startswith(first) and not low[len(first) : len(first) + 1].isalpha():
                 return name
-        for name in self.users:
-            if any(f"{t}'s" in low or f"{t}’s" in low or f"{t}s" in low for t in name.split()):
+        for name, owned in self.owned:
+            if any(o in low for o in owned):
                 return name
-        free = [n for n in self.users if not any(_word_in(t, low) for t in n.split())]
         padded = f" {low} "
+        if not any(f" {w} " in padded for w in ("he", "him", "his", "she", "her", "hers")):
+            return None
+        free = [n for n in self.users if not any(_word_in(t, low) for t in n.split())]
         for gender, words in (("M", ("he", "him", "his")), ("F", ("she", "her", "hers"))):
             if any(f" {w} " in padded for w in words) and len(one := self.of(gender, free)) == 1:
                 return one[0]
@@ -213,9 +221,9 @@ class Fold:
     # What lines say ---------------------------------------------------------------------------------------------------
 
     def _signs(self, text: str) -> Signs:
-        if named := self.cast.named(text):
-            return Signs(named)
         whole = normal(text)
+        if named := self.cast.named_in(whole):
+            return Signs(named)
         inside, verb = next((n for n in self.cast.users if n in whole), None), self.cast.by_verb(text)
         if verb:
             return Signs(None, inside, verb)

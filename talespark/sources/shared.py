@@ -32,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder as compressed Parquet and read from there, for large tables; it goes with the session."""
+    df.write.parquet(folder := session_folder(df.sparkSession, "kept"))
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def session_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, deleted when the session's JVM ends."""
     folder = f"{checkpoint_dir(spark)}/{name}-{uuid4()}"
