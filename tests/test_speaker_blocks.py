@@ -62,6 +62,8 @@ def test_one_long_story_lies_in_many_parts(spark):
     found = sorted((r.line_no, r.character) for r in got.collect())
     assert found == [(r[1], r[2]) for r in by_hand(rows, CASTS[0], {"mode": "strict"})]
     assert detect_speakers(lines.limit(0), CASTS[0]).count() == 0
+    never_null = lines.limit(3).withColumns({"type": F.lit("narration"), "text": F.lit("Bob."), "raw": F.lit("Bob.")})
+    assert {r.character for r in detect_speakers(never_null, CASTS[0]).collect()} == {"Bob"}
 
 
 def test_effects_compose_associatively():
