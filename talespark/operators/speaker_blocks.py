@@ -242,9 +242,10 @@ def _numbered(lines: DataFrame) -> DataFrame:
     Sorted by ranges of (story, line number), so a long story lies in many parts; only the parts' row counts, one number
     for each part, come to the driver. Lines are written first, as Spark reads them twice to find the ranges.
     """
-    told = kept(lines.select(F.struct(*(F.col(f"`{c}`") for c in lines.columns)).alias("row"), F.monotonically_increasing_id().alias("own")))
+    named = lines.select(F.struct(*(F.col(f"`{c}`") for c in lines.columns)).alias("row"), F.monotonically_increasing_id().alias("own"))
     order = [F.col("row.story_id"), F.col("row.line_no").asc_nulls_last(), F.xxhash64("row.text", "row.type", "row.raw", "row.attribution"), F.col("own")]
-    dealt = kept(told.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("place"), "row"))
+    with kept(named) as told:
+        dealt = cut(told.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("place"), "row"))
     part = F.shiftright("place", 33)
     counts = sorted(map(tuple, dealt.groupBy(part.alias("part")).count().collect()))
     starts, so_far = [], 0

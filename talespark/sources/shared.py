@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared folder as compressed Parquet and read from there, for large tables; it goes with the session."""
-    df.write.parquet(folder := session_folder(df.sparkSession, "kept"))
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df``, written to the shared folder as compressed Parquet and read from there; deleted at the end, so for what is written anew within."""
+    spark, folder = df.sparkSession, session_folder(df.sparkSession, "kept")
+    df.write.parquet(folder)
+    try:
+        yield spark.read.schema(df.schema).parquet(folder)
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def session_folder(spark: SparkSession, name: str) -> str:
