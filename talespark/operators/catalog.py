@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talespark.functions.text import candidate_key, display_name, normalize_name, strip
+from talespark.sources.shared import cut
 
 
 def flatten_catalog(groups: DataFrame, column: str = "groups", by: tuple[str, ...] = ()) -> DataFrame:
@@ -41,30 +42,37 @@ def map_names(users: DataFrame, catalog: DataFrame, user_col: str = "name") -> D
     """(name, canonical): the catalog entry that each user name means best.
 
     The whole name goes before its tokens; equal before a token's equality, a token's beginning, containment; then the
-    longer entry, then the alphabet. Equalities and beginnings meet by hashed keys (each token's beginnings are posted);
-    containment is looked up only for names that nothing better has matched, by an index of three-letter runs.
+    longer entry, then the alphabet. Equalities and beginnings meet by hashed keys (each token's beginnings are posted), each
+    with its best entry alone; containment is looked up only for names that nothing better has matched, by an index of
+    three-letter runs. What is posted of the catalog is many times its size, so it is shuffled and never broadcast.
     """
     norm = users.select(F.col(user_col).alias("name"), normalize_name(F.col(user_col)).alias("norm")).filter("norm <> ''").distinct()
     whole = norm.select("name", F.lit(0).alias("part"), F.col("norm").alias("variant"))
     tokens = norm.select("name", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("variant")).filter("variant <> norm").select("name", F.lit(1).alias("part"), "variant")
     asked = whole.unionByName(tokens)
-    entries = catalog.select("name_norm").distinct()
+    # Dealt by number: a catalog of a few MB would otherwise be one part, and what is posted of it one task's work.
+    dealt = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = cut(catalog.select("name_norm").repartition(dealt, "name_norm").distinct())
     each = entries.select("name_norm", F.explode(F.array_distinct(F.split("name_norm", " "))).alias("token"))
     keys = entries.select("name_norm", F.lit(0).alias("kind"), F.col("name_norm").alias("variant"))
     keys = keys.unionByName(each.select("name_norm", F.lit(1).alias("kind"), F.col("token").alias("variant")))
     begins = F.transform(F.sequence(F.lit(1), F.length("token")), lambda n: F.substr("token", F.lit(1), n))
     keys = keys.unionByName(each.select("name_norm", F.lit(2).alias("kind"), F.explode(begins).alias("variant")))
-    best = F.min(F.struct((F.col("part") * 10 + F.col("kind")).alias("score"), (-F.length("name_norm")).alias("less"), "name_norm"))
+    posted = keys.groupBy("variant").agg(F.min(F.struct("kind", (-F.length("name_norm")).alias("less"), "name_norm")).alias("hit"))
     # An entry is judged by its best variant of the whole name, by tokens only without one; the least score does that.
-    near = asked.join(keys, "variant").groupBy("name").agg(best.alias("best"))
+    near = cut(_best(asked.join(posted.hint("merge"), "variant")))
     unmatched = whole.join(near.filter("best.score < 10").select("name"), "name", "left_anti")
-    inside = _containing(unmatched, entries).withColumn("kind", F.lit(3)).groupBy("name").agg(best.alias("best"))
+    inside = cut(_best(_containing(unmatched, entries)))
     rest = tokens.join(near.select("name").unionByName(inside.select("name")).distinct(), "name", "left_anti")
-    deep = _containing(rest, entries).withColumn("kind", F.lit(3)).groupBy("name").agg(best.alias("best"))
-    every = near.unionByName(inside).unionByName(deep)
+    every = near.unionByName(inside).unionByName(_best(_containing(rest, entries)))
     return every.groupBy("name").agg(F.min("best")["name_norm"].alias("canonical"))
 
 
+def _best(met: DataFrame) -> DataFrame:
+    """(name, best): the least (score, less, name_norm) of a name's variants with their hits."""
+    return met.groupBy("name").agg(F.min(F.struct((F.col("part") * 10 + F.col("hit.kind")).alias("score"), "hit.less", "hit.name_norm")).alias("best"))
+
+
 def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
     """Distinct runs of each of ``sizes`` characters."""
     runs = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
@@ -72,13 +80,20 @@ def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
 
 
 def _containing(asked: DataFrame, entries: DataFrame) -> DataFrame:
-    """``asked`` (name, part, variant) with each entry that contains the variant: found by the variant's rarest run of three characters, or itself if it is shorter."""
+    """``asked`` (name, part, variant) with the ``hit`` (kind, less, name_norm) of the best entry that contains the variant, if any.
+
+    Entries are found by the variant's rarest run of three characters, or itself if it is shorter; only runs that are asked for are posted.
+    """
+    variants = asked.select("variant").distinct()
+    own = F.when(F.length("variant") >= 3, _grams(F.col("variant"), (3,))).otherwise(F.array("variant"))
+    looked = variants.select("variant", F.explode(own).alias("gram"))
     posted = entries.select("name_norm", F.explode(_grams(F.col("name_norm"), (1, 2, 3))).alias("gram"))
     uses = posted.groupBy("gram").agg(F.count("*").alias("uses"))
-    own = F.when(F.length("variant") >= 3, _grams(F.col("variant"), (3,))).otherwise(F.array("variant"))
-    looked = asked.select("name", "part", "variant", F.explode(own).alias("gram")).join(uses, "gram", "left")
-    rare = looked.groupBy("name", "part", "variant").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram"))["gram"].alias("gram"))
-    return rare.join(posted, "gram").filter(F.contains("name_norm", "variant")).drop("gram")
+    rare = looked.join(uses, "gram", "left").groupBy("variant").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("r"))
+    rare = cut(rare.filter("r.uses > 0").select("variant", "r.gram"))  # a run that no entry has: nothing contains the variant
+    found = posted.join(rare.select("gram").distinct(), "gram", "left_semi").hint("merge").join(rare, "gram").filter(F.contains("name_norm", "variant"))
+    hits = found.groupBy("variant").agg(F.min(F.struct(F.lit(3).alias("kind"), (-F.length("name_norm")).alias("less"), "name_norm")).alias("hit"))
+    return asked.join(hits, "variant")
 
 
 def guess_genders(names: DataFrame, catalog: DataFrame, name_col: str = "name") -> DataFrame:

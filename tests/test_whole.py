@@ -61,3 +61,15 @@ def test_name_map_knows_every_customer(spark, tmp_path):
         if scored:
             want[u] = min(scored)[2]
     assert {r.name: r.canonical for r in core.QUERIES["name_map"](spark, at).collect()} == want and want["Supplier#0055"] == "customer 0055" and want["Lee"] == "ann lee"
+
+
+def test_name_map_broadcasts_nothing_posted(spark, tmp_path, monkeypatch):
+    """What is posted of a small file of names is many times its size: it must not pass through the driver."""
+    from talespark.operators import catalog
+
+    plans, cut = [], catalog.cut
+    monkeypatch.setattr(catalog, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    at = folder(spark, tmp_path / "t", customer=([(k, f"Customer#{k:09d}") for k in range(500)], "c_custkey long, c_name string"), supplier=([(f"Supplier#{k:09d}",) for k in range(40, 600, 40)], "s_name string"))
+    assert {r.name: r.canonical for r in core.QUERIES["name_map"](spark, at).collect()} == {f"Supplier#{k:09d}": f"customer {k:09d}" for k in range(40, 500, 40)}
+    posted = [p for p in plans if "Generate" in p and "Join" in p]
+    assert posted and any("SortMergeJoin" in p for p in posted) and "BroadcastHashJoin" not in plans[1]
