@@ -27,6 +27,17 @@ def test_emotion_queries_read_whole_texts(spark, tmp_path):
     assert {r.line_id for r in core.QUERIES["emotion_matches"](spark, at).collect()} >= {13 * 3}
 
 
+def test_context_cues_are_found_within_marks(spark, tmp_path):
+    """emotion_context reads letters and blanks: marks within a cue, or digits, do not hide it."""
+    cues = load("emotion_rules")["cues"]
+    texts = [f"so {c[:2]}-{c[2:]} it went" for cs in cues.values() for c in cs if c.isalpha()]
+    at = folder(spark, tmp_path / "t", documents=([(13 * k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r.line_id: r.asDict() for r in core.QUERIES["emotion_context"](spark, at).collect()}
+    plain = [re.sub("[^a-zA-Z ]", "", t).strip() for t in texts]
+    assert {k: {s: r[s] for s in cues} for k, r in got.items()} == {13 * k: {s: sum(c in t for c in cs) for s, cs in cues.items()} for k, t in enumerate(plain)}
+    assert all(any(r[s] for s in cues) for r in got.values())
+
+
 def test_scripts_hold_every_line_of_a_message(spark, tmp_path):
     rows = [(1, 0, "user", "first\nsecond *crash* third"), (1, 1, "Zoe", "a\n\nb"), (1, 2, "user", "go\nnow"), (1, 3, "user", "in\nout"), (1, 4, "user", "hidden\nnote"), (1, 5, "user", "\nlate")]
     at = folder(spark, tmp_path / "t", conversations=(rows, "conv_id long, turn long, role string, text string"))
