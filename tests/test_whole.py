@@ -38,6 +38,14 @@ def test_context_cues_are_found_within_marks(spark, tmp_path):
     assert all(any(r[s] for s in cues) for r in got.values())
 
 
+def test_feminine_cues_are_found_beside_marks(spark, tmp_path):
+    """feminine_cues reads letters and blanks: a word beside a mark is one between blanks."""
+    texts = ["it was her, then", "so (she) went", "wife!", "a pe-t", "the sheet", "1said 2it"]
+    at = folder(spark, tmp_path / "t", documents=([(13 * k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r.line_id // 13: (r.feminine, r.attributive) for r in core.QUERIES["feminine_cues"](spark, at).collect()}
+    assert got == {0: (True, False), 1: (True, False), 2: (True, False), 3: (True, False), 4: (False, False), 5: (False, True)}
+
+
 def test_scripts_hold_every_line_of_a_message(spark, tmp_path):
     rows = [(1, 0, "user", "first\nsecond *crash* third"), (1, 1, "Zoe", "a\n\nb"), (1, 2, "user", "go\nnow"), (1, 3, "user", "in\nout"), (1, 4, "user", "hidden\nnote"), (1, 5, "user", "\nlate")]
     at = folder(spark, tmp_path / "t", conversations=(rows, "conv_id long, turn long, role string, text string"))
