@@ -10,6 +10,8 @@ from uuid import uuid4
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from talespark.sources.shared import bound_batches  # noqa: F401
+
 #: Characters that separate words everywhere in this subpackage.
 SEPARATORS = " \t\n\x0b\x0c\r"
 #: One word, as a Java or Python pattern.
@@ -97,26 +99,6 @@ def remove(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
         system.delete(place, True)
 
 
-def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Let this session hand at most about ``most`` bytes (or one row) to Python at a time, unless it is set to less.
-
-    Both the executor's JVM and its Python workers hold a batch, and the JVM keeps the memory: at Spark's 64 MB, batches of
-    long texts take several hundred MB of an executor. The setting stays, as DataFrames run later than they are made.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < _bytes(spark.conf.get(key)) <= most:
-        spark.conf.set(key, str(most))
-
-
-def _bytes(size: str) -> int:
-    """A size as Spark writes it: bytes, or a number of k, m or g."""
-    number, unit = size.lower().rstrip("b"), 1
-    for k, u in enumerate("kmgt", 1):
-        if number.endswith(u):
-            number, unit = number[:-1], 1 << 10 * k
-    return int(number) * unit
-
-
 def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` whose ``column`` holds about ``most`` bytes or a single row, so memory follows bytes, not rows."""
     col = batch.column(column)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,13 @@ def test_columns(spark):
 @pytest.mark.parametrize("text", ["é é", "x.é", "éin"])
 def test_borders_know_letters_of_all_scripts(text):
     assert [tuple(m) for m in Lexicon([("l", ("é", "in"))], NO).matches(text)] == scan(text, {"l": ["é", "in"]})
+
+
+def test_batches_follow_bytes(spark):
+    """A worker is handed a few MB at a time, however many and long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    docs = spark.range(40, numPartitions=1).select("id", F.repeat(F.lit("sad x "), 1 << 18).alias("text"))
+    counted = docs.select(F.size(lexicon_matches(F.col("text"), {"l": ["sad"]}, NO)).alias("n"))
+    assert [r.n for r in counted.limit(2).collect()] == [1 << 18] * 2
+    handed = F.arrow_udf(lambda texts: pa.array([len(texts)] * len(texts), pa.int64()), "long")
+    assert max(r.n for r in docs.select(handed("text").alias("n")).collect()) <= 4
