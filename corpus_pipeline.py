@@ -7,7 +7,7 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talespark.llm import bpe, mixing, nearcopies, ordinal, repeats
+from talespark.llm import bpe, mixing, nearcopies, ordinal, repeats, simhash
 from talespark.llm.common import bound_batches, checkpoint_dir, remove, table
 
 
@@ -23,13 +23,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: texts whose five-word shingles are 0.8 or more alike, and what these link.
+    """One document of each group of near copies: texts whose SimHash fingerprints differ in 4 bits or less, texts whose
+    five-word shingles are 0.8 or more alike, which SimHash alone mostly misses, and what these link.
 
     The least id of a group stays, with every row that bears it. Texts without words, or null, are one group. Rows with a
     null id stay. Columns of any names stay. An empty table gives an empty one.
     """
     bound_batches(spark)
-    return nearcopies.one_per_group(docs, shingle=5, least=0.8)
+    return simhash.one_per_group(docs, more=nearcopies.fingerprint_links)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

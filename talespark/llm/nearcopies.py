@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices
 from .components import connected_components
+from .simhash import fingerprint
 
 #: Bands of MinHash values and the values in each: a pair of similarity 0.8 shares no band about 3 times in a million.
 BANDS, ROWS = 24, 4
@@ -148,6 +149,27 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.select("id", "digest").join(found, "digest").select(F.col("id").alias("doc_id"), "component_id")
 
 
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, 1):
+            fps = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["digest", "fp"])
+
+
+def fingerprint_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, bucket: int = 4096, most_shingles: int = 1 << 21) -> DataFrame:
+    """The links of near_copies() as links (a, b) of the texts' SimHash fingerprints, for simhash_components()."""
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    prints = cut(plain.mapInArrow(_digests(shingle), "id long, digest binary, size long, keys array<long>"))
+    nodes = prints.groupBy("digest").agg(F.min("id").alias("rep"))
+    links = cut(_links(plain, prints, nodes, shingle, least, bucket, most_shingles))
+    linked = links.select(F.col("a").alias("digest")).unionByName(links.select(F.col("b").alias("digest"))).distinct()
+    asked = cut(nodes.join(linked, "digest", "left_semi").select("digest", F.coalesce("rep", F.lit(0)).alias("rid")))
+    texts = plain.mapInArrow(_texts, "id long, digest binary, text string").select("digest", F.coalesce("id", F.lit(0)).alias("rid"), "text")
+    fps = cut(texts.join(asked, ["digest", "rid"], "left_semi").select("digest", "text").mapInArrow(_fingerprints, "digest binary, fp long").distinct())
+    ends = lambda c: fps.select(F.col("digest").alias(c), F.col("fp").alias(f"fp_{c}"))
+    return links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+
+
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id names their group of near copies; the others go. All columns stay.
 

@@ -191,13 +191,14 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, parts: int = 3, bucket: i
     return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links(radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, parts: int | None = None, seed: int = 42) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, parts: int | None = None, seed: int = 42, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id): near-duplicate groups of whole texts.
 
     Texts are lower-cased in A-Z, cut into words, and hashed as ``shingle``-word runs, repeats included (fewer words:
     the whole sequence; none: fingerprint zero). Equal fingerprints are one node, so copies cost one row; different
     ones are linked at ``radius`` or fewer differing bits. component_id is the least id reachable. ``parts`` (by default
-    parts_for() the number of distinct fingerprints) sets the cost, never the result.
+    parts_for() the number of distinct fingerprints) sets the cost, never the result. ``more``: a function of ``docs`` whose
+    links (a, b), of fingerprints, join what differs by more bits.
 
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and repeated ids each get a
     row; a null id gets a row and names no component unless all its group's ids are null, which leaves it null. Other
@@ -205,7 +206,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle, seed))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    links = cut(connected_components(link_fingerprints(nodes, radius, parts or parts_for(nodes.count(), radius))).withColumnRenamed("node", "fp"))
+    links = link_fingerprints(nodes, radius, parts or parts_for(nodes.count(), radius))
+    if more:
+        links = cut(links).unionByName(more(docs))
+    links = cut(connected_components(links).withColumnRenamed("node", "fp"))
     # Only linked fingerprints take part in this join, and its sides are written before, so that a large component can be split.
     linked = cut(nodes.join(links, "fp"))
     roots = cut(linked.groupBy("label").agg(F.min("rep").alias("root")))

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from talespark.llm import licenses, nearcopies, ordinal, quotes
+from talespark.llm import licenses, nearcopies, ordinal, quotes, simhash
 
 
 def shingles(text):
@@ -50,6 +50,29 @@ def test_near_copies_edges(spark):
     assert nearcopies.near_copies(docs.limit(0)).count() == 0 and nearcopies.one_per_group(docs).count() == 4
 
 
+def test_pipeline_links_by_fingerprints_and_by_shingles(spark):
+    """Of texts within 4 bits, but less than 0.8 alike, and of texts 0.8 alike, but further than 4 bits, one stays."""
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(9000)}" for _ in range(120)]
+    near = far = None
+    for k in range(4000):
+        other = list(base)
+        for at in range(3, 120, draw.choice([17, 21, 60])):
+            other[at] = f"v{draw.randrange(9000)}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        bits = (simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(" ".join(other))).bit_count()
+        like = len(a & b) / len(a | b)
+        near = near or (like < 0.8 and bits <= 4 and other)
+        far = far or (like >= 0.8 and bits > 4 and other)
+        if near and far:
+            break
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, "quite another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in nearcopies.one_per_group(docs).collect()} == {1, 2, 4}
+    assert {r.doc_id for r in simhash.one_per_group(docs).collect()} == {1, 3, 4}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 4}
+
+
 def test_quotation_of_100000_lines(spark):
     lines = [f"line {k}" for k in range(100_000)]
     rows = [(1, 0, "u", "\n".join(lines)), (1, 1, "a", "\n".join("> " + x for x in lines) + "\nseen"), (1, 2, "u", ">" * 100_000 + " deep\n> seen\nyes")]
