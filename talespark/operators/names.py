@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talespark.functions.text import normalize_name
-from talespark.operators.speakers import VERBS
+from talespark.operators.lexicons import folded
+from talespark.operators.speakers import VERB_FORMS, VERBS
+from talespark.sources.shared import bound_batches
 
 #: Words that are no names, words for relations, particles within names, words that begin sentences,
 #: words that are often capitalised, and verbs that a person does.
@@ -67,18 +69,23 @@ _AFTER = re.compile(rf"'s\b|,\s+{VERBS}\b|\b\s+(?:{VERBS}|{ACTIONS})\b", re.I)
 _BEFORE = re.compile(rf"{VERBS}\Z", re.I)
 
 
-def in_context(name: str, text: str) -> bool:
-    """Whether a name stands beside a speech verb, before an action, or in the possessive.
+def in_context(name: str, text: str, low: str | None = None) -> bool:
+    """Whether a name stands beside a speech verb, before an action, or in the possessive. low: the folded text, if it is known.
 
-    Only what lies next to the name is matched, so a text is searched for the name alone.
+    Only what lies next to the name is matched, so a text is searched for the name alone, without a pattern for each.
     """
-    for m in re.finditer(rf"\b{re.escape(name)}", text, re.I):
-        if _AFTER.match(text, m.end()):
+    low, own, at = folded(text) if low is None else low, folded(name), 0
+    while (start := low.find(own, at)) >= 0:
+        if start and (text[start - 1].isalnum() or text[start - 1] == "_"):  # names begin with a letter
+            at = start + 1
+            continue
+        at = start + len(own)
+        if _AFTER.match(text, at):
             return True
-        k = m.start()
+        k = start
         while k and text[k - 1].isspace():
             k -= 1
-        if k < m.start() and _BEFORE.search(text[max(0, k - 16) : k]) and not text[m.end() : m.end() + 1].isalnum() and text[m.end() : m.end() + 1] != "_":
+        if k < start and low[max(0, k - 16) : k].endswith(VERB_FORMS) and not text[at : at + 1].isalnum() and text[at : at + 1] != "_":
             return True
     return False
 
@@ -99,7 +106,8 @@ def phrases_of(text: str, most: int = 2 * MOST) -> list[tuple[str, int, bool]]:
     kept: used twice, or in the context of speech or action.
     """
     uses = Counter(m[0].strip() for m in _PHRASE.finditer(text) if _is_name(m[0].strip()) and not is_no_name(m[0].strip(), text, m.start()))
-    return [(name, n, n > 1 or in_context(name, text)) for name, n in uses.most_common(most)]
+    low = folded(text) if uses else ""
+    return [(name, n, n > 1 or in_context(name, text, low)) for name, n in uses.most_common(most)]
 
 
 def catalog_hits(stories: DataFrame, catalog: DataFrame, text_col: str = "text") -> DataFrame:
@@ -137,6 +145,8 @@ def name_candidates(stories: DataFrame, catalog: DataFrame, most: int = MOST, te
     but letters is dropped count once. Null and blank texts have none.
     """
 
+    bound_batches(stories.sparkSession)
+
     @F.pandas_udf("array<struct<name: string, uses: int, kept: boolean>>")
     def phrases(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"name": n, "uses": u, "kept": c} for n, u, c in phrases_of(t or "")], na_action=None)

@@ -131,3 +131,33 @@ def test_configs(spark, tmp_path):
     assert [tuple(r) for r in readers.read_tags(spark, none, str(tmp_path / "tags.json")).collect()] == [("calm", "soft", "[soft]")]
     assert [r.word for r in readers.read_words(spark, str(tmp_path / "bad.json"), str(tmp_path / "words.json")).orderBy("ord").collect()] == ["said", "asked"]
     assert readers.read_word_map(spark, none).count() == 0 and readers.read_words(spark, none).count() == 0
+
+
+def test_names_in_context_take_no_pattern_each(monkeypatch):
+    """As a pattern for each name finds them, letters that are alike in any case included; but a text is folded once."""
+    import random
+    import re
+
+    from talespark.operators import names
+
+    def scan(name, text):
+        for m in re.finditer(rf"\b{re.escape(name)}", text, re.I):
+            head = text[: m.start()].rstrip()
+            if names._AFTER.match(text, m.end()):
+                return True
+            if len(head) < m.start() and names._BEFORE.search(head[-16:]) and not re.match(r"\w", text[m.end() :]):
+                return True
+        return False
+
+    draw, hits = random.Random(2), 0
+    parts = ["Kim", "kim", "\u212aim", "K\u0130m", "K\u0131m", "Ann-Sue", "ANN-\u017fue", "said", "Asked", "'s", " ", " ", " ", "\n", ", ", "_", "x", "\u00e9", "smiled", ".", "Kim Lee", "KimKim"]
+    for _ in range(4000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randrange(12)))
+        for name in ("Kim", "Ann-Sue", "Kim Lee"):
+            assert names.in_context(name, text) == scan(name, text), (name, text)
+            hits += names.in_context(name, text)
+    assert hits > 100
+    folds = []
+    monkeypatch.setattr(names, "folded", lambda t: folds.append(t) or t.lower())
+    text = " ".join(f"Zed{chr(97 + k)} went." for k in range(20))
+    assert names.phrases_of(text) and folds.count(text) == 1
