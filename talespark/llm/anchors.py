@@ -45,9 +45,11 @@ class Hashes:
 
 
     def rolling(self, width: int) -> np.ndarray:
-        """Hashes of all strings of ``width`` bytes."""
+        """Hashes of all strings of ``width`` bytes, not scrambled."""
         with np.errstate(over="ignore"):
-            return _scramble((self.sums[width:] - self.sums[:-width]) * self.up[: len(self.sums) - width])
+            out = self.sums[width:] - self.sums[:-width]
+            out *= self.up[: len(out)]
+        return out
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -81,4 +83,4 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int, gram: int) -> tuple[n
     least[np.cumsum(inside[: len(least)]) == 0] = 0
     none = np.zeros(width - 1, np.uint32)
     at = np.flatnonzero(_sliding(np.concatenate((none, least, none)), width, np.maximum) == keys)
-    return at, whole[at]
+    return at, _scramble(whole[at])

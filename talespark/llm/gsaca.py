@@ -5,6 +5,24 @@ from __future__ import annotations
 import numpy as np
 
 
+def _edges(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin. Steps are many and mostly short, so they go without numpy's slower conveniences."""
+    out = np.empty(len(keys[0]), bool)
+    out[:1] = True
+    np.not_equal(keys[0][1:], keys[0][:-1], out=out[1:])
+    for key in keys[1:]:
+        out[1:] |= key[1:] != key[:-1]
+    return out.nonzero()[0]
+
+
+def _gaps(starts: np.ndarray, end: int) -> np.ndarray:
+    """From each start to the next, the last one's to the end."""
+    out = np.empty_like(starts)
+    np.subtract(starts[1:], starts[:-1], out=out[:-1])
+    out[-1:] = end - starts[-1:]
+    return out
+
+
 def lyndon_groups(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(group, previous smaller) of each suffix of texts laid end to end in ``text``; each ends with its own least symbol.
 
@@ -35,42 +53,43 @@ def lyndon_groups(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     while len(tops):
         bottoms = group[order[tops]]
         count = tops - bottoms + 1
-        total = int(count.sum())
-        shift = np.repeat(bottoms - np.r_[0, np.cumsum(count)[:-1]], count)
-        members = order[np.arange(total) + shift]
-        level = np.repeat(bottoms, count)
+        upto = count.cumsum()
+        shift = (bottoms - upto + count).repeat(count)
+        members = order[shift + np.arange(len(shift))]
+        level = bottoms.repeat(count)
         p = before[members]
-        while True:
-            on = np.flatnonzero((p >= 0) & (group[p] >= level))
-            if not len(on):
-                break
-            p[on] = before[p[on]]
-            before[members] = p
-        found = np.sort(p[p >= 0])
+        on = ((p >= 0) & (group[p] >= level)).nonzero()[0]
+        while len(on):
+            to = before[p[on]]
+            p[on] = before[members[on]] = to  # so that the next round goes twice as far
+            on = on[(to >= 0) & (group[to] >= level[on])]
+        found = p[p >= 0]
         if len(found):
-            edge = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-            up, times = found[edge], np.diff(np.r_[edge, len(found)])
+            found.sort()
+            edge = _edges(found)
+            up, times = found[edge], _gaps(edge, len(found))
             old = group[up]
             by = np.lexsort((times, old))
             up, times, old = up[by], times[by], old[by]
-            run = np.flatnonzero(np.r_[True, old[1:] != old[:-1]])
-            amount = np.diff(np.r_[run, len(old)])
+            run = _edges(old)
+            amount = _gaps(run, len(old))
             begin = last[old[run]] - amount + 1  # where those that move from this group will lie
-            goal = np.arange(len(old)) + np.repeat(begin - run, amount)
+            goal = (begin - run).repeat(amount) + np.arange(len(old))
             there, here = order[goal], place[up]
             moved[up] = True
-            stay, free = there[~moved[there]], here[here < np.repeat(begin, amount)]
+            stay, free = there[~moved[there]], here[here < begin.repeat(amount)]
             moved[up] = False
             order[free], place[stay] = stay, free
             order[goal], place[up] = up, goal
             last[old[run]] = begin - 1
-            cut = np.flatnonzero(np.r_[True, (old[1:] != old[:-1]) | (times[1:] != times[:-1])])
-            fresh = goal[cut]
-            group[up] = np.repeat(fresh, np.diff(np.r_[cut, len(old)]))
-            last[fresh] = fresh + np.diff(np.r_[cut, len(old)]) - 1
+            cut = _edges(old, times)
+            fresh, size = goal[cut], _gaps(cut, len(old))
+            group[up] = fresh.repeat(size)
+            last[fresh] = fresh + size - 1
         tops = bottoms - 1
         live = tops >= floors
-        tops, floors = tops[live], floors[live]
+        if not live.all():
+            tops, floors = tops[live], floors[live]
     return group, before
 
 
@@ -82,26 +101,28 @@ def suffix_arrays(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """
     group, before = lyndon_groups(text, sizes)
     n = len(text)
-    out, free, done = np.full(n, -1), np.arange(n), np.zeros(n, bool)
+    out, free, open_yet = np.full(n, -1), np.arange(n), np.ones(n, bool)
     first = np.cumsum(sizes) - sizes
     out[first] = first + sizes - 1
-    done[first + sizes - 1] = True
+    open_yet[first + sizes - 1] = False
     by = np.argsort(-sizes, kind="stable")
     first, sizes = first[by], sizes[by]
-    for rank in range(int(sizes.max(initial=0))):
-        live = int(np.searchsorted(-sizes, -rank, "left"))  # texts longer than rank
-        p = out[first[:live] + rank] - 1
-        p = p[p >= first[:live]]
+    lives = np.searchsorted(-sizes, -np.arange(sizes.max(initial=0)), "left")  # texts longer than each rank
+    for rank, live in enumerate(lives.tolist()):
+        least = first[:live]
+        p = out[least + rank] - 1
+        p = p[p >= least]
+        p = p[open_yet[p]]
         while len(p):
-            p = p[~done[p]]
-            if not len(p):
-                break
-            to = free[group[p]]
-            out[to] = p
-            free[group[p]] += 1
-            done[p] = True
+            to = group[p]  # one suffix of each text, so no group twice
+            spot = free[to]
+            out[spot] = p
+            spot += 1
+            free[to] = spot
+            open_yet[p] = False
             p = before[p]
             p = p[p >= 0]
+            p = p[open_yet[p]]
     return out
 
 

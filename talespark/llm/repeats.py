@@ -72,7 +72,7 @@ def _scan(base: DataFrame, span: int, schema: str, make: Callable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            for part in slices(batch, 2, 1 << 20):
+            for part in slices(batch, 2, 1 << 18):
                 cols = make(_Part(part, span))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], names)
 
@@ -214,6 +214,11 @@ def _sorted_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield solve(held)
 
 
+def _of_several(places: DataFrame, several: DataFrame) -> DataFrame:
+    """The surroundings of anchors that have others too. Where all places of an anchor have the same, all windows there are decided."""
+    return places.select("h", "low").join(several.select("h"), "h", "left_semi")
+
+
 def _narrower(rows: DataFrame, width: int, part: int, span: int) -> DataFrame:
     """The slices of ``width`` window starts cut into slices of ``part`` starts, each with its own, longer core."""
     q = F.explode(F.sequence(F.lit(0), F.lit(width // part - 1))).alias("q")
@@ -236,8 +241,8 @@ def repeated_spans(docs: DataFrame, span: int = 200, text_col: str = "text") ->
     2. Surroundings of an anchor, all windows that can hold it, are strings of five symbols, the hashes of five pieces.
        They are suffix-sorted in groups around the anchor, a string with one place once and one with more twice; those
        that agree with a neighbour in all symbols repeat with all their windows, at all their places.
-    3. One place of these, and the anchors at the borders of what repeats, are cut into slices of 20 window starts around
-       a core of 181 bytes. Slices whose core is unique go, again by a sieve and then exactly.
+    3. Where an anchor has several surroundings, one place of each is cut into slices of 20 window starts around a core of
+       181 bytes. Slices whose core is unique go, again by a sieve and then exactly.
     4. Strings around a core are suffix-sorted byte by byte, each distinct one once or, if it has more places, twice, in
        groups of up to GROUP; larger groups are cut into narrower slices (20, 5, 1 starts) first. What the order says of
        a string holds for all its places.
@@ -290,13 +295,14 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
     rows = keep(_scan(base, span, "h long, l2 long, l1 long, r1 long, r2 long, own long, k1 long, k2 long, start long, end long", surroundings))
     shared.unpersist()
     places = keep(rows.groupBy(*pieces).agg(F.min("own").alias("low"), F.max("own").alias("high")))
+    several = keep(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     # An anchor hash with very many surroundings is dealt in parts, in which a task sorts GROUP of them at most at a time.
-    common = keep(places.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP))
+    common = several.filter(F.col("n") > GROUP)
     dealt = places.join(common, "h", "left").withColumn("part", F.pmod(F.xxhash64("low"), F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1))))
     sure = keep(dealt.repartition("h", "part").sortWithinPartitions("h").select(*pieces, "low", "high").mapInArrow(_sorted_surroundings, "h long, l2 long, l1 long, r1 long, r2 long, low long"))
-    marked = keep(rows.join(sure, pieces, "left").select("own", "low", "k1", "k2", "start", "end"))
-    covered = marked.filter("low is not null").select("k1", "k2", "start", "end")
-    border = spark.sparkContext.broadcast(sieve(marked.filter("low is null or own = low"), "own"))
+    covered = rows.join(sure.select(*pieces), pieces).select("k1", "k2", "start", "end")
+    # low is the only place of surroundings that do not repeat, and one place of those that do.
+    border = spark.sparkContext.broadcast(sieve(_of_several(places, several), "low"))
 
     def cores(x: _Part) -> tuple:
         x.keep(_passes(border.value, x.own))
@@ -318,7 +324,7 @@ def _repeated_spans(docs: DataFrame, span: int, text_col: str, keep: Callable[[D
         return core1, Hashes(x.data, 4).of(begin, end), left, right, x.k1[x.doc[row]], x.k2[x.doc[row]], begin - x.head[row], own
 
     fields = "core1 long, core2 long, left binary, right binary, k1 long, k2 long, begin long, own long"
-    decided = _decided(_scan(base, span, fields, strings).dropDuplicates(["core1", "core2", "own"]), span, keep)
+    decided = _decided(_scan(base, span, fields, strings).distinct(), span, keep)
     spans = covered.unionByName(decided)
     copies = base.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("end")).filter((F.col("n") > 1) & (F.col("end") >= span))
     out = cut(_runs(spans.unionByName(copies.select("k1", "k2", F.lit(0).cast("long").alias("start"), "end"))))

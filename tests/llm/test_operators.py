@@ -245,6 +245,29 @@ def test_lone_surroundings_do_not_repeat(monkeypatch, group, size):
     assert len(got) == len(want) > 1000 and {tuple(x.values()) for x in got} == want
 
 
+def test_only_anchors_with_several_surroundings_are_cut_into_strings(spark, monkeypatch):
+    """Inside a passage that two texts share all is decided by its surroundings; strings are asked for at its borders alone."""
+    g = np.random.default_rng(5)
+    draw = lambda n: "".join(map(chr, g.integers(97, 123, n)))
+    passage, asked, decided = draw(3000), [], repeats._decided
+
+    def seen(rows, span, keep):
+        asked.extend(r.begin for r in rows.select("begin").collect())
+        return decided(rows, span, keep)
+
+    monkeypatch.setattr(repeats, "_decided", seen)
+    texts = [draw(500) + passage + draw(500), draw(500) + passage + draw(700), draw(3000)]
+    got = by_id(repeats.digest_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k in range(3)] == plain.repeats(texts)
+    assert asked and all(b < 1000 or b > 3000 for b in asked)
+
+
+def test_suffix_arrays_of_runs():
+    """Chains of previous smaller suffixes of one symbol's run are followed in few rounds."""
+    text = np.r_[np.full(200_000, 3), 0]
+    assert gsaca.suffix_arrays(text, np.array([len(text)])).tolist() == list(range(200_000, -1, -1))
+
+
 CLASHES = "k1 k2 spans text_ left word bits row end weight room epoch __full __source __key __word __k1 tokens h c own low high digest component_id gone __gone tail kept".split()
 
 
