@@ -296,7 +296,8 @@ def detect_speakers(lines: DataFrame, cast: DataFrame | list[tuple[str, str]], m
     found = effects(dealt.filter(place >= size - last - 1), size - last - 1)
     open_yet = found.filter("not fixed")
     if size > last and not open_yet.isEmpty():
-        found = found.filter("fixed").unionByName(effects(dealt.join(open_yet.select("block"), "block", "left_semi"), -1))
+        # Eight bytes for each such block of lines are sent to all, so that no line of another block is shuffled.
+        found = found.filter("fixed").unionByName(effects(dealt.join(F.broadcast(open_yet.select("block")), "block", "left_semi"), -1))
     heads = _resolved(found).select((F.col("block") + 1).alias("block"), F.lit(None).cast(story).alias("story"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("gender"), F.col("effect").alias("head"))
     result = T.StructType([T.StructField("row", numbered.schema["row"].dataType), T.StructField("character", T.StringType()), T.StructField("candidates", T.ArrayType(T.StringType()))])
     done = dealt.groupBy("block").cogroup(members.unionByName(heads).groupBy("block")).applyInArrow(_replay(size, options), result)

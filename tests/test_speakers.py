@@ -1,5 +1,6 @@
 """The speaker fold, line by line."""
 
+from talespark.operators import speakers
 from talespark.operators.speakers import Cast, Fold
 
 CAST = [("Marek Vane", "M"), ("ilse", "F"), ("Tobias", "M")]
@@ -67,3 +68,25 @@ def test_strict_and_aggressive_match_members_only():
         assert fold(mode=mode, auto_assign=False).step(line("Nobody."), None)[0] == "Ambiguous"
     assert fold(mode="aggressive", initials=False).step(line("Ask Vane."), None)[0] == "Marek Vane"
     assert fold(mode="strict").step(line("Tobias and ilse."), None)[0] == "Narrator"
+
+
+def test_names_within_words_need_no_pattern(monkeypatch):
+    """A verb's patterns are tried only where a word of the text begins as a name does; signs are as before."""
+
+    class Never:
+        def search(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(speakers, "_NAMED", (Never(),))
+    monkeypatch.setattr(speakers, "_VERB", Never())
+    seen = Fold(Cast([("Ann", "F"), ("Bob", "M")])).look(line("The channel was planned, said nobody.", "narration"), None)
+    assert (seen.own.named, seen.own.inside, seen.own.verb, seen.about) == (None, "ann", None, None)
+
+
+def test_names_by_verbs_in_odd_writing():
+    """Marks within a name's token, letters with long lower cases and final sigmas."""
+    verb = lambda text, name: Fold(Cast([(name, "F")])).look(line(text), None).own.verb
+    assert verb("Channel: A*nn said", "Ann") == "ann"
+    assert verb("channel A*nn left", "Ann") is None
+    assert verb("said *İan* then", "İan") == "i̇an"
+    assert verb("_ΒΟΣ_ ΒΟΣ; said", "ΒΟΣ") == "βος"
