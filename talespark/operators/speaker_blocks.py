@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,6 +149,7 @@ def _runs(table: pa.Table, block: int, size: int) -> list[tuple[int, dict]]:
     table = table.sort_by([("at", "ascending")])
     row = table.column("row").combine_chunks()
     fields = {c: row.field(c).to_pylist() for c in ("story_id", "text", "type", "raw", "attribution")}
+    fields["raw"] = [text if same else raw for text, raw, same in zip(fields["text"], fields["raw"], table.column("same").to_pylist())]
     return [(at - block * size, dict(zip(fields, values))) for at, *values in zip(table.column("at").to_pylist(), *fields.values())]
 
 
@@ -215,7 +216,8 @@ def _replay(size: int, options: dict):  # noqa: ANN202
                 teller.enter(pickle.loads(heads[0]), (before["text"] or "").strip())
             out.append(teller.fold.step(row, after))
             kept.append(k)
-        return pa.table([lines.column("row").take(pa.array(kept, pa.int64())), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.string()))], names=["row", "character", "candidates"])
+        told = pa.array(kept, pa.int64())
+        return pa.table([lines.column("row").take(told), lines.column("same").take(told), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.string()))], names=["row", "same", "character", "candidates"])
 
     return run
 
@@ -236,16 +238,24 @@ def _resolved(effects: DataFrame) -> DataFrame:
     return effects
 
 
+def _raw() -> Column:
+    """A line's raw text, which is kept once where it is its text."""
+    return F.when(F.col("same"), F.col("row.text")).otherwise(F.col("row.raw"))
+
+
 def _numbered(lines: DataFrame) -> DataFrame:
-    """(at, row): all lines in the order of stories and line numbers, numbered without a gap.
+    """(at, row, same): all lines in the order of stories and line numbers, numbered without a gap.
 
     Sorted by ranges of (story, line number), so a long story lies in many parts; only the parts' row counts, one number
-    for each part, come to the driver. Lines are written first, as Spark reads them twice to find the ranges.
+    for each part, come to the driver. Lines are written first, as Spark reads them twice to find the ranges. same: the raw
+    text is the text, and null in the row (see _raw).
     """
-    named = lines.select(F.struct(*(F.col(f"`{c}`") for c in lines.columns)).alias("row"), F.monotonically_increasing_id().alias("own"))
-    order = [F.col("row.story_id"), F.col("row.line_no").asc_nulls_last(), F.xxhash64("row.text", "row.type", "row.raw", "row.attribution"), F.col("own")]
+    same = F.coalesce(F.col("raw") == F.col("text"), F.lit(False))
+    columns = (F.when(~same, F.col("raw")).alias("raw") if c == "raw" else F.col(f"`{c}`") for c in lines.columns)
+    named = lines.select(F.struct(*columns).alias("row"), same.alias("same"), F.monotonically_increasing_id().alias("own"))
+    order = [F.col("row.story_id"), F.col("row.line_no").asc_nulls_last(), F.xxhash64("row.text", "row.type", _raw(), "row.attribution"), F.col("own")]
     with kept(named) as told:
-        dealt = cut(told.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("place"), "row"))
+        dealt = cut(told.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("place"), "row", "same"))
     part = F.shiftright("place", 33)
     counts = sorted(map(tuple, dealt.groupBy(part.alias("part")).count().collect()))
     starts, so_far = [], 0
@@ -253,7 +263,7 @@ def _numbered(lines: DataFrame) -> DataFrame:
         starts.append((k, so_far))
         so_far += n
     begun = dealt.sparkSession.createDataFrame(starts, "part long, start long")  # a row for each part
-    return dealt.withColumn("part", part).join(F.broadcast(begun), "part").select((F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).alias("at"), "row")
+    return dealt.withColumn("part", part).join(F.broadcast(begun), "part").select((F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).alias("at"), "row", "same")
 
 
 def detect_speakers(lines: DataFrame, cast: DataFrame | list[tuple[str, str]], mode: str = "generic", auto_assign: bool = True, initials: bool = True, catalog: list[tuple[str, str]] | None = None, block_lines: int = 1024) -> DataFrame:
@@ -299,6 +309,6 @@ def detect_speakers(lines: DataFrame, cast: DataFrame | list[tuple[str, str]], m
         # Eight bytes for each such block of lines are sent to all, so that no line of another block is shuffled.
         found = found.filter("fixed").unionByName(effects(dealt.join(F.broadcast(open_yet.select("block")), "block", "left_semi"), -1))
     heads = _resolved(found).select((F.col("block") + 1).alias("block"), F.lit(None).cast(story).alias("story"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("gender"), F.col("effect").alias("head"))
-    result = T.StructType([T.StructField("row", numbered.schema["row"].dataType), T.StructField("character", T.StringType()), T.StructField("candidates", T.ArrayType(T.StringType()))])
+    result = T.StructType([T.StructField("row", numbered.schema["row"].dataType), T.StructField("same", T.BooleanType()), T.StructField("character", T.StringType()), T.StructField("candidates", T.ArrayType(T.StringType()))])
     done = dealt.groupBy("block").cogroup(members.unionByName(heads).groupBy("block")).applyInArrow(_replay(size, options), result)
-    return done.select(*(F.col("row").getField(c).alias(c) for c in told.columns), "character", "candidates")
+    return done.select(*((_raw() if c == "raw" else F.col("row").getField(c)).alias(c) for c in told.columns), "character", "candidates")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from talespark.operators.speaker_blocks import START, Name, State, all_kinds, applied, composed, detect_speakers, kind_of
+from talespark.operators.speaker_blocks import START, Name, State, _numbered, all_kinds, applied, composed, detect_speakers, kind_of
 from talespark.operators.speakers import OUTSIDER, Cast, Fold
 
 SHAPE = "story_id long, line_no long, text string, type string, raw string, attribution string, block int, at string"
@@ -78,3 +78,12 @@ def test_effects_compose_associatively():
         a, b, c = ({kind_of(k): end(k) for k in kinds} if draw.random() < 0.8 else State(bob, bob, 2) for _ in range(3))
         assert composed(composed(a, b), c) == composed(a, composed(b, c))
         assert applied(composed(a, b), START) == applied(b, applied(a, START))
+
+
+def test_raw_that_is_the_text_is_kept_once(spark):
+    """What is written, sorted and handed to Python holds such a text once; all columns come back as they were."""
+    rows = [(1, 0, "Bob.", "narration", "Bob.", None, 7, "x"), (1, 1, "Go.", "dialogue", '"Go."', None, 7, "x"), (1, 2, None, "dialogue", None, None, 7, "x"), (1, 3, "Stay.", "dialogue", None, None, 7, "x"), (1, 4, None, "dialogue", "Ann.", None, 7, "x")]
+    lines = spark.createDataFrame(rows, SHAPE)
+    kept = {r.row.line_no: (r.row.raw, r.same) for r in _numbered(lines).collect()}
+    assert kept == {0: (None, True), 1: ('"Go."', False), 2: (None, False), 3: (None, False), 4: ("Ann.", False)}
+    assert sorted((tuple(r)[:8] for r in detect_speakers(lines, CASTS[0], "strict").collect()), key=lambda r: r[1]) == rows
