@@ -7,6 +7,8 @@ from functools import lru_cache
 import numpy as np
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of texts that are looked at together, or one longer text. A worker keeps tables for as many.
+PART = 1 << 18
 
 
 @lru_cache(4)
@@ -34,8 +36,9 @@ class Hashes:
     """64-bit hashes of any substrings of one byte array, in constant time each."""
 
     def __init__(self, data: np.ndarray, seed: int):
-        size = 1 << max(20, int(len(data)).bit_length())  # mostly one size, so one pair of tables for each seed
-        self.up, down = _powers(0x5851F42D4C957F2D + 2 * seed, size)
+        # Mostly one size, so one pair of tables for each seed; those of a longer text go with it.
+        kept = len(data) < PART
+        self.up, down = (_powers if kept else _powers.__wrapped__)(0x5851F42D4C957F2D + 2 * seed, PART if kept else len(data) + 1)
         with np.errstate(over="ignore"):
             self.sums = np.r_[np.uint64(0), np.add.accumulate(_table(seed)[data] * down[: len(data)])]
 

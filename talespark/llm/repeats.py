@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Hashes, _scramble, anchors
-from .common import cut, scratch, short_lived_shuffles, slices
+from .anchors import PART, Hashes, _scramble, anchors
+from .common import bound_batches, cut, scratch, short_lived_shuffles, slices
 from .gsaca import common_prefixes, suffix_arrays
 
 #: Bytes hashed at an anchor. Windows of 200 bytes then have a hundred places for their anchor.
@@ -72,7 +72,7 @@ def _scan(base: DataFrame, span: int, schema: str, make: Callable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            for part in slices(batch, 2, 1 << 18):
+            for part in slices(batch, 2, PART):
                 cols = make(_Part(part, span))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], names)
 
@@ -249,6 +249,7 @@ def repeated_spans(docs: DataFrame, span: int = 200, text_col: str = "text") ->
 
     So no task holds more than GROUP strings of a core, and no window is compared with all that share its passage.
     """
+    bound_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
         return _repeated_spans(docs, span, text_col, keep)
 

@@ -262,6 +262,40 @@ def test_only_anchors_with_several_surroundings_are_cut_into_strings(spark, monk
     assert asked and all(b < 1000 or b > 3000 for b in asked)
 
 
+def test_workers_get_few_texts_at_a_time(spark, monkeypatch, tmp_path):
+    """Spark's own batches of 10000 rows or 64 MB stay in the executors' memory."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    from talespark.llm import common
+
+    def seen(batch, *args):
+        with open(f"{tmp_path}/sizes", "a") as f:
+            f.write(f"{batch.nbytes}\n")
+        return common.slices(batch, *args)
+
+    monkeypatch.setattr(repeats, "slices", seen)
+    g = np.random.default_rng(6)
+    texts = [bytes(g.integers(97, 123, 4000, np.uint8)).decode() for _ in range(3000)]
+    rows = spark.createDataFrame([(k, t + texts[0][:300]) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = by_id(repeats.digest_repeats(rows))
+    for k in range(len(texts)):  # letters beside the passage may happen to be alike
+        assert got[k].n_spans == 1 + (k == 0) and 0 <= got[k].n_removed - 300 * got[k].n_spans < 12
+    sizes = [int(x) for x in (tmp_path / "sizes").read_text().split()]
+    assert sum(sizes) > 12_000_000 and max(sizes) < 5 << 20
+
+
+def test_hash_tables_of_long_texts_are_not_kept():
+    g = np.random.default_rng(7)
+    data = g.integers(0, 256, 2_000_000, np.uint8)
+    anchors._powers.cache_clear()
+    long = anchors.Hashes(data, 1)
+    assert anchors._powers.cache_info().currsize == 0
+    start = np.array([0, 5, 1_999_000, 1_999_999, 2_000_000])
+    end = np.minimum(start + 1000, len(data))
+    parts = [anchors.Hashes(data[a:b], 1) for a, b in zip(start, end)]
+    assert [int(x) for x in long.of(start, end)] == [int(h.of(np.array([0]), np.array([b - a]))[0]) for h, a, b in zip(parts, start, end)]
+    assert anchors._powers.cache_info().currsize == 1 and parts[0].up.nbytes <= 2 << 20
+
+
 def test_suffix_arrays_of_runs():
     """Chains of previous smaller suffixes of one symbol's run are followed in few rounds."""
     text = np.r_[np.full(200_000, 3), 0]
