@@ -2,6 +2,8 @@
 
 import re
 
+import duckdb
+
 from talespark import queries as core
 from talespark.data import load
 
@@ -12,6 +14,13 @@ def folder(spark, path, **tables):
     return str(path)
 
 
+def told(sql, at):
+    """The rows of a query's SQL over the tables of a folder."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet/*.parquet'")
+    return con.execute(sql).fetchall()
+
+
 def test_emotion_queries_read_whole_texts(spark, tmp_path):
     tails = ["she whispered", "he snarled at last", "under my control", "a joyful joyful day", "never sad but nervous", "nothing", "please calm"]
     texts = ["plain words of a long tale " * 40 + t + " went on" * 30 for t in tails]
@@ -38,6 +47,18 @@ def test_context_cues_are_found_within_marks(spark, tmp_path):
     assert all(any(r[s] for s in cues) for r in got.values())
 
 
+def test_context_cues_that_hold_marks_are_found(spark, tmp_path):
+    """emotion_context also reads texts as they are: every cue is found as it is written, and the SQL says the same of odd texts."""
+    cues = load("emotion_rules")["cues"]
+    texts = [f"Go,\n{c.upper()}; 1" for cs in cues.values() for c in cs] + ["a \u212aiss", "a k\u0130ss", "mi\u0130ne", "1 al-most", "you're", "mine", "", None]
+    at = folder(spark, tmp_path / "t", documents=([(13 * k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r.line_id: r.asDict() for r in core.QUERIES["emotion_context"](spark, at).collect()}
+    low = [[(t or "").lower(), re.sub("[^a-zA-Z ]", "", t or "").lower()] for t in texts]
+    assert {k: {s: r[s] for s in cues} for k, r in got.items()} == {13 * k: {s: sum(any(c in t for t in ts) for c in cs) for s, cs in cues.items()} for k, ts in enumerate(low)}
+    assert got[13 * texts.index("Go,\nYOU'RE MINE; 1")]["dominance"] == 2
+    assert sorted(tuple(r.values()) for r in got.values()) == sorted(told(core.SQL["emotion_context"], at))
+
+
 def test_feminine_cues_are_found_beside_marks(spark, tmp_path):
     """feminine_cues reads letters and blanks: a word beside a mark is one between blanks."""
     texts = ["it was her, then", "so (she) went", "wife!", "a pe-t", "the sheet", "1said 2it"]
