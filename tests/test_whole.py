@@ -67,6 +67,16 @@ def test_feminine_cues_are_found_beside_marks(spark, tmp_path):
     assert got == {0: (True, False), 1: (True, False), 2: (True, False), 3: (True, False), 4: (False, False), 5: (False, True)}
 
 
+def test_feminine_cues_within_marks_are_found(spark, tmp_path):
+    """feminine_cues also reads texts as they are: possessives, and openings that a mark ends; the SQL says the same of odd texts."""
+    texts = ["Ann's voice rose", "Ann whined.Then on", "whined\nthe door", "Zo\u00e9's voice", "\u00c9lan whined", "Ann's voices", "Ann whined2", "out on", "a so\u0130d", "\u00a0WH\u0130NED", "a \u017foon", "wh\u0131ned", "pe\u0130t", "\u212aitten", "Ann\u0301 whined\u0301", "wh\u0130\u0307ned", "(she) whined"]
+    at = folder(spark, tmp_path / "t", documents=([(13 * k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r.line_id // 13: (r.feminine, r.attributive) for r in core.QUERIES["feminine_cues"](spark, at).collect()}
+    assert {k for k in range(8) if got[k][1]} == {0, 1, 2, 3, 4, 6}  # digits fall in the letters
+    assert got[13] == (True, False) and got[16] == (True, True) and not any(got[k][0] for k in range(8))
+    assert sorted((13 * k, *r) for k, r in got.items()) == sorted(told(core.SQL["feminine_cues"], at))
+
+
 def test_scripts_hold_every_line_of_a_message(spark, tmp_path):
     rows = [(1, 0, "user", "first\nsecond *crash* third"), (1, 1, "Zoe", "a\n\nb"), (1, 2, "user", "go\nnow"), (1, 3, "user", "in\nout"), (1, 4, "user", "hidden\nnote"), (1, 5, "user", "\nlate")]
     at = folder(spark, tmp_path / "t", conversations=(rows, "conv_id long, turn long, role string, text string"))
